@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import canonical, leakage, pairs, tokenize
+from pyspark.sql import functions as F
+
+from tidemark.llm import boilerplate, canonical, leakage, pairs, spam, tokenize
 from tidemark.tables import table
 
 QUERIES: dict = {}
@@ -54,7 +56,6 @@ def p8_ids(spark, d):
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
 
-#: Word windows as SQL: the same normalisation by DuckDB's own functions, for the documents and items.
 @query("p9_found")
 def p9_found(spark, d):
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
@@ -63,3 +64,20 @@ def p9_found(spark, d):
 @query("p9_passages")
 def p9_passages(spark, d):
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return boilerplate.main_body(table(spark, d, "sources")).selectExpr("id AS source", "line_no")
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return spam.spam_pages(table(spark, d, "documents")).where("is_spam").select("doc_id").distinct()
+
+
+@query("p10_hosts")
+def p10_hosts(spark, d):
+    """Pages and spam pages per host."""
+    scored = spam.spam_pages(table(spark, d, "documents"))
+    return scored.groupBy("source").agg(F.count("*").alias("pages"), F.count_if("is_spam").alias("spam_pages"))
