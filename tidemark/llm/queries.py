@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import boilerplate, canonical, leakage, pairs, spam, tokenize
+from tidemark.llm import boilerplate, canonical, leakage, names, pairs, spam, tokenize
 from tidemark.tables import table
 
 QUERIES: dict = {}
@@ -32,6 +32,18 @@ r AS (SELECT x AS item_a, y AS item_b, ab.n AS n_ab, ma.n AS n_a, mb.n AS n_b, t
 """
 
 
+@query("p1_found")
+def p1_found(spark, d):
+    return names.variants(table(spark, d, "orgs"))
+
+
+@query("p1_entities")
+def p1_entities(spark, d):
+    """Spellings with the number of spellings of the same organisation."""
+    e = names.entities(table(spark, d, "orgs"))
+    return e.groupBy("entity").agg(F.count("*").alias("spellings"), F.min("id").alias("first_id"))
+
+
 def _pairs(spark, d):
     return pairs.co_occurring(table(spark, d, "people"), table(spark, d, "person_topics"), table(spark, d, "person_tags"))
 
