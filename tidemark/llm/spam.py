@@ -150,16 +150,16 @@ def spam_pages(documents: DataFrame, doc: str = "doc_id", text: str = "text", ho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = b.column(2).to_pylist()
-            there = [i for i, x in enumerate(xs) if x is not None]
-            score = np.zeros(len(xs))
-            if there and shipped.value is not None:
-                x = np.array([xs[i] for i in there])
+            score = np.zeros(b.num_rows)
+            there = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
+            if len(there) and shipped.value is not None:
+                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
                 score[there] = np.where(x[:, 0] < np.log1p(15), 0.0, shipped.value.share(x))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["_doc", "_host", "p"])
 
     kinds = dict(documents.dtypes)
     scored = pages.mapInArrow(run, f"_doc {kinds[doc]}, _host {kinds[host]}, p double").withColumn("_key", F.coalesce(F.col("_host").cast("string"), F.lit("\0")))
+    scored = as_table(scored, "scores")
     # one spam page is added to a host's pages at the corpus rate of 1 in 20, so that small hosts stay near it
     rates = scored.groupBy("_key").agg(((F.sum((F.col("p") >= 0.5).cast("double")) + 1) / (F.count("*") + 20)).alias("host_rate"))
     joined = salted_join(scored, rates, ["_key"])
