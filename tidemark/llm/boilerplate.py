@@ -40,10 +40,13 @@ FURNITURE = re.compile(
 RELATED = re.compile(r"(?:mais lidas|leia também|artigos relacionados|ver também|recomendado para si|most read|read also|related stories|recommended for you|see also):?", re.I)
 COMMENTS = re.compile(r"comments|comentários", re.I)
 REPLY = re.compile(r"[^\W\d_]+(?: [^\W\d_]+){1,3}: \S.{0,200}")
-BYLINE = re.compile(r"(?:por|by) (?:[A-ZÀ-Ý]\S*)(?: (?:d[aeo]s? )?[A-ZÀ-Ý]\S*){0,4}")
+BYLINE = re.compile(r"(?:[Pp]or|[Bb]y|[Tt]exto:?|[Tt]ext:?) (?:[A-ZÀ-Ý]\S*)(?: (?:d[aeo]s? )?[A-ZÀ-Ý]\S*){0,4}")
 MONTH = r"(?:janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|january|february|march|april|may|june|july|august|september|october|november|december)"
 DATED = re.compile(rf"(?:.{{0,60}}[·,|–-] ?)?(?:#|\d+) (?:de )?{MONTH} (?:de )?(?:#|\d+)(?:[,·| ]*(?:#|\d+)[:h](?:#|\d+))?", re.I)
 FAILED = re.compile(r"(?:\# )?not found|page not found|(?:ocorreu um problema ao abrir a página|ocorreu um erro|algo correu mal)\.?|voltar|error \#|página não encontrada|internal server error|access denied|bad gateway|service unavailable", re.I)
+SITE_TITLE = re.compile(r".{2,60} [—–|·-] (?:speakers|agenda|record|press|programme|oradores|programa|arquivo|imprensa|notícias)", re.I)
+TRAIL = re.compile(r" [›>] ")
+HOUSE = re.compile(r"© # (.{2,60}?)\. (?:all rights|todos os)|(?:^|[—|·] )(.{2,60}?) (?:é uma publicação registada|is a registered publication)", re.I)
 TIME = re.compile(r"\d{1,2}[:h]\d{2}\b")
 ENDED = re.compile(r"[.!?…»\"”)]$")
 DIGITS = re.compile(r"\d+")
@@ -56,6 +59,19 @@ def fold(line: str) -> str:
     return DIGITS.sub("#", " ".join(line.split()))
 
 
+def nav_only(line: str) -> bool:
+    """Whether a line holds words of navigation only."""
+    words = WORD.findall(line.lower())
+    return 0 < len(words) <= 24 and all(w in NAV_WORDS or w in ("what", "s") for w in words)
+
+
+def house(lines: list[str], publisher: str | None) -> str:
+    """The name of the house: the publisher without addition, else what its copyright line says."""
+    if publisher:
+        return " ".join(publisher.split("(")[0].split())
+    return next((m.group(1) or m.group(2) for x in lines if (m := HOUSE.search(x))), "")
+
+
 def furniture_like(line: str, publisher: str) -> bool:
     """Whether a folded line reads as furniture by itself."""
     if FURNITURE.fullmatch(line) or RELATED.fullmatch(line) or COMMENTS.fullmatch(line) or BYLINE.fullmatch(line) or DATED.fullmatch(line) or FAILED.fullmatch(line):
@@ -68,12 +84,12 @@ def furniture_like(line: str, publisher: str) -> bool:
     parts = [p for p in JOINERS.split(line)]
     if len(parts) > 1 and sum(bool(FURNITURE.fullmatch(p)) for p in parts) >= 0.5 * len(parts):
         return True
-    words = WORD.findall(line.lower().replace("what's", "what s"))
-    nav = sum(w in NAV_WORDS or w in ("what", "s") for w in words)
-    if words and nav == len(words) and len(words) <= 24 and not line.endswith("."):
+    if nav_only(line) and not line.endswith(".") or SITE_TITLE.fullmatch(line):
         return True
     # a trail of navigation that ends in the headline
-    return len(parts) >= 3 and " > " in line + " > " and sum(all(w in NAV_WORDS for w in WORD.findall(p.lower())) for p in parts[:-1]) == len(parts) - 1 and (" > " in line or " › " in line)
+    trail = TRAIL.split(line)
+    return len(trail) >= 2 and all(nav_only(p) for p in trail[:-1])
+
 
 
 NAMES = [
@@ -100,7 +116,7 @@ def page_features(frozen: str, publisher: str | None, common) -> tuple[list[int]
     n = len(lines)
     if not n:
         return pos, np.zeros((0, len(NAMES))), lines
-    pub = " ".join((publisher or "").split("(")[0].split())
+    pub = house(lines, publisher)
     words = [WORD.findall(x) for x in lines]
     k = np.array([len(w) for w in words], float)
     fw = np.array([sum(x.lower() in FUNCTION_WORDS for x in w) for w in words], float)
