@@ -67,9 +67,8 @@ def latest_rows(people: DataFrame, known: Captures, key: str, values: list[str],
     depend on the order of the input. Extra columns are ignored. A key that
     holds many rows is reduced map-side before it moves.
     """
-    spark = people.sparkSession
-    rows = people.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).join(
-        F.broadcast(known.frame(spark)), F.col(snapshot) == F.col("capture")
+    rows = people.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(
+        F.col(key).alias("key"), F.col(snapshot).alias("capture"), F.struct(F.col(loaded).alias("_l"), *[F.col(v).alias(v) for v in values]).alias("_r")
     )
-    best = rows.groupBy(F.col(key).alias("key"), "ordinal").agg(F.max(F.struct(F.col(loaded).alias("_l"), *[F.col(v).alias(v) for v in values])).alias("_b"))
+    best = rows.join(F.broadcast(known.frame(people.sparkSession)), "capture").groupBy("key", "ordinal").agg(F.max("_r").alias("_b"))
     return best.select("key", "ordinal", *[F.col("_b")[v].alias(v) for v in values])

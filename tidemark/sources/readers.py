@@ -12,9 +12,22 @@ CAPTURE = r"(?:^|/)(\d{4}-\d{2}-\d{2})/"
 FAILURES = "Ocorreu algo de errado|404 Not Found|Page not found"
 
 
+def empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modificationTime, length, content) of files of 0 bytes, which the binary reader passes over; from the file system's listing."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listing.hasNext():
+        s = listing.next()
+        if s.getLen() == 0:
+            found.append((s.getPath().toString(), s.getModificationTime()))
+    return spark.createDataFrame(found, "path string, ms long").select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 def files(spark: SparkSession, folder: str, suffix: str = "*") -> DataFrame:
     """(path, capture, group, page, length, modified, content) of frozen files below <folder>/<date>/<group>/<page>."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).load(folder)
+    raw = raw.select("path", "modificationTime", "length", "content").unionByName(empty_files(spark, folder).where(~F.col("path").rlike(r"/[._][^/]*$")))
     tail = F.regexp_extract("path", r"\d{4}-\d{2}-\d{2}/(.*)$", 1)
     return raw.select("path", F.regexp_extract("path", CAPTURE, 1).alias("capture"), F.element_at(F.split(tail, "/"), 1).alias("group"), F.regexp_replace(tail, r"\.[a-z]+$", "").alias("page"), "length", F.col("modificationTime").alias("modified"), "content")
 
@@ -153,7 +166,7 @@ def inventory(documents: DataFrame, categories: list[tuple[str, str]]) -> DataFr
     """(path, title, category, bytes, lines, words); the category is that of the first prefix in the list that fits."""
     cat = F.when(F.lit(False), "")
     for prefix, name in categories:
-        cat = cat.when(F.col("path").contains(prefix), name)
+        cat = cat.when(F.col("path").startswith(prefix) | F.col("path").contains("/" + prefix), name)
     return cards(documents).join(documents.select("path", "value"), "path").select("path", "title", cat.otherwise("other").alias("category"), F.octet_length("value").alias("bytes"), F.size(F.split("value", "\n", -1)).alias("lines"), X.words(F.col("value")).alias("words"))
 
 
