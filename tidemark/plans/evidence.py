@@ -138,5 +138,5 @@ def memory_lookup(s, d):
 query("ev20_segments", "SELECT substr(sha256(text), 1, 16) AS key, count(*) AS n, count(DISTINCT source) AS places FROM documents WHERE text IS NOT NULL GROUP BY text")(lambda s, d: t(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("places")).select(F.substring("h", 1, 16).alias("key"), "n", "places"))
 query("ev21_apply_batch", "SELECT t.person, t.tag FROM person_tags t WHERE t.tag IN (SELECT id FROM lexicon)")(lambda s, d: t(s, d, "person_tags").join(t(s, d, "lexicon").select(c("id").alias("tag")), "tag", "left_semi").select("person", "tag"))
 query("ev22_todo", "SELECT matched, n FROM (SELECT matched, count(*) AS n FROM person_tags WHERE tag IS NULL AND matched IS NOT NULL GROUP BY matched) ORDER BY n DESC, length(matched), matched LIMIT 20")(lambda s, d: t(s, d, "person_tags").where("tag IS NULL AND matched IS NOT NULL").groupBy("matched").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.length("matched"), "matched").limit(20))
-query("ev23_blockers", "SELECT DISTINCT d.doc_id, l.id AS name FROM documents d JOIN lexicon l ON regexp_matches(d.text, '(^|[^A-Za-z])' || l.label || '([^A-Za-z]|$)')")(lambda s, d: t(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text").crossJoin(F.broadcast(t(s, d, "lexicon").select(c("id").alias("name"), F.concat(F.lit("(^|[^A-Za-z])"), "label", F.lit("([^A-Za-z]|$)")).alias("p")))).where(F.regexp_like("text", c("p"))).select("doc_id", "name").distinct())
+query("ev23_blockers", "SELECT DISTINCT d.doc_id, l.id AS name FROM documents d JOIN lexicon l ON regexp_matches(d.text, '(^|[^A-Za-z])' || l.label || '([^A-Za-z]|$)')")(lambda s, d: t(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text").crossJoin(F.broadcast(t(s, d, "lexicon").select(c("id").alias("name"), "label", F.concat(F.lit("(^|[^A-Za-z])"), "label", F.lit("([^A-Za-z]|$)")).alias("p")))).where(F.contains("text", "label")).where(F.regexp_like("text", c("p"))).select("doc_id", "name").distinct())
 query("ev24_overlap", "SELECT person FROM (SELECT person FROM person_topics INTERSECT SELECT person FROM person_tags) WHERE NOT regexp_matches(person, '-[0-9]+$')")(lambda s, d: t(s, d, "person_topics").select("person").intersect(t(s, d, "person_tags").select("person")).where("NOT person RLIKE '-[0-9]+$'"))

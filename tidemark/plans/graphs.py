@@ -121,7 +121,7 @@ def derived_with_pattern(spark, d):
     return e.join(nodes(spark, d), "id").join(lex, "id").select(F.col("label").alias("tag"), "type", "pattern", "people").orderBy(F.desc("people"), "tag").limit(20)
 
 
-@query("sparql_ask_symmetric", f"WITH {GRAPH} SELECT count(*) > 0 AS answer FROM (SELECT 1 FROM e a JOIN e b ON a.source = b.target AND a.target = b.source AND a.verb = b.verb WHERE a.source <> a.target LIMIT 1)")
+@query("sparql_ask_symmetric", f"WITH {GRAPH} SELECT count(*) > 0 AS answer FROM (SELECT source, verb, target FROM e WHERE source <> target INTERSECT SELECT target, verb, source FROM e)")
 def ask_symmetric(spark, d):
     e = edges(spark, d).where("source <> target").select("source", "verb", "target")
     back = e.select(F.col("target").alias("source"), "verb", F.col("source").alias("target"))

@@ -61,8 +61,8 @@ def robots(s, d):
     return R.robots_allowed(t(s, d, "sources").select(F.concat(F.lit("/"), "page").alias("path")).distinct(), s.createDataFrame(ROBOTS, "rule string, allow boolean"))
 
 
-query("src21_coverage", "SELECT DISTINCT p.id, p.name AS note, s.f AS first FROM (SELECT id, max_by(name, snapshot) AS name FROM people WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY id) p JOIN (SELECT page, max_by(string_split(frozen, chr(10))[1], id) AS f FROM sources WHERE frozen IS NOT NULL GROUP BY page) s ON s.page = 'speakers/' || p.id")(
-    lambda s, d: t(s, d, "people").where("id IS NOT NULL AND name IS NOT NULL").groupBy("id").agg(F.max_by("name", "snapshot").alias("note")).join(t(s, d, "sources").where("frozen IS NOT NULL AND page LIKE 'speakers/%'").groupBy(F.expr("substring(page, 10)").alias("id")).agg(F.max_by(F.element_at(F.split("frozen", "\n"), 1), "id").alias("first")), "id")
+query("src21_coverage", "SELECT DISTINCT p.id, p.name AS note, s.f AS first FROM (SELECT id, max_by(name, snapshot || name) AS name FROM people WHERE id IS NOT NULL AND name IS NOT NULL GROUP BY id) p JOIN (SELECT page, max_by(string_split(frozen, chr(10))[1], id) AS f FROM sources WHERE frozen IS NOT NULL GROUP BY page) s ON s.page = 'speakers/' || p.id")(
+    lambda s, d: t(s, d, "people").where("id IS NOT NULL AND name IS NOT NULL").groupBy("id").agg(F.max_by("name", F.concat("snapshot", "name")).alias("note")).join(t(s, d, "sources").where("frozen IS NOT NULL AND page LIKE 'speakers/%'").groupBy(F.expr("substring(page, 10)").alias("id")).agg(F.max_by(F.element_at(F.split("frozen", "\n"), 1), "id").alias("first")), "id")
 )
 query("src22_commit_log", "SELECT id AS hash, verb AS date, source AS author, target AS subject FROM edges WHERE source IS NOT NULL AND target IS NOT NULL")(lambda s, d: R.commit_log(t(s, d, "edges").where("source IS NOT NULL AND target IS NOT NULL").select(F.concat_ws("\t", "id", "verb", "source", "target").alias("value"))))
 query("snk03_manifest", "SELECT DISTINCT id AS path, octet_length(encode(frozen))::INT AS bytes, sha256(frozen) AS sha256 FROM sources WHERE frozen IS NOT NULL")(lambda s, d: sinks.manifest(files(s, d)))
