@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import graph as G
 from tidemark.plans.common import EVENT, GRAPH, N, V, edges, nodes
 from tidemark.plans.registry import query
+from tidemark.session import as_table
 from tidemark.tables import table
 
 #: The class of founders as the register of nodes writes it, kinds of common ground, and services that help.
@@ -164,16 +165,29 @@ def _listed(c: str):
     return F.array_join(F.sort_array(F.collect_list(c)), " · ")
 
 
+def numbered(df, name: str, ident: str):
+    """(name, ident) of the distinct values; written once, so that the numbers stay the same whenever they are read."""
+    return as_table(df.select(name).distinct().withColumn(ident, F.monotonically_increasing_id()), "numbers")
+
+
+def best(counts, most: int):
+    """The rows of (.., shared) that can be among the first `most`, ties included."""
+    least = counts.orderBy(F.desc("shared")).limit(most).agg(F.min("shared")).first()[0]
+    return counts.where(F.col("shared") >= (least or 0))
+
+
 def conn_talk(spark, d):
-    """Pairs are counted on 8-byte ids first; texts are listed only for the 40 pairs of the report."""
-    g = ground(spark, d).where("what IS NOT NULL")
-    ids = g.select(F.xxhash64("kind", "what").alias("w"), "org")
-    top = (
-        ids.alias("a").join(ids.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.org") < F.col("b.org")))
-        .groupBy(F.col("a.org").alias("org_a"), F.col("b.org").alias("org_b")).agg(F.count("*").alias("shared")).where("shared >= 3").orderBy(F.desc("shared"), "org_a", "org_b").limit(40)
-    )
-    text = g.select("org", F.concat("kind", F.lit(":"), "what").alias("t"))
-    both = top.join(text.withColumnRenamed("org", "org_a"), "org_a").join(text.withColumnRenamed("org", "org_b"), ["org_b", "t"])
+    """Pairs are counted on numbers; names and lists are joined to the candidates of the report only."""
+    g = as_table(ground(spark, d).where("what IS NOT NULL"), "ground")
+    org = numbered(g.groupBy("org").count().where("count >= 3"), "org", "o")  # fewer can't share three
+    text = F.concat("kind", F.lit(":"), "what").alias("t")
+    what = numbered(g.select(text), "t", "w")
+    rows = as_table(g.select("org", text).join(org, "org").join(what, "t").select("o", "w"), "ground")
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.o") < F.col("b.o")))
+    counts = as_table(pairs.groupBy(F.col("a.o").alias("x"), F.col("b.o").alias("y")).agg(F.count("*").alias("shared")).where("shared >= 3"), "talk")
+    named = best(counts, 40).join(org.select(F.col("o").alias("x"), F.col("org").alias("p")), "x").join(org.select(F.col("o").alias("y"), F.col("org").alias("q")), "y")
+    top = named.select("x", "y", F.least("p", "q").alias("org_a"), F.greatest("p", "q").alias("org_b"), "shared").orderBy(F.desc("shared"), "org_a", "org_b").limit(40)
+    both = top.join(rows.select(F.col("o").alias("x"), "w"), "x").join(rows.select(F.col("o").alias("y"), "w"), ["y", "w"]).join(what, "w")
     return both.groupBy("org_a", "org_b", "shared").agg(_listed("t").alias("on_what")).orderBy(F.desc("shared"), "org_a", "org_b")
 
 
@@ -209,9 +223,16 @@ FROM offers o JOIN founder_led f ON f.org <> o.org JOIN ground g1 ON g1.org = o.
 WHERE o.service IN ('incubation', 'mentoring', 'due-diligence') GROUP BY ALL HAVING count(*) >= 2 ORDER BY shared DESC, provider, offer, founder_led LIMIT 40""",
 )
 def conn_help(spark, d):
-    """Equi-joins on the ground first; the inequality is a residual filter."""
-    g = ground(spark, d).where("what IS NOT NULL").select("org", F.concat("kind", F.lit(":"), "what").alias("t"))
-    have = offers(spark, d).where(F.col("service").isin(*HELPING)).join(g, "org").select(F.col("org").alias("provider"), F.col("service").alias("offer"), "t")
-    need = founder_led(spark, d).join(g, "org").select(F.col("org").alias("founder_led"), "t")
-    pairs = have.join(need, "t").where("provider <> founder_led").groupBy("provider", "offer", "founder_led").agg(F.count("*").alias("shared"), _listed("t").alias("on_what"))
-    return pairs.where("shared >= 2").orderBy(F.desc("shared"), "provider", "offer", "founder_led").limit(40)
+    """Shared ground is counted once per pair of organisations on numbers, then each offer of the provider gets it."""
+    g = as_table(ground(spark, d).where("what IS NOT NULL").select("org", F.concat("kind", F.lit(":"), "what").alias("t")), "ground")
+    org, what = numbered(g, "org", "o"), numbered(g, "t", "w")
+    rows = as_table(g.join(org, "org").join(what, "t").select("o", "w"), "ground")
+    give = offers(spark, d).where(F.col("service").isin(*HELPING)).join(org, "org").select("o", F.col("org").alias("provider"), F.col("service").alias("offer"))
+    take = founder_led(spark, d).join(org, "org").select("o", F.col("org").alias("founder_led"))
+    have, need = rows.join(give.select("o").distinct(), "o", "left_semi"), rows.join(take.select("o"), "o", "left_semi")
+    pairs = have.alias("a").join(need.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.o") != F.col("b.o")))
+    counts = as_table(pairs.groupBy(F.col("a.o").alias("x"), F.col("b.o").alias("y")).agg(F.count("*").alias("shared")).where("shared >= 2"), "help")
+    named = best(counts, 40).join(give.withColumnRenamed("o", "x"), "x").join(take.withColumnRenamed("o", "y"), "y")
+    top = named.orderBy(F.desc("shared"), "provider", "offer", "founder_led").limit(40)
+    both = top.join(rows.select(F.col("o").alias("x"), "w"), "x").join(rows.select(F.col("o").alias("y"), "w"), ["y", "w"]).join(what, "w")
+    return both.groupBy("provider", "offer", "founder_led", "shared").agg(_listed("t").alias("on_what")).orderBy(F.desc("shared"), "provider", "offer", "founder_led")
