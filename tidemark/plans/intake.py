@@ -89,3 +89,58 @@ query("ext_tumbling_windows", "SELECT date_trunc('hour', ts) AS start, event_typ
 query("ext_session_windows", "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, count(*) AS n, min(ts) AS start FROM b GROUP BY user_id, k")(
     lambda s, d: S.sessions(t(s, d, "events").withColumn("ts", c("ts").cast("timestamp"))).select("user_id", "n", c("start").cast("timestamp_ntz").alias("start"))
 )
+
+
+@query("src09_agenda", f"WITH {N} SELECT DISTINCT trim(label) AS title, CASE WHEN day IS NULL THEN 'day' ELSE day END AS day FROM n WHERE type = 'Session' AND label IS NOT NULL AND length(label) <= 140 AND NOT regexp_matches(label, '[<&()—–]|[.!?] |^\\s|\\s$|\\s\\s|[^ -~À-ÿ€]')")
+def agenda(s, d):
+    """Sessions dressed as agenda pages of one day each, and read again."""
+    n = nodes(s, d).where(r"type = 'Session' AND label IS NOT NULL AND length(label) <= 140 AND NOT label RLIKE '[<&()—–]|[.!?] |^\\s|\\s$|\\s\\s|[^ -~À-ÿ€]'")
+    html = F.concat(F.lit("<h2>"), F.coalesce("day", F.lit("day")), F.lit("</h2><ul><li>9:00–9:30 — "), "label", F.lit(" (Main Stage)</li></ul>"))
+    return R.agenda_rows(n.select(c("id").alias("page"), html.alias("html"))).select("title", "day").distinct()
+
+
+def feeds(s, d, name):
+    item = F.concat(F.lit("<item><guid>"), "id", F.lit("</guid><title><![CDATA["), "label", F.lit("]]></title><link>l</link><description>d</description></item>"))
+    return nodes(s, d).where("type = 'Session' AND label IS NOT NULL AND NOT label RLIKE '[&<>]'").select(name.alias("feed"), item.alias("xml"))
+
+
+ITEMS = "FROM n WHERE type = 'Session' AND label IS NOT NULL AND NOT regexp_matches(label, '[&<>]')"
+query("src10_rss_items", f"WITH {N} SELECT id AS guid, regexp_replace(regexp_replace(label, '\\s+$', ''), '^\\s+', '') AS title {ITEMS}")(lambda s, d: R.rss_items(feeds(s, d, F.lit("all"))).select("guid", F.regexp_replace(F.regexp_replace("title", r"\s+$", ""), r"^\s+", "").alias("title")))
+query("src11_feed_events", f"WITH {N} SELECT id AS guid, CASE WHEN kind IS NULL THEN 'none' ELSE kind END AS category {ITEMS}")(lambda s, d: R.feed_events(feeds(s, d, F.lit("all")), feeds(s, d, F.coalesce("kind", F.lit("none")))).select("guid", F.array_join("categories", ",").alias("category")))
+
+
+@query("src12_posts", "SELECT doc_id, coalesce(source, 'fallback') AS author FROM documents WHERE text IS NOT NULL")
+def posts(s, d):
+    """Documents dressed as posts: JSON-LD where there is a source, a <meta> else."""
+    ld = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.struct(c("source").alias("name")).alias("author"))), F.lit('</script><meta name="author" content="fallback">'))
+    return R.blog_posts(t(s, d, "documents").where("text IS NOT NULL").select(c("doc_id").alias("page"), ld.alias("html"))).select(c("page").alias("doc_id"), "author")
+
+
+query("src14_mail", "SELECT doc_id, regexp_extract(text, '^(?:From): ([^\\n]*)', 1) AS sender FROM documents WHERE kind = 'memo' AND text LIKE 'From: %'")(
+    lambda s, d: R.mail(t(s, d, "documents").where("kind = 'memo' AND text LIKE 'From: %'").select(F.concat(F.lit("box/entrada/"), "doc_id").alias("path"), c("text").alias("value"))).select(F.regexp_extract("path", r"(\d+)$", 1).cast("bigint").alias("doc_id"), "sender")
+)
+query("src15_cards", "SELECT doc_id, coalesce(nullif(section, ''), 'Card ' || doc_id) AS title FROM documents WHERE text IS NOT NULL AND NOT starts_with(text, '---') AND NOT regexp_matches(text, '(^|\\n)# ')")(
+    lambda s, d: R.cards(t(s, d, "documents").where("text IS NOT NULL AND NOT startswith(text, '---') AND NOT text RLIKE '(^|\\\\n)# '").select(F.concat(F.lit("x/card-"), "doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("---\nsource: s\n"), F.coalesce(F.concat(F.lit("titulo: "), F.nullif("section", F.lit("")), F.lit("\n")), F.lit("")), F.lit("---\n"), "text").alias("value"))).select(F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("doc_id"), "title")
+)
+query("src17_articles", "SELECT a.section AS folder, a.n AS articles, m.n AS memos FROM (SELECT section, count(*) AS n FROM documents WHERE kind = 'article' AND section IS NOT NULL GROUP BY section) a LEFT JOIN (SELECT section, count(*) AS n FROM documents WHERE kind = 'memo' GROUP BY section) m ON m.section = a.section")(
+    lambda s, d: R.articles(
+        t(s, d, "documents").where("kind = 'article' AND section IS NOT NULL").groupBy(c("section").alias("folder")).agg(F.count("*").alias("articles"), F.max("published").alias("date"), F.max("doc_id").alias("slug")),
+        t(s, d, "documents").where("kind = 'memo'").groupBy(c("section").alias("folder")).agg(F.count("*").alias("memos")),
+        t(s, d, "documents").where("kind = 'digest'").groupBy(c("section").alias("folder")).agg(F.count("*").alias("digests")),
+        t(s, d, "documents").where("kind = 'session'").groupBy(c("section").alias("folder")).agg(F.count("*").alias("sessions")),
+    ).select("folder", "articles", "memos")
+)
+
+
+@query("src18_pdf", "SELECT doc_id, trim(regexp_replace(text, ' +', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~]') AND NOT regexp_matches(text, '[()\\\\]') AND length(trim(text)) > 0")
+def pdf(s, d):
+    """Plain texts dressed as PDF streams, and read again."""
+    x = t(s, d, "documents").where(r"text IS NOT NULL AND NOT text RLIKE '[^ -~]' AND NOT text RLIKE '[()\\\\]' AND length(trim(text)) > 0")
+    body = F.encode(F.concat(F.lit("%PDF-1.4\n1 0 obj <<>> stream\nBT ("), "text", F.lit(") Tj ET\nendstream endobj")), "iso-8859-1")
+    return R.pdf_text(x.select(c("doc_id").cast("string").alias("path"), body.alias("content"))).select(c("path").cast("bigint").alias("doc_id"), "text")
+
+
+query("src23_collection", "SELECT doc_id AS n, len(string_split(text, chr(10)))::INT AS lines, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")(
+    lambda s, d: (lambda x: R.collection(x.select("n", "path"), x.select("path", "value")).select("n", "lines", "sha256"))(t(s, d, "documents").where("text IS NOT NULL").select(c("doc_id").alias("n"), c("doc_id").cast("string").alias("path"), c("text").alias("value")))
+)
+query("tx21_literals", "SELECT DISTINCT 'literal' AS kind, label AS value FROM lexicon UNION SELECT 'literal', pt FROM lexicon")(lambda s, d: t(s, d, "lexicon").select(F.lit("literal").alias("kind"), F.explode(F.array("label", "pt")).alias("value")).distinct())
