@@ -27,7 +27,9 @@ CAPITAL = re.compile(r"\b[A-ZÀ-Ý]")
 #: Who speaks at the start of a line of a transcript.
 SPEAKER = re.compile(r"^\s*[^\W\d_]+(?: [^\W\d_]+){1,3}: ")
 PRICE = re.compile(r"(?:€|\$|£|\bEUR|\bUSD)\s?\d|\b[A-Z]{2}-\d{2,}")
-CUT = re.compile(r"\n+|(?<=[.!?…])\s+")
+CURRENCIES = ("€", "$", "£", "EUR", "USD")
+CODE = re.compile(r"[A-Z]{2}-\d{2}")
+CUT = re.compile(r"(?<=[.!?…])\s+")
 WORD = re.compile(r"[^\W_]+")
 #: Labelled pages used for training at most; they are drawn by hash from all pages the rules are sure of.
 MAX_TRAINING = 4000
@@ -37,17 +39,18 @@ NAMES = ["words", "function", "distinct", "top_word", "repeated", "url_chars", "
 def features(text: str) -> list[float]:
     """Content and link features of one page, of the whole text."""
     linked = LINKED.search(text) is not None
+    has_price = any(x in text for x in CURRENCIES) or CODE.search(text) is not None
     segments, words = [], []
-    for s in CUT.split(text):
-        if s and not s.isspace():
-            w = WORD.findall((URL.sub(" ", s) if linked else s).lower())
-            segments.append((s, w))
-            words += w
+    for line in text.split("\n"):
+        for s in CUT.split(line) if line else ():
+            if s and not s.isspace():
+                w = WORD.findall((URL.sub(" ", s) if linked else s).lower())
+                segments.append((s, w))
+                words += w
     n = len(words)
     counts = Counter(words)
-    grams = Counter(zip(words, words[1:]))
     least = max(3, 0.004 * n)
-    often = {g: c for g, c in grams.items() if c >= least}
+    often = {g: c for g, c in Counter(zip(words, words[1:])).items() if c >= least}
     known, is_function, repeats = counts.__getitem__, FUNCTION_WORDS.__contains__, often.__contains__
     all_repeated = sum(often.values())
     bad = good = neutral = price = short = run = longest = url_chars = urls = capitals = functions = 0
@@ -62,7 +65,7 @@ def features(text: str) -> list[float]:
         functions += fw
         # what can't reach the share isn't counted
         rep = sum(map(repeats, zip(w, w[1:]))) / (k - 1) if k > 1 and all_repeated >= 0.45 * (k - 1) else 0.0
-        priced = PRICE.search(s) is not None
+        priced = has_price and k <= 24 and PRICE.search(s) is not None  # longer ones are told text
         short += k <= 4
         price += size * (priced and k <= 16)
         listed = (s.count(",") + s.count("/") + s.count("·") + s.count("|") + s.count("#")) / max(1, k) if not links else 0.0
