@@ -8,6 +8,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import salted_join
+from tidemark.session import as_table
+
 #: Accented letters and what they fold to (fixed values, in pairs).
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyaaaaaaeeeeiiiiooooouuuucny"
@@ -266,7 +269,12 @@ def entries_of(role_list: DataFrame, lexicon: DataFrame) -> list[tuple]:
 
 
 def canonical_entries(people: DataFrame, nodes: DataFrame, tags: DataFrame, role_list: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(field, rec, value, entry) for every free value; each distinct value is searched once, then joined back."""
-    rows = free_values(people, nodes, tags)
-    mapped = map_values(rows.select("field", "value").distinct(), entries_of(role_list, lexicon))
-    return rows.join(mapped, ["field", "value"]).select("field", "rec", "value", "entry")
+    """(field, rec, value, entry) for every free value; each distinct value is searched once, then joined back.
+
+    Null and blank values and persons without id are left out, repeated rows
+    count once, empty tables give no rows. A title that very many persons have
+    is split in the join back.
+    """
+    rows = as_table(free_values(people, nodes, tags), "free-values")
+    mapped = as_table(map_values(rows.select("field", "value").distinct(), entries_of(role_list, lexicon)), "mapped-values")
+    return salted_join(rows, mapped, ["field", "value"], "inner").select("field", "rec", "value", "entry")
