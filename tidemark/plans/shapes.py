@@ -307,7 +307,7 @@ def output_cap(s, d):
 query("so07_stated_truncation", "SELECT topic, array_to_string(list_slice(list_sort(list(DISTINCT person)), 1, 5), ',') AS shown, greatest(count(DISTINCT person) - 5, 0) AS cut FROM person_topics GROUP BY topic")(lambda s, d: t(s, d, "person_topics").groupBy("topic").agg(F.sort_array(F.collect_set("person")).alias("p")).select("topic", F.array_join(F.slice("p", 1, 5), ",").alias("shown"), F.greatest(F.size("p") - 5, F.lit(0)).cast("bigint").alias("cut")))
 
 
-@query("so08_path_cap", f"WITH {GRAPH} SELECT count(*) > 300 AS capped FROM (SELECT 1 FROM n s JOIN e e1 ON e1.source = s.id AND e1.verb = 'features' JOIN n p ON p.id = e1.target JOIN e e2 ON e2.source = p.id AND e2.verb = 'speaks_on' WHERE s.type = 'Session' LIMIT 301)")
+@query("so08_path_cap", f"WITH {GRAPH} SELECT count(*) > 300 AS capped FROM (SELECT s.id FROM n s JOIN e e1 ON e1.source = s.id AND e1.verb = 'features' JOIN n p ON p.id = e1.target JOIN e e2 ON e2.source = p.id AND e2.verb = 'speaks_on' WHERE s.type = 'Session')")
 def path_cap(s, d):
     paths = G.path_pattern(edges(s, d), nodes(s, d), c("type") == "Session", [("features", "out", c("type").isNotNull()), ("speaks_on", "out", None)], cap=300)
     return paths.agg((F.count("*") > 300).alias("capped"))
