@@ -140,6 +140,37 @@ def test_text_functions(spark):
     assert X.link_entities("AI Lab and <a>AI Lab</a> `AI` then AI", {"AI": "x", "AI Lab": "y"}) == [("AI Lab", "y", 0), ("AI", "x", 35)]
 
 
+def test_mask_against_brute_force(spark):
+    import re
+
+    words = X.MONTHS_DAYS.split("|")
+    texts = ["Terça-feira, 3 de Março de 2026", "MARÇO março sábado 12", "maiores maio2024 2maio", "Mayor of May, may_be", "Sábado—domingo", "#1 no @ de maio, a@b.example", "ágosto\nagosto", "٣ de junho", "", "dia 1 000", "segunda-feira-feira"]
+
+    def brute(text):
+        out, took, i = "", [], 0
+        letter = lambda k: 0 <= k < len(text) and (text[k].isalpha() or text[k] == "_")
+        while i < len(text):
+            hit = re.match("[0-9]+", text[i:])
+            word = next((w for w in words if text[i : i + len(w)].lower() == w and not letter(i - 1) and not letter(i + len(w))), "")
+            took += [hit.group()] if hit else [text[i : i + len(word)]] if word else [text[i]] if text[i] in "#@" else []
+            out += "#" if hit else "@" if word else text[i]
+            i += len(hit.group()) if hit else len(word) or 1
+        return out, took
+
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", X.mask(F.col("text")).alias("m"), X.masked_values(F.col("text")).alias("v"), X.fill(X.mask(F.col("text")), X.masked_values(F.col("text"))).alias("f")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.m, r.v) == brute(r.text) and r.f == r.text
+    assert next(r.m for r in rows if r.text.startswith("Terça")) == "@, # de @ de #"
+
+
+def test_mask_takes_every_text(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    spark.createDataFrame([(1, "3 de março"), (2, "plain 7"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in catalogue.QUERIES["tx25_mask_all"](spark, str(tmp_path)).collect()} == {(1, "# de @"), (2, "plain #")}
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "v", "b"), ("b", "v", "c"), ("c", "w", "d"), ("a", "v", "a"), ("x", "v", "y")], "source string, verb string, target string")
     assert {tuple(r) for r in G.degree(e).collect()} == {("a", 2), ("b", 2), ("c", 2), ("d", 1), ("x", 1), ("y", 1)}

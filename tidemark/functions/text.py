@@ -86,17 +86,18 @@ def clipped(c: Column, n: int) -> Column:
 
 #: Months and weekdays of both languages, masked as '@' (fixed values).
 MONTHS_DAYS = "janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro|january|february|march|april|may|june|july|august|september|october|november|december|segunda-feira|terça-feira|quarta-feira|quinta-feira|sexta-feira|sábado|domingo|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
-TOKENS = rf"(?i)\d+|\b(?:{MONTHS_DAYS})\b"
+#: One of them as a word of its own; a digit beside it ends the word, too.
+MONTH_DAY = rf"(?<![\p{{L}}\p{{M}}_])(?:{MONTHS_DAYS})(?![\p{{L}}\p{{M}}_])"
 
 
 def mask(c: Column) -> Column:
     """Template of a text: digit runs are '#', months and weekdays '@'."""
-    return F.regexp_replace(F.regexp_replace(c, r"\d+", "#"), rf"(?iU)\b(?:{MONTHS_DAYS})\b", "@")
+    return F.regexp_replace(F.regexp_replace(c, f"(?iu){MONTH_DAY}", "@"), "[0-9]+", "#")
 
 
 def masked_values(c: Column) -> Column:
-    """What mask() took out, in order."""
-    return F.regexp_extract_all(c, F.lit(rf"(?iU)\d+|\b(?:{MONTHS_DAYS})\b"), F.lit(0))
+    """What stands at each '#' and '@' of mask(), in order; a '#' or '@' of the text itself stands for itself."""
+    return F.regexp_extract_all(c, F.lit(f"(?iu)[#@]|[0-9]+|{MONTH_DAY}"), F.lit(0))
 
 
 def fill(template: Column, values: Column) -> Column:

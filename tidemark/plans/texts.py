@@ -97,6 +97,9 @@ def mask_and_fill(s, d):
 query("tx25_mask", "SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS mask FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(lower(text), 'day|january|february|march|april|may|june|july|august|september|october|november|december|maio|junho|julho|agosto|abril|janeiro|outubro|domingo|feira|setembro|novembro|dezembro|fevereiro')")(
     lambda s, d: docs(s, d).where("NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND NOT lower(text) RLIKE 'day|january|february|march|april|may|june|july|august|september|october|november|december|maio|junho|julho|agosto|abril|janeiro|outubro|domingo|feira|setembro|novembro|dezembro|fevereiro'").select("doc_id", X.mask(c("text")).alias("mask"))
 )
+#: The month and weekday rule of mask() for SQL, which can't look around: one pass takes every other of adjacent ones, the second the rest.
+SQL_MONTH_DAY = f"'(?i)(^|[^\\pL\\pM_])(?:{X.MONTHS_DAYS})([^\\pL\\pM_]|$)', '\\1@\\2', 'g'"
+query("tx25_mask_all", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {SQL_MONTH_DAY}), {SQL_MONTH_DAY}), '[0-9]+', '#', 'g') AS mask FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", X.mask(c("text")).alias("mask")))
 query("tx26_quotes", "SELECT doc_id, regexp_replace(text, '«[^»]*»', '¤', 'g') AS mask, len(regexp_extract_all(text, '«[^»]*»'))::INT AS quotes FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", F.regexp_replace("text", "«[^»]*»", "¤").alias("mask"), F.regexp_count("text", F.lit("«[^»]*»")).alias("quotes")))
 query("tx27_looks_portuguese")(lambda s, d: docs(s, d).select("doc_id", X.looks_portuguese(c("text")).alias("portuguese")))
 query("tx28_comment_language")(lambda s, d: docs(s, d).select("doc_id", X.comment_is_portuguese(c("text")).alias("portuguese")))
