@@ -12,7 +12,7 @@ from tidemark.plans.evidence import threads
 from tidemark.sources import readers as R
 from tidemark.sources import sinks
 from tidemark.sources.console import Console
-from tidemark.sources.pdf import text_of
+from tidemark.sources.pdf import dressed, text_of
 from tidemark.streaming import captures as S
 
 
@@ -125,6 +125,20 @@ def test_pdf():
     assert text_of(pdf) == "Hello (w)\nA B\néab" and text_of(b"x") == "" and text_of(None) == ""
 
 
+@pytest.mark.parametrize("flate", [False, True])
+def test_dressed_pdf_gives_the_text_back(spark, flate):
+    texts = ["plain", "a (b) c) ( \\ d\\n \\101", "two\nlines\r\nof it", "ação é ÿ", "— «Olá» € 1 (x)", "日本 𝒳 \\ end", "[x] TJ (y) Tj <41> ET", ""]
+    for x in texts:
+        assert text_of(dressed(x, flate)) == x
+
+
+def test_pdf_takes_every_text(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    spark.createDataFrame([(1, "é (a)\n\nb\\"), (2, "—  x "), (3, None), (4, " ")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in catalogue.QUERIES["src18_pdf_all"](spark, str(tmp_path)).collect()} == {(1, "é (a)\nb\\"), (2, "— x"), (4, "")}
+
+
 def test_excerpts():
     long = "a" * 40 + " middle " + "b" * 40 + " and more " + "c" * 40
     assert X.locate_excerpt("middle", long) == ("exacta", 1)

@@ -140,6 +140,25 @@ def pdf(s, d):
     return R.pdf_text(x.select(c("doc_id").cast("string").alias("path"), body.alias("content"))).select(c("path").cast("bigint").alias("doc_id"), "text")
 
 
+#: Blanks that Python's strip() takes off.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query("src18_pdf_all", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{{2,}}', chr(10), 'g'), '^{BLANK}|{BLANK}$', '', 'g') AS text FROM documents WHERE text IS NOT NULL")
+def pdf_all(s, d):
+    """Every text dressed as a PDF, escaped or coded with a ToUnicode map, each other one compressed, and read again."""
+    import pandas as pd
+
+    from tidemark.sources.pdf import dressed
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": b["doc_id"].astype(str), "content": [dressed(x, i % 2 == 0) for i, x in zip(b["doc_id"], b["text"])]})
+
+    x = t(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    return R.pdf_text(x).select(c("path").cast("bigint").alias("doc_id"), "text")
+
+
 query("src23_collection", "SELECT doc_id AS n, len(string_split(text, chr(10)))::INT AS lines, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")(
     lambda s, d: (lambda x: R.collection(x.select("n", "path"), x.select("path", "value")).select("n", "lines", "sha256"))(t(s, d, "documents").where("text IS NOT NULL").select(c("doc_id").alias("n"), c("doc_id").cast("string").alias("path"), c("text").alias("value")))
 )
