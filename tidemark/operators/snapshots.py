@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.captures import Captures, captures, latest_rows
@@ -55,6 +55,15 @@ def diff_snapshots(rows: DataFrame, known: Captures, values: list[str]) -> DataF
     return ranged.mapInArrow(lambda batches: merge_range(batches, values, last), "ordinal int, key string, change string")
 
 
+def changed_values(rows: DataFrame, known: Captures, values: list[str]) -> DataFrame:
+    """(ordinal, key, field, was, now) for every field that differs between a snapshot and the one before; nulls are values."""
+    per_key = Window.partitionBy("key").orderBy("ordinal")
+    now = F.struct(*values)
+    x = rows.select("key", "ordinal", now.alias("now"), F.lag("ordinal").over(per_key).alias("before"), F.lag(now).over(per_key).alias("was"))
+    fields = F.array(*[F.struct(F.lit(v).alias("field"), F.col(f"was.{v}").alias("was"), F.col(f"now.{v}").alias("now")) for v in values])
+    return x.where("before = ordinal - 1").select("ordinal", "key", F.inline(fields)).where("NOT was <=> now")
+
+
 def changes(people: DataFrame, sources: DataFrame | None = None, key: str = "id", values: tuple[str, ...] = ("name", "role", "org")) -> tuple[DataFrame, Captures]:
     known = captures(people, sources)
     rows = latest_rows(people, known, key, list(values))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import snapshots as S
+from tidemark.operators.captures import captures, latest_rows
 from tidemark.plans.common import GRAPH, N, edges, nodes
 from tidemark.plans.evolution import WINNERS
 from tidemark.plans.registry import query
@@ -18,11 +19,31 @@ c = F.col
 
 @query("ev01_snapshot_diff", f"WITH {WINNERS}, ch AS (SELECT b.k, b.id FROM win b LEFT JOIN win a ON a.id = b.id AND a.k = b.k - 1 WHERE b.k > 0 AND a.id IS NULL) SELECT cap.snapshot AS to_snapshot, 'added' AS change, count(*) AS n FROM ch JOIN cap USING (k) GROUP BY ALL")
 def snapshot_diff(s, d):
-    """Counts of additions per capture; p6_found has every kind of change."""
+    """Counts of additions per capture; ev01_all_changes has every kind of change."""
     diff, known = S.changes(t(s, d, "people"))
     return diff.where("change = 'added'").groupBy("ordinal", "change").agg(F.count("*").alias("n")).select(known.name_at(c("ordinal")).alias("to_snapshot"), "change", "n")
 
 
+PAIRS = f"""WITH {WINNERS}, pairs AS (SELECT a.id, a.k + 1 AS k, b.id IS NULL AS gone, a.name AS n0, b.name AS n1, a.role AS r0, b.role AS r1, a.org AS o0, b.org AS o1 FROM win a LEFT JOIN win b ON b.id = a.id AND b.k = a.k + 1 WHERE a.k < (SELECT max(k) FROM cap)),
+ch AS (SELECT k, id, 'name' AS field, n0 AS was, n1 AS now FROM pairs WHERE NOT gone AND n0 IS DISTINCT FROM n1 UNION ALL SELECT k, id, 'role', r0, r1 FROM pairs WHERE NOT gone AND r0 IS DISTINCT FROM r1 UNION ALL SELECT k, id, 'org', o0, o1 FROM pairs WHERE NOT gone AND o0 IS DISTINCT FROM o1)"""
+
+
+@query("ev01_all_changes", f"{PAIRS}, kinds AS (SELECT k, field AS change FROM ch UNION ALL SELECT k, 'removed' FROM pairs WHERE gone UNION ALL SELECT b.k, 'added' FROM win b LEFT JOIN win a ON a.id = b.id AND a.k = b.k - 1 WHERE b.k > 0 AND a.id IS NULL) SELECT cap.snapshot AS to_snapshot, change, count(*) AS n FROM kinds JOIN cap USING (k) GROUP BY ALL")
+def all_changes(s, d):
+    """Counts of every kind of change per capture: 'added', 'removed', or the field that changed."""
+    diff, known = S.changes(t(s, d, "people"))
+    return diff.groupBy("ordinal", "change").agg(F.count("*").alias("n")).select(known.name_at(c("ordinal")).alias("to_snapshot"), "change", "n")
+
+
+@query("ev01_changed_values", f"{PAIRS} SELECT cap.snapshot AS to_snapshot, ch.id AS person, field, was, now FROM ch JOIN cap USING (k)")
+def changed_values(s, d):
+    values = ["name", "role", "org"]
+    people = t(s, d, "people")
+    known = captures(people)
+    x = S.changed_values(latest_rows(people, known, "id", values), known, values)
+    return x.select(known.name_at(c("ordinal")).alias("to_snapshot"), c("key").alias("person"), "field", "was", "now")
+
+
 query("ev02_declared_count", "SELECT o.id, coalesce(json_array_length(o.people), 0)::BIGINT AS declared, (SELECT count(DISTINCT p.id) FROM people p WHERE p.org = o.name) AS counted FROM (SELECT DISTINCT id, name, people FROM orgs) o")(
     lambda s, d: t(s, d, "orgs").select("id", "name", "people").distinct().join(t(s, d, "people").groupBy(c("org").alias("name")).agg(F.countDistinct("id").alias("k")), "name", "left").select("id", F.coalesce(F.json_array_length("people"), F.lit(0)).cast("bigint").alias("declared"), F.coalesce("k", F.lit(0)).alias("counted"))
 )
