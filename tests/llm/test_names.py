@@ -80,3 +80,12 @@ def test_variants(spark, monkeypatch, shard):
     df = spark.createDataFrame([(*o, "s", 1) for o in ORGS], SCHEMA + ", sig string, w int")
     assert {tuple(r) for r in N.variants(df).collect()} == WANT
     assert N.variants(df.limit(0)).count() == 0
+
+
+def test_a_misspelling_with_many_persons_is_still_linked(spark):
+    """Persons don't make a stem established: 400 of them, or 4 ids of one spelling, stand for one spelling."""
+    many = "[" + ", ".join(f'"p{i}"' for i in range(400)) + "]"
+    right = ["Gospunzedin Logistics", "Gospunzedin Logistics, Lda.", "GOSPUNZEDIN LOGISTICS", "Grupo Gospunzedin Logistics", "Gospunzedin  Logistics"]
+    rows = [(f"r{k}", x, "[]", 0) for k, x in enumerate(right)] + [("m0", "Gospunzedni Logistics", many, 0)] + [(f"m{k}", "Gospunzdin Logistics", "[]", 0) for k in range(1, 5)]
+    ids = sorted(r[0] for r in rows)
+    assert {tuple(r) for r in N.variants(spark.createDataFrame(rows, SCHEMA)).collect()} == {(a, b) for a in ids for b in ids if a < b}

@@ -358,9 +358,10 @@ def trie_join(stems: DataFrame, probes: DataFrame, shard: int = SHARD) -> DataFr
 def representatives(stems: DataFrame, probes: DataFrame, hops: int = 3) -> DataFrame:
     """(sig, stem, cut, rep): the weightiest stem within the bounds, and from there on uphill up to `hops` steps.
 
-    Weight is the number of spellings with the stem, with the persons on them
-    as a small part, so a misspelling goes to the usual spelling and two usual
-    spellings don't melt over a chain of weak ones.
+    Weight is the number of distinct spellings with the stem; the persons on
+    them are a part below 1, so they decide between as many spellings only and
+    no number of them makes a stem established. A misspelling goes to the usual
+    spelling and two usual spellings don't melt over a chain of weak ones.
     """
     exact = probes.where("NOT cut").join(stems, ["sig", "stem"])
     usual = exact.where(F.col("w") >= ESTABLISHED).select("sig", "stem", "cut", F.col("stem").alias("rep"))
@@ -392,7 +393,8 @@ def entities(orgs: DataFrame) -> DataFrame:
     flat = names.select("id", "name", "kind", F.explode("sigs").alias("sig"), "stems", "cut", "weight", (F.size("sigs") == 1).alias("full"))
     each = flat.select("*", F.explode("stems").alias("stem")).withColumn("is_cut", F.col("stem") == F.col("cut"))
     each = as_table(each, "name-stems")
-    stems = each.where("full").groupBy("sig", "stem").agg(F.sum("weight").alias("w"))
+    persons_ = F.sum(F.col("weight") - 1)
+    stems = each.where("full").groupBy("sig", "stem").agg((F.count_distinct("name") + persons_ / (1 + persons_)).alias("w"))
     probes = each.groupBy("sig", "stem", F.col("is_cut").alias("cut")).agg(F.bool_and(~F.col("full")).alias("many"))
     probes = probes.unionByName(stems.select("sig", "stem", F.lit(False).alias("cut"), F.lit(False).alias("many"))).groupBy("sig", "stem", "cut").agg(F.bool_and("many").alias("many"))
     reps = representatives(stems, probes)
