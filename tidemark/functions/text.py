@@ -33,6 +33,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def escaped(c: Column) -> Column:
+    """Text as it stands in HTML or XML: '&', '<' and '>' as entities."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def visible(page: Column, entities: bool = True) -> Column:
     """Text of a page: scripts, styles and drawings go, tags become spaces, entities are read after the tags are gone."""
     bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style|svg)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
@@ -103,8 +108,8 @@ def masked_values(c: Column) -> Column:
 def fill(template: Column, values: Column) -> Column:
     """The inverse of mask(): the k-th placeholder gets the k-th value."""
     parts = F.split(template, "[#@]")
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.coalesce(F.get(values, i - 1), F.lit("")), F.coalesce(F.get(parts, i), F.lit(""))))
-    return F.when(F.size(parts) == 1, template).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(each, "")))
+    each = F.zip_with(F.slice(values, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts)), lambda v, p: F.concat(F.coalesce(v, F.lit("")), F.coalesce(p, F.lit(""))))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(each, ""))
 
 
 #: Evidence of Portuguese: letters English hardly has, and function words (fixed values).

@@ -8,6 +8,7 @@ from tidemark.functions import text as X
 from tidemark.operators import graph as G
 from tidemark.plans.common import N, nodes
 from tidemark.plans.registry import query
+from tidemark.plans.texts import WS
 from tidemark.sources import readers as R
 from tidemark.sources import sinks
 from tidemark.sources.console import Console
@@ -46,6 +47,13 @@ def speaker_cards(s, d):
     return R.speaker_cards(p.select(c("id").alias("page"), F.expr(LI).alias("html"))).select("id", "name", "role").distinct()
 
 
+@query("src08_speaker_cards_all", "SELECT DISTINCT id, trim(replace(name, '\\n', ' ')) AS name, nullif(trim(replace(role, '\\n', ' ')), '') AS role FROM people WHERE id IS NOT NULL AND name IS NOT NULL")
+def speaker_cards_all(s, d):
+    """Cards of every person with an id and a name, with or without a role, values escaped in the page."""
+    p = t(s, d, "people").where("id IS NOT NULL AND name IS NOT NULL").select("id", X.escaped(c("name")).alias("name"), F.coalesce(X.escaped(c("role")), F.lit("")).alias("role"))
+    return R.speaker_cards(p.select(c("id").alias("page"), F.expr(LI).alias("html"))).select("id", "name", "role").distinct()
+
+
 query("src13_slug_gap", "SELECT topic AS slug, 'sitemap' AS side FROM (SELECT topic FROM person_topics WHERE topic IS NOT NULL EXCEPT SELECT label FROM nodes WHERE type = 'Topic') UNION ALL SELECT label, 'feed' FROM (SELECT label FROM nodes WHERE type = 'Topic' AND label IS NOT NULL EXCEPT SELECT topic FROM person_topics)")(
     lambda s, d: R.slug_gap(t(s, d, "person_topics").where("topic IS NOT NULL").select(c("topic").alias("slug")), t(s, d, "nodes").where("type = 'Topic' AND label IS NOT NULL").select(c("label").alias("slug")))
 )
@@ -99,6 +107,17 @@ def agenda(s, d):
     return R.agenda_rows(n.select(c("id").alias("page"), html.alias("html"))).select("title", "day").distinct()
 
 
+LINE = f"trim(regexp_replace(replace(label, '\\n', ' ') || ' (Main Stage)', '{WS}', ' ', 'g'))"
+
+
+@query("src09_agenda_all", f"WITH {N} SELECT DISTINCT substr(trim(regexp_replace(regexp_replace({LINE}, '\\s*\\([^()]*\\)', '', 'g'), '([.!?]) .*$', '\\1')), 1, 140) AS title, CASE WHEN day IS NULL THEN 'day' ELSE trim(day) END AS day FROM n WHERE type = 'Session' AND label IS NOT NULL")
+def agenda_all(s, d):
+    """Every session with a label, escaped; the reader's cuts of a title (brackets, first sentence, length) are in the SQL."""
+    n = nodes(s, d).where("type = 'Session' AND label IS NOT NULL")
+    html = F.concat(F.lit("<h2>"), X.escaped(F.coalesce("day", F.lit("day"))), F.lit("</h2><ul><li>9:00–9:30 — "), X.escaped(c("label")), F.lit(" (Main Stage)</li></ul>"))
+    return R.agenda_rows(n.select(c("id").alias("page"), html.alias("html"))).select("title", "day").distinct()
+
+
 def feeds(s, d, name):
     item = F.concat(F.lit("<item><guid>"), "id", F.lit("</guid><title><![CDATA["), "label", F.lit("]]></title><link>l</link><description>d</description></item>"))
     return nodes(s, d).where("type = 'Session' AND label IS NOT NULL AND NOT label RLIKE '[&<>]'").select(name.alias("feed"), item.alias("xml"))
@@ -109,6 +128,16 @@ query("src10_rss_items", f"WITH {N} SELECT id AS guid, regexp_replace(regexp_rep
 query("src11_feed_events", f"WITH {N} SELECT id AS guid, CASE WHEN kind IS NULL THEN 'none' ELSE kind END AS category {ITEMS}")(lambda s, d: R.feed_events(feeds(s, d, F.lit("all")), feeds(s, d, F.coalesce("kind", F.lit("none")))).select("guid", F.array_join("categories", ",").alias("category")))
 
 
+def feeds_all(s, d, name):
+    item = F.concat(F.lit("<item><guid>"), X.escaped(c("id")), F.lit("</guid><title><![CDATA["), X.escaped(c("label")), F.lit("]]></title><link>l</link><description>d</description></item>"))
+    return nodes(s, d).where("type = 'Session' AND label IS NOT NULL").select(name.alias("feed"), item.alias("xml"))
+
+
+ALL_ITEMS = "FROM n WHERE type = 'Session' AND label IS NOT NULL"
+query("src10_rss_items_all", f"WITH {N} SELECT id AS guid, regexp_replace(regexp_replace(label, '\\s+$', ''), '^\\s+', '') AS title {ALL_ITEMS}")(lambda s, d: R.rss_items(feeds_all(s, d, F.lit("all"))).select("guid", F.regexp_replace(F.regexp_replace("title", r"\s+$", ""), r"^\s+", "").alias("title")))
+query("src11_feed_events_all", f"WITH {N} SELECT id AS guid, CASE WHEN kind IS NULL THEN 'none' ELSE kind END AS category {ALL_ITEMS}")(lambda s, d: R.feed_events(feeds_all(s, d, F.lit("all")), feeds_all(s, d, F.coalesce("kind", F.lit("none")))).select("guid", F.array_join("categories", ",").alias("category")))
+
+
 @query("src12_posts", "SELECT doc_id, coalesce(source, 'fallback') AS author FROM documents WHERE text IS NOT NULL")
 def posts(s, d):
     """Documents dressed as posts: JSON-LD where there is a source, a <meta> else."""

@@ -47,6 +47,15 @@ def largest_noscript(s, d):
     return docs(s, d).where(~c("text").contains("<")).select("doc_id", F.array_max(F.transform(blocks, F.length)).alias("chars"))
 
 
+@query("tx02_largest_noscript_all", "SELECT doc_id, greatest(length(text), 3)::INT AS chars FROM documents WHERE text IS NOT NULL")
+def largest_noscript_all(s, d):
+    """Every text, escaped in the page and read again."""
+    html = F.concat(F.lit("<noscript>abc</noscript><noscript>"), X.escaped(c("text")), F.lit("</noscript>"))
+    blocks = F.regexp_extract_all(html, F.lit("(?is)<noscript>(.*?)</noscript>"), F.lit(1))
+    read = lambda x: F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return docs(s, d).select("doc_id", F.array_max(F.transform(blocks, lambda x: F.length(read(x)))).alias("chars"))
+
+
 query("tx03_stripped")(lambda s, d: pages(s, d).select("doc_id", X.stripped(c("html")).alias("text")))
 query("tx04_between_headings", f"SELECT doc_id, regexp_extract(html, '(?s)<h2>Bio</h2>(.*?)<h2>', 1) AS bio FROM (SELECT doc_id, {PAGE} AS html FROM documents WHERE text IS NOT NULL)")(lambda s, d: pages(s, d).select("doc_id", F.regexp_extract("html", "(?s)<h2>Bio</h2>(.*?)<h2>", 1).alias("bio")))
 query("tx05_first_match", "SELECT doc_id, CASE WHEN regexp_matches(text, '[Dd]ados [a-z]+') THEN substr(regexp_extract(text, '[Dd]ados [a-z]+'), 1, 40) END AS matched FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", X.first_match(c("text"), "[Dd]ados [a-z]+").alias("matched")))
@@ -94,6 +103,7 @@ def mask_and_fill(s, d):
     return x.select("doc_id", (X.fill(X.mask(c("text")), X.masked_values(c("text"))) == c("text")).alias("same"))
 
 
+query("tx25_fill_all", "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", (X.fill(X.mask(c("text")), X.masked_values(c("text"))) == c("text")).alias("same")))
 query("tx25_mask", "SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS mask FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(lower(text), 'day|january|february|march|april|may|june|july|august|september|october|november|december|maio|junho|julho|agosto|abril|janeiro|outubro|domingo|feira|setembro|novembro|dezembro|fevereiro')")(
     lambda s, d: docs(s, d).where("NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND NOT lower(text) RLIKE 'day|january|february|march|april|may|june|july|august|september|october|november|december|maio|junho|julho|agosto|abril|janeiro|outubro|domingo|feira|setembro|novembro|dezembro|fevereiro'").select("doc_id", X.mask(c("text")).alias("mask"))
 )
