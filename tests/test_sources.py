@@ -73,6 +73,12 @@ def test_mail_cards_and_threads(spark):
     assert inv == {"a/b.md": "first", "c-d.md": "other", "e/some-name.md": "third"}
 
 
+def test_threads_have_no_depth_limit(spark):
+    rows = [(1, None)] + [(k, k - 1) for k in range(2, 41)] + [(50, 1), (50, 51), (51, 50)]
+    got = {tuple(r) for r in threads(spark.createDataFrame(rows, "id int, parent int")).collect()}
+    assert got == {(k, 1, k - 1) for k in range(1, 41)} | {(50, 1, 1), (51, 1, 2)}
+
+
 def test_bundles_robots_log_and_collection(spark):
     man = spark.createDataFrame([("x", "f1", "00"), ("y", "f2", "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881")], "bundle string, file string, sha256 string")
     files = spark.createDataFrame([("f1", bytearray(b"y")), ("f2", bytearray(b"x"))], "file string, content binary")

@@ -122,19 +122,23 @@ query("ev17_unknown", f"WITH {N} SELECT DISTINCT person FROM (SELECT person FROM
 )
 
 
-def threads(messages: DataFrame, most: int = 32) -> DataFrame:
+def threads(messages: DataFrame) -> DataFrame:
     """(id, root, depth) of messages (id, parent): roots have no delivered parent; a cycle has no root and gives no row.
 
-    A frontier loop: each round joins only the replies found last.
+    A frontier loop: each round joins only the replies found last, until there
+    are none. A message with several parents counts at its least depth below a
+    root, so a cycle behind such a one ends, too.
     """
     m = as_table(messages.select("id", "parent").distinct(), "messages")
-    found = m.join(m.select(c("id").alias("parent")), "parent", "left_anti").select("id", c("id").alias("root"), F.lit(0).alias("depth"))
-    frontier = found
-    for depth in range(1, most + 1):
-        frontier = as_table(frontier.select(c("id").alias("parent"), "root").join(m, "parent").select("id", "root", F.lit(depth).alias("depth")), "replies")
-        if frontier.isEmpty():
-            break
+    found = frontier = as_table(m.join(m.select(c("id").alias("parent")), "parent", "left_anti").select("id", c("id").alias("root"), F.lit(0).alias("depth")).distinct(), "roots")
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        replies = frontier.select(c("id").alias("parent"), "root").join(m, "parent").select("id", "root", F.lit(depth).alias("depth")).distinct()
+        frontier = as_table(replies.join(found.select("id", "root"), ["id", "root"], "left_anti"), "replies")
         found = found.unionByName(frontier)
+        if depth % 16 == 0:  # else the plan grows with the depth
+            found = as_table(found, "threads")
     return found
 
 
