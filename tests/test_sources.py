@@ -201,6 +201,12 @@ def test_mask_takes_every_text(spark, tmp_path):
     assert {tuple(r) for r in catalogue.QUERIES["tx25_mask_all"](spark, str(tmp_path)).collect()} == {(1, "# de @"), (2, "plain #")}
 
 
+def test_distance_has_no_limit(spark):
+    e = spark.createDataFrame([(f"n{i}", "v", f"n{i + 1}") for i in range(8)] + [("x", "v", "y")], "source string, verb string, target string")
+    assert G.distance(e, "n0", "n8").first().length == 8
+    assert G.distance(e, "n0", "x").first().length is None and G.distance(e, "n0", "n8", 4).first().length is None
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "v", "b"), ("b", "v", "c"), ("c", "w", "d"), ("a", "v", "a"), ("x", "v", "y")], "source string, verb string, target string")
     assert {tuple(r) for r in G.degree(e).collect()} == {("a", 2), ("b", 2), ("c", 2), ("d", 1), ("x", 1), ("y", 1)}

@@ -77,19 +77,22 @@ def within_hops(edges: DataFrame, start: DataFrame, hops: int, cut: bool = True)
     return known
 
 
-def distance(edges: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
-    """(start, end, length): length of the shortest undirected path; null beyond `most` steps."""
+def distance(edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
+    """(start, end, length): length of the shortest undirected path; null if there is none (or, with `most`, none of so few steps)."""
     spark = edges.sparkSession
     steps = as_table(both_ways(edges).select("id", "other").where("id IS NOT NULL AND other IS NOT NULL").distinct(), "steps")
     known = spark.createDataFrame([(start,)], "id string")
-    frontier, found = known, 0 if start == end else None
-    for k in range(1, most + 1):
-        if found is not None:
-            break
+    frontier, found, k = known, 0 if start == end else None, 0
+    while found is None and (most is None or k < most):
+        k += 1
         frontier = as_table(frontier.join(steps, "id").select(F.col("other").alias("id")).distinct().join(known, "id", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
         if frontier.where(F.col("id") == end).limit(1).count():
             found = k
         known = known.unionByName(frontier)
+        if k % 16 == 0:  # else the plan grows with the length
+            known = as_table(known, "known")
     return spark.createDataFrame([(start, end, found)], "start string, end string, length int")
 
 

@@ -173,7 +173,7 @@ def node_filters(spark, d):
 
 @query("gr13_shortest_path", f"WITH RECURSIVE {GRAPH}, {W}, hop AS (SELECT 'topic:fundraising' AS id, 0 AS k UNION SELECT w.b, hop.k + 1 FROM hop JOIN w ON w.a = hop.id WHERE hop.k < 4 AND w.b IS NOT NULL) SELECT 'topic:fundraising' AS start, 'stage:quiet-room' AS end, min(k)::INT AS length FROM hop WHERE id = 'stage:quiet-room'")
 def shortest_path(spark, d):
-    return G.distance(edges(spark, d), "topic:fundraising", "stage:quiet-room", 4)
+    return G.distance(edges(spark, d), "topic:fundraising", "stage:quiet-room")
 
 
 READ = f"""WITH {GRAPH}, {V} SELECT e.id, replace(replace(v.reads, '{{s}}', a.label), '{{o}}', b.label) AS sentence, replace(replace(v.pt_reads, '{{s}}', a.label), '{{o}}', b.label) AS frase FROM e JOIN v USING (verb) JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target"""
