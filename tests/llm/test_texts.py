@@ -195,3 +195,26 @@ def test_trees_learn():
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, SMALL)
     assert df.count() == df.distinct().count() or name in ("p9_passages",)
+
+
+def test_spam_of_unseen_wording(spark):
+    """Invented words and layouts that stand in no list: judged by what the trees learned from compression."""
+    random.seed(11)
+    word = lambda: "".join(random.choice(["ka", "lo", "mi", "tu", "re", "sa", "ven", "dor"]) for _ in range(3))
+    people = [(i, "\n".join(f"{word().title()} {word().title()}, {word()} {word()} {word().title()}" for _ in range(20)), "h1.example") for i in range(20)]
+    texts = [(100 + i, told(random.randint(5, 14)), f"h{i % 5}.example") for i in range(120)]
+    spam = []
+    for i in range(40):
+        keys = [f"{word()} {word()}" for _ in range(3)]
+        spam.append((500 + i, [" ~ ".join(random.choices(keys, k=50)), "\n".join(f"{random.choice(keys)} {random.randint(1, 99)}¥ {random.choice(keys)}" for _ in range(30)), told(2) + "\n" + " | ".join(random.choices(keys, k=60))][i % 3], "h2.example"))
+    mostly_told = [(800 + i, told(9) + "\n" + " ~ ".join(word() for _ in range(12)), "h3.example") for i in range(20)]
+    got = {r.doc_id for r in S.spam_pages(spark.createDataFrame(people + texts + spam + mostly_told, "doc_id long, text string, source string")).where("is_spam").collect()}
+    planted = {d for d, _, _ in spam}
+    assert len(got & planted) >= 0.95 * len(planted) and len(got - planted) <= 0.02 * len(got)
+
+
+def test_compression_measures_are_free_of_length():
+    line = (0.5, -0.1, 10.0)
+    assert S.squeeze("") == (1, 0.0) and S.told_share(1024, line) == 0.5
+    assert max(S.squeeze("x y z " * k)[0] for k in (10, 1000, 100_000)) <= 2 * S.WINDOW
+    assert S.segment_labels(["short", "cheap tickets " * 40], 0, (0.6, 0.0, 0.0)) == [0, 1]

@@ -1,15 +1,20 @@
-"""Pages of repeated keywords, link lists and product lines."""
+"""Pages of repeated keywords, link lists and product lines.
+
+Bagged trees judge the segments (sentences, lines) of a page by their content
+and links; a page's score is the share of its text in segments judged listed,
+smoothed with the rate of its host. Labels for training come from a signal the
+trees don't see: how far a page can be compressed, against other pages of its length.
+"""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import trees
@@ -21,153 +26,241 @@ FUNCTION_WORDS = frozenset(
     "the of and to in is for that with on as by from at its it an be are was were which who has have had this or not but says their into after before than will when no yes "
     "o os um uma e do da dos das em no na nos nas por para com que se ao aos pelo pela mais mas foi ser entre quem depois até já ainda não sem sobre seu sua num numa como".split()
 ) | {"à", "às", "é", "são"}
-URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|com|org|net|info|biz|eu|pt|br|uk|io|co|dev|ai)\b(?:/\S*)?")
-LINKED = re.compile(r"://|www\.|\.(?:example|test|com|org|net|info|biz|eu|pt|br|uk|io|co|dev|ai)\b")
-CAPITAL = re.compile(r"\b[A-ZÀ-Ý]")
-#: Who speaks at the start of a line of a transcript.
-SPEAKER = re.compile(r"^\s*[^\W\d_]+(?: [^\W\d_]+){1,3}: ")
-PRICE = re.compile(r"(?:€|\$|£|\bEUR|\bUSD)\s?\d|\b[A-Z]{2}-\d{2,}")
-CURRENCIES = ("€", "$", "£", "EUR", "USD")
-CODE = re.compile(r"[A-Z]{2}-\d{2}")
+URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,7}\b(?:/\S*)?")
+LINKED = re.compile(r"://|www\.|\w\.[a-z]{2,7}\b")
 CUT = re.compile(r"(?<=[.!?…])\s+")
 WORD = re.compile(r"[^\W_]+")
-#: Labelled pages used for training at most; they are drawn by hash from all pages the rules are sure of.
+MARKS = ",/·|#•→-–—:;*"
+SYMBOLS = "€$£%"
+ENDS = (".", "!", "?", "…")
+#: Pages below so many words are too small to be judged.
+TINY = 15
+#: Labelled pages used for training at most, half of each class, drawn by hash.
 MAX_TRAINING = 4000
-NAMES = ["words", "function", "distinct", "top_word", "repeated", "url_chars", "urls", "bad", "good", "neutral", "price", "short", "sentence_len", "packed", "list_marks", "capital", "run"]
+#: A page that compresses to less than the first share of what told text of its length compresses to is labelled
+#: spam, from the second share on told; between lies no label.
+SQUEEZED, LOOSE = 0.72, 0.86
+#: Texts are compressed in windows of about so many bytes, so that long pages compress like short ones.
+WINDOW = 1000
+#: How far back a word and a pair of words count as repeated, in words.
+NEAR, NEAR_PAIR = 80, 200
+NAMES = [
+    "words", "chars", "function", "distinct", "recent", "recent_pairs", "url_chars", "urls", "ended", "marks", "digits", "symbols", "capitals", "word_chars", "head_count", "first_mark",
+    "page_urls", "prev_function", "next_function", "prev_recent", "next_recent", "prev_ended", "next_ended",
+]
+
+
+def segments_of(text: str) -> list[str]:
+    """Sentences and lines of a text that aren't blank."""
+    return [s for line in text.split("\n") if line and not line.isspace() for s in CUT.split(line) if s and not s.isspace()]
 
 
-def features(text: str) -> list[float]:
-    """Content and link features of one page, of the whole text."""
+def features(text: str) -> tuple[int, list[int], list[list[float]]]:
+    """Number of words of a page, the size of each of its segments, and their content and link features."""
     linked = LINKED.search(text) is not None
-    has_price = any(x in text for x in CURRENCIES) or CODE.search(text) is not None
-    segments, words = [], []
-    for line in text.split("\n"):
-        for s in CUT.split(line) if line else ():
-            if s and not s.isspace():
-                w = WORD.findall((URL.sub(" ", s) if linked else s).lower())
-                segments.append((s, w))
-                words += w
-    n = len(words)
-    counts = Counter(words)
-    least = max(3, 0.004 * n)
-    often = {g: c for g, c in Counter(zip(words, words[1:])).items() if c >= least}
-    known, is_function, repeats = counts.__getitem__, FUNCTION_WORDS.__contains__, often.__contains__
-    all_repeated = sum(often.values())
-    bad = good = neutral = price = short = run = longest = url_chars = urls = capitals = functions = 0
-    for s, w in segments:
-        size, k = len(s), len(w)
-        links = 0
-        if linked and (found := URL.findall(s)):
-            links = sum(map(len, found))
-            url_chars += links
-            urls += len(found)
-        fw = sum(map(is_function, w))
-        functions += fw
-        # what can't reach the share isn't counted
-        rep = sum(map(repeats, zip(w, w[1:]))) / (k - 1) if k > 1 and all_repeated >= 0.45 * (k - 1) else 0.0
-        priced = has_price and k <= 24 and PRICE.search(s) is not None  # longer ones are told text
-        short += k <= 4
-        price += size * (priced and k <= 16)
-        listed = (s.count(",") + s.count("/") + s.count("·") + s.count("|") + s.count("#")) / max(1, k) if not links else 0.0
-        caps = len(CAPITAL.findall(s))
-        capitals += caps
-        # a line of a list of persons: names and houses of its own, mostly with capitals
-        record = 3 <= k <= 24 and not links and not priced and caps >= 0.5 * k and sum(c <= 2 for c in map(known, w)) >= max(2, 0.3 * k)
-        if links and (links > 0.5 * size or not s.rstrip(" )»\"”").endswith((".", "!", "?", "…"))):
-            verdict = 1
-        elif record or SPEAKER.match(s):
-            verdict = -1 if k >= 5 and fw >= 0.12 * k else 0
-        elif (priced and k <= 16 and fw <= 1) or (k >= 8 and listed >= 0.45) or (k >= 2 and rep >= 0.45) or (k >= 8 and listed >= 0.28 and fw < 0.1 * k) or (k >= 12 and fw == 0 and len(set(w)) < 0.6 * k):
-            verdict = 1
-        elif k >= 5 and fw >= 0.12 * k:
-            verdict = -1
-        else:
-            # a lone key phrase or word: listed if the page repeats it
-            verdict = int(k > 0 and fw == 0 and sum(map(known, w)) >= 4 * k)
-        if verdict > 0:
-            bad += size
-            run += 1
-            longest = max(longest, run)
-        elif verdict < 0:
-            good += size
-            run = 0
-        else:
-            neutral += size
-    total, segs = max(1, bad + good + neutral), max(1, len(segments))
+    segs = segments_of(text)
+    bare, links = segs, [()] * len(segs)
+    if linked:
+        links = [URL.findall(s) for s in segs]
+        bare = [URL.sub(" ", s) if u else s for s, u in zip(segs, links)]
+    words = [WORD.findall(s.lower()) for s in bare]
+    n = sum(map(len, words))
+    if not segs:
+        return n, [], []
+    is_function = FUNCTION_WORDS.__contains__
+    page_urls = sum(sum(map(len, u)) for u in links) / max(1, len(text))
+    last: dict = {}
+    heads: dict[str, int] = {}
+    rows, at = [], 0
+    for line, (s, ws, u) in enumerate(zip(segs, words, links)):
+        k, size = len(ws), len(s)
+        k1 = k or 1
+        function = sum(map(is_function, ws))
+        recent = pairs = 0
+        before = ""
+        for w in ws:
+            if not is_function(w):
+                recent += at - last.get(w, -NEAR - 1) <= NEAR
+                last[w] = at
+            g = (before, w)
+            pairs += at - last.get(g, -NEAR_PAIR - 1) <= NEAR_PAIR
+            last[g] = at
+            before = w
+            at += 1
+        head = ws[0] if ws else ""
+        rows.append([
+            float(min(k, 200)), float(min(size, 2000)), function / k1, len(set(ws)) / k1, recent / max(1, k - function), pairs / k1,
+            sum(map(len, u)) / size, float(len(u)), float(s.rstrip(" )»\"”").endswith(ENDS)), sum(map(s.count, MARKS)) / k1, sum(x.isdigit() for x in s) / size, sum(map(s.count, SYMBOLS)) / k1,
+            sum(x[0].isupper() for x in s.split()) / k1, sum(map(len, ws)) / k1, float(line - heads.get(head, -100) <= 8), float(not s.lstrip()[0].isalnum()), page_urls,
+        ])
+        heads[head] = line
+    fw, rec, end = NAMES.index("function"), NAMES.index("recent"), NAMES.index("ended")
+    own = [(r[fw], r[rec], r[end]) for r in rows]
+    for i, r in enumerate(rows):
+        a, b = own[max(0, i - 1)], own[min(len(own) - 1, i + 1)]
+        r += [a[0], b[0], a[1], b[1], a[2], b[2]]
+    return n, [len(s) for s in segs], rows
+
+
+def squeeze(text: str) -> tuple[int, float]:
+    """Size of the windows of a text, and the compressed size of them all as a share of their size."""
     raw = text.encode("utf-8", "surrogatepass")
-    return [
-        float(np.log1p(n)), functions / max(1, n), len(counts) / max(1, n), max(counts.values(), default=0) / max(1, n),
-        all_repeated / max(1, n - 1), url_chars / max(1, len(text)), urls / max(1, n) * 100, bad / total, good / total, neutral / total, price / total,
-        short / segs, n / segs, len(zlib.compress(raw, 1)) / max(1, len(raw)), sum(map(text.count, ",/·|#")) / max(1, n), capitals / max(1, n), float(longest),
-    ]
+    step = max(1, -(-len(raw) // max(1, round(len(raw) / WINDOW))))
+    return step, sum(len(zlib.compress(raw[i : i + step], 6)) for i in range(0, len(raw), step)) / max(1, len(raw))
+
+
+#: A segment of so many bytes has a label of its own, others that of their page.
+OWN_LABEL = 120
+
+
+def told_share(step: float, line: tuple[float, float, float]) -> float:
+    """What told text of such a window compresses to."""
+    return line[0] + line[1] * (float(np.log2(step)) - line[2])
 
 
-def weak_label(x: np.ndarray) -> np.ndarray:
-    """1 and 0 where the shares of listed and of told text leave no doubt, -1 between."""
-    bad, good, words = x[:, NAMES.index("bad")], x[:, NAMES.index("good")], x[:, NAMES.index("words")]
-    label = np.full(len(x), -1)
-    label[(bad >= 0.62) & (good <= 0.38)] = 1
-    label[(bad <= 0.38) | (good >= 0.62)] = 0
-    label[words < np.log1p(15)] = 0
-    return label
+def segment_labels(segs: list[str], page: int, line: tuple[float, float, float]) -> list[int]:
+    """Weak label of each segment: by its own compression if it is long enough (-1 if that says nothing), else that of the page."""
+    out = []
+    for s in segs:
+        label = page
+        if len(s) >= OWN_LABEL:
+            step, share = squeeze(s)
+            ratio = share / told_share(step, line)
+            label = 1 if ratio <= SQUEEZED else 0 if ratio >= LOOSE else -1
+        out.append(label)
+    return out
 
 
-def page_features(documents: DataFrame, doc: str, text: str, host: str) -> DataFrame:
-    """(doc, host, x): features of each page; null, empty and blank pages have null features."""
+def weak_labels(documents: DataFrame, doc: str, text: str) -> tuple[DataFrame, tuple[float, float, float]]:
+    """(_doc, label): 1 spam, 0 told, of the pages that have a weak label; and the line of told text (level, slope, mean).
+
+    What told text compresses to is a line in the logarithm of the window,
+    fitted to the upper decile of all pages of each length (a bounded number of
+    lengths, as windows are bounded); so even a corpus of mostly spam has a
+    measure of told text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = [features(t) if t and not t.isspace() else None for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.list_(pa.float64()))], ["_doc", "_host", "x"])
+            made = [squeeze(t) if t and len(WORD.findall(t)) >= TINY else (None, None) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.float64())], ["_doc", "step", "share"])
 
-    kinds = dict(documents.dtypes)
-    return documents.select(doc, host, text).mapInArrow(run, f"_doc {kinds[doc]}, _host {kinds[host]}, x array<double>")
+    pages = documents.select(doc, text).mapInArrow(run, f"_doc {dict(documents.dtypes)[doc]}, step int, share double").where("step IS NOT NULL")
+    pages = as_table(pages.select("_doc", F.log2("step").alias("size"), "share"), "squeezed")
+    decile = pages.groupBy(F.floor(F.col("size") * 2).alias("b")).agg(F.percentile_approx("share", 0.9, 1000).alias("q"), F.avg("size").alias("size"), F.count("*").alias("n")).collect()
+    if not decile:
+        return pages.select("_doc", F.lit(0).alias("label")).where("false"), (1.0, 0.0, 0.0)
+    w, at, q = (np.array([float(r[k]) for r in decile]) for k in ("n", "size", "q"))
+    mean, level = np.average(at, weights=w), np.average(q, weights=w)
+    slope = np.average((at - mean) * (q - level), weights=w) / max(1e-9, np.average((at - mean) ** 2, weights=w))
+    line = (float(level), float(slope), float(mean))
+    ratio = F.col("share") / (F.lit(line[0]) + F.lit(line[1]) * (F.col("size") - F.lit(line[2])))
+    return pages.select("_doc", F.when(ratio <= SQUEEZED, 1).when(ratio >= LOOSE, 0).alias("label")).where("label IS NOT NULL"), line
 
 
-def fit(pages: DataFrame, limit: int = MAX_TRAINING) -> trees.Bagged | None:
-    """Bagged trees on weak labels. At most `limit` labelled pages reach the driver, drawn by hash among the sure ones."""
-    bad, good = F.get("x", F.lit(NAMES.index("bad"))), F.get("x", F.lit(NAMES.index("good")))
-    sure = pages.where("x IS NOT NULL").where((bad >= 0.62) | (bad <= 0.38) | (good >= 0.62))
-    picked = []
-    for part in (bad >= 0.62, bad < 0.62):  # both classes, half each
-        picked += [r.x for r in sure.where(part).orderBy(F.xxhash64("_doc"), "x").select("x").limit(limit // 2).collect()]
-    if not picked:
-        return None
-    x = np.array(picked)
-    y = weak_label(x)
-    return trees.bag(x[y >= 0], y[y >= 0].astype(float))
+def fit(documents: DataFrame, doc: str, text: str, limit: int = MAX_TRAINING) -> tuple[trees.Bagged | None, tuple[float, float, float]]:
+    """The line of told text, and bagged trees on the segments of at most `limit` weakly labelled pages, half of each class.
 
+    Long segments have labels of their own (a page may hold both kinds of
+    text), short ones that of their page.
+    """
+    sure, line = weak_labels(documents, doc, text)
+    sure = as_table(sure, "labels")
+    picked = sure.where("label = 1").orderBy(F.xxhash64("_doc"), "_doc").limit(limit // 2).unionByName(sure.where("label = 0").orderBy(F.xxhash64("_doc"), "_doc").limit(limit // 2))
 
-def spam_pages(documents: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", weight: float = 0.15) -> DataFrame:
-    """(doc, host, score, page_score, host_rate, is_spam) for every page.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label, segs = [], []
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                segs += features(t)[2]
+                label += segment_labels(segments_of(t), y, line)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(segs, pa.list_(pa.float64()))], ["label", "x"])
+
+    texts = documents.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(picked), "_doc").select("_text", "label")
+    rows = texts.mapInArrow(run, "label int, x array<double>").where("label >= 0").select("label", "x", F.xxhash64("x").alias("h"))
+    # so many segments of each class at most, drawn by hash: a page may have any number of them
+    drawn = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy("h", "x").limit(limit * 6).collect()]
+    y = np.array([float(r.label) for r in drawn])
+    if len(np.unique(y)) < 2:
+        return None, line
+    x = np.array([r.x for r in drawn])
+    return trees.bag(x, y, depth=7), line
 
-    The page score of the trees is smoothed with the spam rate of its host in
-    log-odds, so that it decides near the border only. Null, empty, blank and
-    tiny pages (under 15 words) are no spam; a null host has a rate of its own;
-    repeated rows are judged alike; extra columns are ignored.
-    """
-    spark = documents.sparkSession
-    pages = as_table(page_features(documents, doc, text, host), "pages")
-    model = fit(pages)
-    shipped = spark.sparkContext.broadcast(model)
+
+def page_scores(documents: DataFrame, doc: str, text: str, host: str, model: trees.Bagged | None, line: tuple[float, float, float]) -> DataFrame:
+    """(_doc, _host, p, label): the share of each page's text in segments the trees judge listed; 0 for null, blank and tiny pages. label is the weak one, -1 for none."""
+    shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = np.zeros(b.num_rows)
-            there = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
-            if len(there) and shipped.value is not None:
-                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-                score[there] = np.where(x[:, 0] < np.log1p(15), 0.0, shipped.value.share(x))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["_doc", "_host", "p"])
+            labels = np.full(b.num_rows, -1, np.int32)
+            sizes, rows, of = [], [], []
+            if shipped.value is not None:
+                for i, t in enumerate(b.column(2).to_pylist()):
+                    if t and not t.isspace():
+                        n, size, x = features(t)
+                        if n >= TINY:
+                            sizes += size
+                            rows += x
+                            of += [i] * len(size)
+                            step, share = squeeze(t)
+                            ratio = share / told_share(step, line)
+                            labels[i] = 1 if ratio <= SQUEEZED else 0 if ratio >= LOOSE else -1
+            if rows:
+                at, w = np.array(of), np.array(sizes, float)
+                p = shipped.value.share(np.array(rows))
+                total = np.bincount(at, w, b.num_rows)
+                score = np.bincount(at, w * p, b.num_rows) / np.maximum(total, 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array(labels)], ["_doc", "_host", "p", "label"])
 
     kinds = dict(documents.dtypes)
-    scored = pages.mapInArrow(run, f"_doc {kinds[doc]}, _host {kinds[host]}, p double").withColumn("_key", F.coalesce(F.col("_host").cast("string"), F.lit("\0")))
+    return documents.select(doc, host, text).mapInArrow(run, f"_doc {kinds[doc]}, _host {kinds[host]}, p double, label int")
+
+
+#: Weight of the host in log-odds before anything is known of it, and how sure that is (mean and deviation).
+PRIOR, PRIOR_SD = 0.15, 0.1
+
+
+def host_weight(joined: DataFrame, page: Column, host: Column) -> float:
+    """Weight of the host's log-odds beside the page's, by the weak labels: logistic regression with one free factor.
+
+    The pages reach the driver as counts of (label, page, host) in steps of a
+    quarter of log-odds, a bounded number; the prior decides where pages alone
+    tell the labels apart.
+    """
+    step = lambda c: F.round(F.least(F.greatest(c, F.lit(-7.0)), F.lit(7.0)) * 4)
+    bins = joined.where("label >= 0").groupBy("label", step(page).alias("a"), step(host).alias("b")).count().collect()
+    if not bins:
+        return PRIOR
+    y, a, b, n = (np.array([float(r[k]) for r in bins]) for k in ("label", "a", "b", "count"))
+    a, b, w = a / 4, b / 4, PRIOR
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(a + w * b)))
+        slope = np.sum(n * b * (y - p)) - (w - PRIOR) / PRIOR_SD**2
+        w = float(np.clip(w + slope / (np.sum(n * b * b * p * (1 - p)) + 1 / PRIOR_SD**2), 0.0, 1.0))
+    return w
+
+
+def spam_pages(documents: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """(doc, host, score, page_score, host_rate, is_spam) for every page.
+
+    The page score of the trees is smoothed with the spam rate of its host in
+    log-odds, so that it decides near the border only. Null, empty, blank and
+    tiny pages (under TINY words) are no spam; a null host has a rate of its
+    own; repeated rows are judged alike; extra columns are ignored; without
+    pages of both labels nothing is spam.
+    """
+    scored = page_scores(documents, doc, text, host, *fit(documents, doc, text)).withColumn("_key", F.coalesce(F.col("_host").cast("string"), F.lit("\0")))
     scored = as_table(scored, "scores")
     # one spam page is added to a host's pages at the corpus rate of 1 in 20, so that small hosts stay near it
-    rates = scored.groupBy("_key").agg(((F.sum((F.col("p") >= 0.5).cast("double")) + 1) / (F.count("*") + 20)).alias("host_rate"))
-    joined = salted_join(scored, rates, ["_key"])
+    rates = scored.groupBy("_key").agg(F.sum((F.col("p") >= 0.5).cast("double")).alias("_spam"), F.count("*").alias("_n"))
+    joined = salted_join(scored, rates, ["_key"]).withColumn("host_rate", (F.col("_spam") + 1) / (F.col("_n") + 20))
     logit = lambda c: F.log(c / (1 - c))
-    p = F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999))
-    score = 1 / (1 + F.exp(-(logit(p) + weight * (logit(F.col("host_rate")) - F.lit(float(np.log(1 / 19)))))))
+    page = logit(F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999)))
+    base = F.lit(float(np.log(1 / 19)))
+    others = (F.col("_spam") - (F.col("p") >= 0.5).cast("double") + 1) / (F.col("_n") + 19)  # the host without the page itself
+    weight = host_weight(joined, page, logit(others) - base)
+    score = 1 / (1 + F.exp(-(page + F.lit(weight) * (logit(F.col("host_rate")) - base))))
     out = joined.select(F.col("_doc").alias(doc), F.col("_host").alias(host), F.when(F.col("p") == 0, F.lit(0.0)).otherwise(score).alias("score"), F.col("p").alias("page_score"), "host_rate")
     return out.withColumn("is_spam", F.col("score") >= 0.5)
