@@ -89,3 +89,43 @@ def test_a_misspelling_with_many_persons_is_still_linked(spark):
     rows = [(f"r{k}", x, "[]", 0) for k, x in enumerate(right)] + [("m0", "Gospunzedni Logistics", many, 0)] + [(f"m{k}", "Gospunzdin Logistics", "[]", 0) for k in range(1, 5)]
     ids = sorted(r[0] for r in rows)
     assert {tuple(r) for r in N.variants(spark.createDataFrame(rows, SCHEMA)).collect()} == {(a, b) for a in ids for b in ids if a < b}
+
+
+def test_frequent_variants_are_linked(spark):
+    """Two stems in many spellings each are one organisation, unless they have separate persons."""
+    forms = ["{} Labs", "{} Labs, Lda.", "{} LABS", "Grupo {} Labs", "{} Labs (Porto)"]
+    rows = [(f"{s}{k}", f.format(x), "[]", 0) for s, x in (("a", "Mascilotir"), ("b", "Mascilotar")) for k, f in enumerate(forms)]
+    ids = sorted(r[0] for r in rows)
+    pairs = {(a, b) for a in ids for b in ids if a < b}
+    assert {tuple(r) for r in N.variants(spark.createDataFrame(rows, SCHEMA)).collect()} == pairs
+    held = [(i, n, str([f"{i[0]}{j}" for j in range(6)]).replace("'", '"'), z) for i, n, _, z in rows]
+    assert {tuple(r) for r in N.variants(spark.createDataFrame(held, SCHEMA)).collect()} == {p for p in pairs if p[0][0] == p[1][0]}
+
+
+def test_names_without_a_known_word(spark):
+    names = {"a1": "Mistral", "a2": "Mistrall", "b1": "Feedzai", "b2": "Feedzay, Lda", "c1": "Unbabel, Lda", "c2": "Unbabel Portugal", "d1": "Open AI", "d2": "OpenAI", "e1": "Kaya Kran", "e2": "Kran Kaya", "f": "Sword", "g": "Talkdesk"}
+    names |= {f"h{i}": f"{x} Werke" for i, x in enumerate(["Alfana", "Borimo", "Cestula", "Dorrema", "Fagotti", "Gumbera"])} | {"h9": "Alfana"}
+    rows = [(i, n, "[]", 0) for i, n in names.items()]
+    got = {tuple(r) for r in N.variants(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("a1", "a2"), ("b1", "b2"), ("c1", "c2"), ("d1", "d2"), ("e1", "e2"), ("h0", "h9")}
+
+
+def test_sharded_tries_find_every_neighbour(spark):
+    """The trie join against one trie of everything, exchanges and beginnings included."""
+    random.seed(5)
+    syl = ["ba", "con", "dir", "e", "fos", "gu", "li", "mar", "to", "z"]
+    stems = sorted({"".join(random.choice(syl) for _ in range(random.randint(2, 5))) for _ in range(300)})
+
+    def damaged(w):
+        for _ in range(random.randint(0, 2)):
+            i = random.randrange(len(w))
+            w = random.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+        return w
+
+    asked = sorted({(damaged(random.choice(stems)), random.random() < 0.2) for _ in range(500)})
+    asked = [(w, c) for w, c in asked if w]
+    trie = N.Trie(stems)
+    want = {(w, c, n) for w, c in asked for n in N.neighbours(w, trie, c and len(w) >= 3) if N.bound(len(w)) or n != w}
+    for shard in (4000, 3):
+        got = N.trie_join(spark.createDataFrame([(x,) for x in stems], "stem string"), spark.createDataFrame(asked, "stem string, cut boolean"), shard).collect()
+        assert {tuple(r) for r in got if N.bound(len(r.stem)) or r.near != r.stem} == want

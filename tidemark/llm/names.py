@@ -1,7 +1,9 @@
 """Variant spellings of names: which spellings denote the same organisation.
 
 A name is read as kind, field, number and its proper words ("stems"); stems are
-matched by walking tries with Levenshtein automata, partners in any order.
+matched by walking tries with Levenshtein automata, partners in any order. The
+known words of kinds and fields are a prior only: names without any of them are
+matched by all their words, those that many different names share being weak.
 """
 
 from __future__ import annotations
@@ -11,9 +13,8 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import as_table
@@ -83,14 +84,16 @@ def fold(name: str) -> str:
 class Trie:
     """Strings by their letters, searched with a Levenshtein automaton."""
 
-    def __init__(self, words: Iterator[str] | list[str] = ()):
+    def __init__(self, words: Iterator[str] | list[str] = (), both: bool = True):
         self.root: dict = {}
-        self.back: dict = {}
+        self.back: dict | None = {} if both else None
         for w in words:
             self.add(w)
 
     def add(self, word: str) -> None:
         for root, letters in ((self.root, word), (self.back, word[::-1])):
+            if root is None:
+                continue
             node = root
             for c in letters:
                 node = node.setdefault(c, {})
@@ -160,22 +163,21 @@ class Trie:
                     stack.append((child, nxt))
         return out
 
-    def starting(self, prefix: str, more: int) -> list[str]:
-        """Stored words that continue `prefix` by 1 to `more` letters."""
+    def starting(self, prefix: str) -> list[str]:
+        """Stored words that go on after `prefix`."""
         node = self.root
         for c in prefix:
             node = node.get(c)
             if node is None:
                 return []
-        out, stack = [], [(node, 0)]
+        out, stack = [], [child for c, child in node.items() if c != ""]
         while stack:
-            at, depth = stack.pop()
+            at = stack.pop()
             for c, child in at.items():
                 if c == "":
-                    if depth:
-                        out.append(child)
-                elif depth < more:
-                    stack.append((child, depth + 1))
+                    out.append(child)
+                else:
+                    stack.append(child)
         return out
 
 
@@ -256,7 +258,7 @@ def parse(name: str) -> dict:
         kind = "fund"
     if kind == "fund" and fields == set() and not growth and not number:
         kind = "foundation"
-    if not kind and len(stems) >= 2 and (partner or not fields):
+    if not kind and len(stems) >= 2 and partner:
         kind, fields = "partners", set()
     if not kind and (fields or legal or initials):
         kind = "company"
@@ -269,11 +271,17 @@ def parse(name: str) -> dict:
     return {"kind": kind, "fields": sorted(fields), "number": number, "stems": stems, "cut": cut}
 
 
+#: Signature of names that say no field, by their words and by their words written together.
+OPEN, JOINED = "open::0", "joined::0"
+
+
 def signatures(p: dict) -> list[str]:
     """The signatures (kind:field:number) a parsed name may belong to; one for a full name."""
     kind, fields = p["kind"], p["fields"]
+    if kind in ("company", "") and not fields and len(p["stems"]) > 1:
+        return ["partners::0", OPEN]
     if kind in ("company", "") and not fields:
-        return [f"company:{f}:0" for f in COMPANY] + (["partners::0"] if kind == "" else [])
+        return [f"company:{f}:0" for f in COMPANY] + (["partners::0"] if kind == "" else []) + [OPEN]
     if kind in ("institute", "association") and not fields:
         return [f"{kind}:{f}:0" for f in sorted(FIELDS)]
     if kind in ("company", "institute", "association"):
@@ -281,24 +289,68 @@ def signatures(p: dict) -> list[str]:
     return [f"{kind}::{p['number']}"]
 
 
+def walk(root: dict, word: str, k: int) -> set[str]:
+    """Stored words within k errors, at most one of them an exchange of two neighbours.
+
+    A Levenshtein automaton walks down the trie: its state holds, for each
+    (letters of `word` read, exchange used), the least errors; a branch dies
+    with an empty state. Half an exchange waits for the other letter.
+    """
+    n, out = len(word), set()
+
+    def closed(row: dict[int, int]) -> dict[int, int]:
+        """With letters of `word` left out. States are 2 * letters + exchange used."""
+        for s in range(2 * n):
+            e = row.get(s, k)
+            if e < k and row.get(s + 2, k + 1) > e + 1:
+                row[s + 2] = e + 1
+        return row
+
+    stack = [(root, closed({0: 0}), ())]
+    while stack:
+        node, state, half = stack.pop()
+        for c, child in node.items():
+            if c == "":
+                if 2 * n in state or 2 * n + 1 in state:
+                    out.add(child)
+                continue
+            row: dict[int, int] = {}
+            waiting = []
+            for s, e in state.items():
+                i = s >> 1
+                if e < k and row.get(s, k + 1) > e + 1:
+                    row[s] = e + 1
+                if i < n:
+                    d = e + (word[i] != c)
+                    if d <= k and row.get(s + 2, k + 1) > d:
+                        row[s + 2] = d
+                    if e < k and not s & 1 and i + 1 < n and word[i + 1] == c != word[i]:
+                        waiting.append((i, e + 1))
+            for i, e in half:
+                if word[i] == c and row.get(2 * i + 5, k + 1) > e:
+                    row[2 * i + 5] = e
+            if row or waiting:
+                stack.append((child, closed(row), tuple(waiting)))
+    return out
+
+
 def neighbours(stem: str, trie: Trie, cut: bool = False) -> list[str]:
-    """Stored stems that `stem` may be a misspelling of (or the beginning, if it is cut)."""
-    k = bound(len(stem))
-    out = trie.near(stem, k)
-    if k:  # an exchange of two neighbours counts as one error: the rest has one less
-        for i in range(len(stem) - 1):
-            if stem[i] != stem[i + 1]:
-                out |= trie.near(stem[:i] + stem[i + 1] + stem[i] + stem[i + 2 :], k - 1)
-    if cut or len(stem) >= 6:
-        out |= set(trie.starting(stem, 4))
+    """Stored stems that `stem` may be a misspelling of; for a stem cut short also those it begins."""
+    out = walk(trie.root, stem, bound(len(stem)))
+    if cut:
+        out |= set(trie.starting(stem))
     return sorted(out)
 
 
-#: Stems in one trie, and searched with it, at most; larger signatures are cut into more shards.
+#: Probes of one trie that are answered in one task; more are spread over several.
 SHARD = 4_000
-#: Spellings with one stem from which on the stem is no misspelling.
-ESTABLISHED = 4.0
-PARSED = "id string, name string, kind string, sigs array<string>, stems array<string>, cut string, weight double"
+#: Letters of the beginning and of the end by which stems are shared out.
+ENDS = 4
+#: Two stems in so many spellings each and of so many persons each, none in common, are two organisations.
+FREQUENT, KNOWN_BY = 4.0, 5
+#: A word of open names that stands with so many different other words says little about who is meant.
+WEAK = 5
+PARSED = "id string, name string, kind string, sigs array<string>, stems array<string>, joined string, cut string, weight double"
 
 
 def tasks(df: DataFrame) -> int:
@@ -322,64 +374,154 @@ def parsed_names(orgs: DataFrame) -> DataFrame:
             for i, name, n in zip(*(c.to_pylist() for c in b.columns)):
                 p = parse(name)
                 if p["stems"]:
-                    out.append({"id": i, "name": name, "kind": p["kind"], "sigs": signatures(p), "stems": sorted(set(p["stems"])), "cut": p["cut"], "weight": 1 + max(n, 0) / 100})
-            schema = pa.schema([("id", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("sigs", pa.list_(pa.string())), ("stems", pa.list_(pa.string())), ("cut", pa.string()), ("weight", pa.float64())])
+                    out.append({"id": i, "name": name, "kind": p["kind"], "sigs": signatures(p), "stems": sorted(set(p["stems"])), "joined": "".join(p["stems"]), "cut": p["cut"], "weight": 1 + max(n, 0) / 100})
+            schema = pa.schema([("id", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("sigs", pa.list_(pa.string())), ("stems", pa.list_(pa.string())), ("joined", pa.string()), ("cut", pa.string()), ("weight", pa.float64())])
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return rows.select("id", "name", "n").repartition(tasks(orgs), "id").mapInArrow(run, PARSED)
 
 
+def _shards(stored: bool) -> Column:
+    """Keys of the tries a stem lies in, or may have its neighbours in.
+
+    Of two errors one lies outside the last ENDS letters unless these are
+    unhurt: either the end is the same, or the beginning has one error at most,
+    and then the two beginnings are the same after leaving out one letter.
+    Shorter stems have one error, and are the same after leaving out one letter.
+    """
+    n, p = "length(stem)", ENDS
+    less = lambda text, size: f"transform(sequence(1, {size}), i -> concat(substring({text}, 1, i - 1), substring({text}, i + 1, 999999)))"
+    front, more = f"substring(stem, 1, {p})", f"substring(stem, 1, {p + 1})"
+    long = f"array(concat('z', right(stem, {p})), concat('p', {front}))", f"transform({less(front, p)}, x -> concat('p', x))", f"transform({less(more, p + 1)}, x -> concat('p', x))"
+    short = f"transform(array_append({less('stem', n)}, stem), x -> concat('d', x))"
+    if stored:  # the bound belongs to the probe, which may be two letters longer or shorter
+        made = f"concat(array(concat('c', substring(stem, 1, 3))), IF({n} >= {LONG - 2}, concat({long[0]}, {long[1]}), array()), IF({n} BETWEEN {SHORT - 1} AND {LONG}, {short}, array()))"
+    else:
+        made = f"concat(IF(cut AND {n} >= 3, array(concat('c', substring(stem, 1, 3))), array()), CASE WHEN {n} >= {LONG} THEN concat({', '.join(long)}) WHEN {n} >= {SHORT} THEN {short} ELSE array() END)"
+    return F.explode(F.expr(f"array_distinct({made})"))
+
+
 def trie_join(stems: DataFrame, probes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(sig, stem, cut, near, w) for all pairs of a probe and a stored stem of its signature within the bounds.
+    """(stem, cut, near), distinct: all pairs of a probe and a stored stem within the bounds.
 
-    `stems` is (sig, stem, w), `probes` (sig, stem, cut). A signature with many
-    stems is cut into tries of at most `shard` stems, and its probes into as
-    large chunks; every chunk meets every trie, so no task holds more and no
-    neighbour is lost. There are as many signatures as kinds and fields, a fixed
-    number, so their sizes are known to the driver.
+    `stems` is (stem), `probes` (stem, cut). Stems are shared out to tries by
+    their beginnings and ends, so a probe goes only where its neighbours can
+    be; each trie is built once, from rows that arrive sorted. A trie with more
+    than `shard` probes is copied to several tasks.
     """
-    sizes = {r.sig: (r.s, r.p) for r in stems.select("sig", F.lit(1).alias("s"), F.lit(0).alias("p")).unionByName(probes.select("sig", F.lit(0).alias("s"), F.lit(1).alias("p"))).groupBy("sig").agg(F.sum("s").alias("s"), F.sum("p").alias("p")).collect()}
-    grid = stems.sparkSession.createDataFrame([(k, -(-s // shard), -(-p // shard)) for k, (s, p) in sizes.items() if s and p], "sig string, tries int, chunks int")
-    grid = F.broadcast(grid)
-    part = lambda n: F.pmod(F.xxhash64("stem"), F.col(n)).cast("int")
-    left = stems.join(grid, "sig").select(F.col("sig").alias("s"), part("tries").alias("t"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), F.col("stem").alias("stored"), F.col("w").alias("w"))
-    right = probes.join(grid, "sig").select(F.col("sig").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("t2"), part("chunks").alias("c2"), F.col("stem").alias("asked"), F.col("cut").alias("cut"))
+    left = stems.select("stem").distinct().select(_shards(True).alias("key"), F.lit(0).alias("side"), "stem", F.lit(False).alias("cut"))
+    right = probes.select("stem", "cut").distinct().select("stem", "cut", _shards(False).alias("key")).select("key", F.lit(1).alias("side"), "stem", "cut")
+    hot = right.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).cast("int").alias("parts"))
+    left = left.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "side", "stem", "cut")
+    right = right.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("stem"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "side", "stem", "cut")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, trie = None, Trie()
+        for b in batches:
+            out = []
+            for key, part, side, stem, cut in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, part) != at:
+                    at, trie = (key, part), Trie(both=False)
+                if side == 0:
+                    trie.add(stem)
+                elif trie.root:
+                    out += [(stem, cut, w) for w in (trie.starting(stem) if key[0] == "c" else walk(trie.root, stem, bound(len(stem))))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))], ["stem", "cut", "near"])
 
-    def search(key, stored: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        weight = dict(zip(stored["stored"], stored["w"]))
-        trie = Trie(weight)
-        out = [(key[0], s, c, w, weight[w]) for s, c in zip(asked["asked"], asked["cut"]) for w in neighbours(s, trie, c)] if weight else []
-        return pd.DataFrame(out, columns=["sig", "stem", "cut", "near", "w"])
+    rows = left.unionByName(right).repartition(tasks(stems), "key", "part").sortWithinPartitions("key", "part", "side")
+    return rows.mapInArrow(search, "stem string, cut boolean, near string").distinct()
 
-    n = tasks(stems)
-    return left.repartition(n, "s", "t", "c").groupBy("s", "t", "c").cogroup(right.repartition(n, "s2", "t2", "c2").groupBy("s2", "t2", "c2")).applyInPandas(search, "sig string, stem string, cut boolean, near string, w double")
 
+def distinct_houses(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(sig, stem, near) of pairs of frequent stems whose persons have nothing in common.
+
+    `pairs` is (sig, stem, near), `held` (sig, stem, person).
+    """
+    of = lambda side: held.select("sig", F.col("stem").alias(side), "person")
+    size = held.groupBy("sig", "stem").agg(F.count_distinct("person").alias("n")).where(F.col("n") >= KNOWN_BY)
+    known = pairs.join(size.select("sig", "stem"), ["sig", "stem"]).join(size.select("sig", F.col("stem").alias("near")), ["sig", "near"])
+    common = known.join(of("stem"), ["sig", "stem"]).join(of("near"), ["sig", "near", "person"]).select("sig", "stem", "near").distinct()
+    return known.select("sig", "stem", "near").join(common, ["sig", "stem", "near"], "left_anti")
 
-def representatives(stems: DataFrame, probes: DataFrame, hops: int = 3) -> DataFrame:
-    """(sig, stem, cut, rep): the weightiest stem within the bounds, and from there on uphill up to `hops` steps.
+
+def representatives(stems: DataFrame, probes: DataFrame, held: DataFrame) -> DataFrame:
+    """(sig, stem, cut, rep): the weightiest stem within the bounds, and from there on uphill to the top.
 
     Weight is the number of distinct spellings with the stem; the persons on
-    them are a part below 1, so they decide between as many spellings only and
-    no number of them makes a stem established. A misspelling goes to the usual
-    spelling and two usual spellings don't melt over a chain of weak ones.
+    them are a part below 1, so they decide between as many spellings only.
+    Every stem is searched. Two frequent stems with separate persons stay apart.
+    A stem cut without a sign of it (no stored stem is near) stands for the only
+    one that goes on after it by at most half its length.
     """
-    exact = probes.where("NOT cut").join(stems, ["sig", "stem"])
-    usual = exact.where(F.col("w") >= ESTABLISHED).select("sig", "stem", "cut", F.col("stem").alias("rep"))
-    said = exact.where("many").select("stem").distinct().withColumn("_said", F.lit(True))
-    open_ = (
-        probes.join(exact.select("sig", "stem", "cut", "w").distinct(), ["sig", "stem", "cut"], "left")
-        .join(said, "stem", "left")
-        .where((F.col("w").isNull() & ~(F.col("many") & F.coalesce("_said", F.lit(False)))) | (F.col("w") < ESTABLISHED))
-        .select("sig", "stem", "cut")
-        .distinct()
-    )
-    found = trie_join(stems, open_).groupBy("sig", "stem", "cut").agg(F.max(F.struct("w", "near")).alias("b")).select("sig", "stem", "cut", F.col("b.near").alias("rep"))
-    best = as_table(found.unionByName(usual.distinct()), "name-reps")
-    own = best.where("NOT cut").select("sig", F.col("stem").alias("rep"), F.col("rep").alias("_next"))
-    out = best
-    for _ in range(hops - 1):
-        out = out.join(own, ["sig", "rep"], "left").select("sig", "stem", "cut", F.coalesce("_next", "rep").alias("rep"))
-    return out
+    stored = stems.select("stem").distinct()
+    found = as_table(trie_join(stored, probes.select("stem", F.lit(True).alias("cut")).distinct().unionByName(probes.select("stem", F.lit(False).alias("cut")).distinct()).distinct()), "name-pairs")
+    exact = probes.join(stems, ["sig", "stem"]).where("NOT cut").select("sig", "stem", "cut", F.col("stem").alias("near"), "w")
+    weight = stems.select("sig", F.col("stem").alias("near"), "w")
+    met = probes.join(found, ["stem", "cut"]).join(weight, ["sig", "near"]).select("sig", "stem", "cut", "near", "w").unionByName(exact).distinct()
+    own = stems.select("sig", "stem", F.col("w").alias("own"))
+    met = as_table(met.join(own, ["sig", "stem"], "left"), "name-neighbours")
+    apart = distinct_houses(met.where((F.col("stem") != F.col("near")) & (F.col("w") >= FREQUENT) & (F.col("own") >= FREQUENT)).select("sig", "stem", "near").distinct(), held)
+    best = met.join(apart, ["sig", "stem", "near"], "left_anti").groupBy("sig", "stem", "cut").agg(F.max(F.struct("w", "near")).alias("b")).select("sig", "stem", "cut", F.col("b.near").alias("rep"))
+    # not cut by a dot, and without a neighbour but itself: the one stem it begins
+    begun = (
+        found.where("cut").where((F.length("stem") >= 6) & F.col("near").startswith(F.col("stem")) & (F.length("near") > F.length("stem")) & (F.length("near") <= 1.5 * F.length("stem")))
+        .join(probes.where("NOT cut").select("sig", "stem"), "stem").join(weight, ["sig", "near"])
+        .groupBy("sig", "stem").agg(F.min("near").alias("near"), F.max("near").alias("_z")).where("near = _z").select("sig", "stem", F.col("near").alias("_begun"))
+    )
+    roots = uphill(as_table(best, "name-reps"))
+    begun = begun.join(roots.where("NOT cut").select("sig", F.col("stem").alias("_begun"), F.col("rep").alias("_root")), ["sig", "_begun"])
+    lone = begun.join(roots.where("NOT cut").select("sig", "stem", "rep"), ["sig", "stem"], "left").where("rep IS NULL OR rep = stem").select("sig", "stem", "rep", "_root")
+    lone = as_table(lone, "name-begun")
+    unmet = lone.where("rep IS NULL").select("sig", "stem", F.lit(False).alias("cut"), F.col("_root").alias("rep"))
+    return together(roots.unionByName(unmet), lone.where("rep IS NOT NULL AND rep <> _root").select("sig", F.col("rep").alias("a"), F.col("_root").alias("b")))
+
+
+def uphill(best: DataFrame) -> DataFrame:
+    """Follow rep to its own rep until nothing changes; each step doubles the way, and it ends as weights only grow."""
+    while True:
+        own = best.where("NOT cut AND stem <> rep").select("sig", F.col("stem").alias("rep"), F.col("rep").alias("_next"))
+        moved = best.join(own, ["sig", "rep"], "left")
+        if moved.where("_next IS NOT NULL").isEmpty():
+            return best
+        best = as_table(moved.select("sig", "stem", "cut", F.coalesce("_next", "rep").alias("rep")), "name-reps")
+
+
+def together(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """reps with the greatest rep of each component of `edges` (sig, a, b) in place of its own."""
+    both = as_table(edges.unionByName(edges.select("sig", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "name-edges")
+    labels = both.select("sig", "a").distinct().withColumn("label", F.col("a"))
+    while True:
+        best = both.join(labels.select("sig", F.col("a").alias("b"), F.col("label").alias("_l")), ["sig", "b"]).groupBy("sig", "a").agg(F.max("_l").alias("_l"))
+        moved = as_table(labels.join(best, ["sig", "a"]).select("sig", "a", F.greatest("label", "_l").alias("label"), (F.col("_l") > F.col("label")).alias("moved")), "name-labels")
+        labels = moved.select("sig", "a", "label")
+        if moved.where("moved").isEmpty():
+            return as_table(reps.join(labels.select("sig", F.col("a").alias("rep"), "label"), ["sig", "rep"], "left").select("sig", "stem", "cut", F.coalesce("label", "rep").alias("rep")).distinct(), "name-reps")
+
+
+def open_entities(each: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, name, entity) of names that belong to no known signature, by all their words.
+
+    Words that stand with many different others are weak; names with the same
+    strong words are one organisation if at most one set of weak words occurs
+    with them, else by strong and weak words. Order doesn't count, and words
+    written together count as the words apart.
+    """
+    words = each.where(F.col("sig") == OPEN).join(reps.where(F.col("sig") == OPEN).withColumnRenamed("cut", "is_cut"), ["sig", "stem", "is_cut"], "left").select("id", "name", F.coalesce("rep", "stem").alias("word"))
+    sets = words.groupBy("id", "name").agg(F.sort_array(F.collect_set("word")).alias("words"))
+    weak = sets.where("size(words) > 1").select("words", F.explode("words").alias("word")).groupBy("word").agg(F.count_distinct("words").alias("n")).where(F.col("n") >= WEAK).select("word", F.lit(True).alias("weak"))
+    marked = sets.select("id", "name", F.explode("words").alias("word")).join(weak, "word", "left")
+    keyed = marked.groupBy("id", "name").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("weak").isNull(), F.col("word")))), "|").alias("s"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("weak"), F.col("word")))), "|").alias("v"))
+    kinds = keyed.where("v <> ''").groupBy("s").agg(F.count_distinct("v").alias("k"), F.min("v").alias("_v"))
+    keyed = keyed.join(kinds, "s", "left").select("id", "name", F.concat_ws("|", F.lit(OPEN), "s", F.when((F.col("v") == "") & (F.col("k") == 1) & (F.col("s") != ""), F.col("_v")).otherwise(F.col("v"))).alias("label"))
+    joined = each.where(F.col("sig") == JOINED).join(reps.where(F.col("sig") == JOINED).withColumnRenamed("cut", "is_cut"), ["sig", "stem", "is_cut"], "left").select("id", "name", F.coalesce("rep", "stem").alias("joined"))
+    labels = as_table(keyed.join(joined, ["id", "name"]), "open-names")
+    while True:  # the least label of all names written together alike, and back, until nothing changes
+        over = labels.groupBy("joined").agg(F.min("label").alias("_l"))
+        step = labels.join(over, "joined").groupBy("label").agg(F.min("_l").alias("_l"))
+        moved = labels.join(step, "label")
+        if moved.where("_l < label").isEmpty():
+            return labels.select("id", "name", F.col("label").alias("entity"))
+        labels = as_table(moved.select("id", "name", "joined", F.col("_l").alias("label")), "open-names")
 
 
 def entities(orgs: DataFrame) -> DataFrame:
@@ -387,35 +529,41 @@ def entities(orgs: DataFrame) -> DataFrame:
 
     A name that doesn't say its field or second partner is given to the one
     organisation it can mean; if there are several, to the one whose persons it
-    shares most; else it stays by itself.
+    shares most; else it stays by itself. Names that fit no organisation of a
+    known kind are matched among themselves, see open_entities().
     """
     names = as_table(parsed_names(orgs), "names")
     flat = names.select("id", "name", "kind", F.explode("sigs").alias("sig"), "stems", "cut", "weight", (F.size("sigs") == 1).alias("full"))
     each = flat.select("*", F.explode("stems").alias("stem")).withColumn("is_cut", F.col("stem") == F.col("cut"))
-    each = as_table(each, "name-stems")
+    together = names.where(F.array_contains("sigs", OPEN)).select("id", "name", "kind", F.lit(JOINED).alias("sig"), "stems", "cut", "weight", F.lit(False).alias("full"), F.col("joined").alias("stem"), F.lit(False).alias("is_cut"))
+    each = as_table(each.unionByName(together), "name-stems")
     persons_ = F.sum(F.col("weight") - 1)
-    stems = each.where("full").groupBy("sig", "stem").agg((F.count_distinct("name") + persons_ / (1 + persons_)).alias("w"))
-    probes = each.groupBy("sig", "stem", F.col("is_cut").alias("cut")).agg(F.bool_and(~F.col("full")).alias("many"))
-    probes = probes.unionByName(stems.select("sig", "stem", F.lit(False).alias("cut"), F.lit(False).alias("many"))).groupBy("sig", "stem", "cut").agg(F.bool_and("many").alias("many"))
-    reps = representatives(stems, probes)
-    resolved = each.join(reps.withColumnRenamed("cut", "is_cut"), ["sig", "stem", "is_cut"], "left")
+    own = F.col("full") | F.col("sig").isin(OPEN, JOINED)
+    stems = each.where(own).groupBy("sig", "stem").agg((F.count_distinct("name") + persons_ / (1 + persons_)).alias("w"))
+    probes = each.select("sig", "stem", F.col("is_cut").alias("cut")).unionByName(stems.select("sig", "stem", F.lit(False).alias("cut"))).distinct()
+    persons = orgs.where("id IS NOT NULL").select("id", F.explode(F.from_json("people", "array<string>")).alias("person")).distinct()
+    held = each.where("full").select("id", "sig", "stem").join(persons, "id").select("sig", "stem", "person")
+    reps = representatives(stems, probes, held)
+    resolved = each.where(~F.col("sig").isin(OPEN, JOINED)).join(reps.withColumnRenamed("cut", "is_cut"), ["sig", "stem", "is_cut"], "left")
     keys = resolved.groupBy("id", "name", "sig", "full", "kind").agg(F.sort_array(F.collect_set("rep")).alias("reps"), F.bool_and(F.col("rep").isNotNull()).alias("ok")).where("ok")
     whole = F.concat_ws("|", F.concat(F.lit(""), "sig"), F.concat_ws("|", "reps"))
     lone = (F.col("sig") == "partners::0") & (F.col("kind") != "partners")
     sure = keys.where(~lone).select("id", "name", "full", whole.alias("entity"))
-    houses = keys.where("sig = 'partners::0' AND kind = 'partners'").select(whole.alias("entity"), F.explode("reps").alias("rep")).distinct()
-    partner = keys.where(lone).select("id", "name", "full", F.col("reps")[0].alias("rep")).join(houses, "rep").select("id", "name", "full", "entity")
-    options = as_table(sure.unionByName(partner).distinct(), "name-options")
+    houses = as_table(keys.where("sig = 'partners::0' AND kind = 'partners'").select(whole.alias("entity"), F.explode("reps").alias("rep")).distinct(), "houses")
+    partner = keys.where(lone & (F.size("reps") == 1)).select("id", "name", "full", F.col("reps")[0].alias("rep")).join(houses, "rep").select("id", "name", "full", "entity")
+    both = keys.where(lone & (F.size("reps") > 1)).select("id", "name", "full", whole.alias("entity")).join(houses.select("entity").distinct(), "entity").select("id", "name", "full", "entity")
+    options = as_table(sure.unionByName(partner).unionByName(both).distinct(), "name-options")
     n = options.groupBy("id", "name").agg(F.count("*").alias("n"))
     single = options.join(n.where("n = 1"), ["id", "name"]).select("id", "entity")
     # several: the organisation with most persons in common, if one is ahead
     open_ = options.join(n.where("n > 1"), ["id", "name"]).select("id", "name", "entity")
-    persons = orgs.select("id", F.explode(F.from_json("people", "array<string>")).alias("person")).distinct()
     of_entity = options.where("full").select("id", "entity").join(persons, "id").select("entity", "person").distinct()
     common = open_.join(persons, "id").join(of_entity, ["entity", "person"]).groupBy("id", "name", "entity").agg(F.count("*").alias("n"))
     most = common.groupBy("id", "name").agg(F.max(F.struct("n", "entity")).alias("m"), F.max("n").alias("top"))
     ahead = common.join(most, ["id", "name"]).where("n = top").groupBy("id", "name").agg(F.count("*").alias("k"), F.max("entity").alias("entity")).where("k = 1")
-    return single.unionByName(ahead.select("id", "entity")).distinct()
+    # none: among themselves
+    free = open_entities(each.join(n.select("id", "name"), ["id", "name"], "left_anti"), reps).select("id", "entity")
+    return single.unionByName(ahead.select("id", "entity")).unionByName(free).distinct()
 
 
 def variants(orgs: DataFrame) -> DataFrame:
