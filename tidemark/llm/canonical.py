@@ -187,14 +187,14 @@ def map_values(values: DataFrame, entries: list[tuple[str, str, str | None, str
     if len(entries) > MAX_ENTRIES:
         raise ValueError(f"more than {MAX_ENTRIES} entries")
     wordings = rule_wordings(spark, entries)
-    if learned is not None:
-        wordings = as_table(wordings.unionByName(learned), "wordings")
+    wordings = as_table(wordings if learned is None else wordings.unionByName(learned), "wordings")
     forms = formed(values) if forms is None else forms
     hit = exact(forms, wordings).select("field", "value", "rank", F.lit(0).alias("errors"), F.lit(0).cast("long").alias("against"), "entry")
     if patterns is not None:
         found = values.join(patterns, "field").where(F.expr("value RLIKE concat('(?i)', pattern)")).groupBy("field", "value").agg(F.min("entry").alias("entry"), F.max("entry").alias("_z")).where("entry = _z")
         hit = hit.unionByName(found.select("field", "value", F.lit(1).alias("rank"), F.lit(0).alias("errors"), F.lit(0).cast("long").alias("against"), "entry"))
     # the words of the whole value in another order, or shortened, say more than its beginning alone
+    hit = as_table(hit, "exact-hits")
     open_ = forms.where("rank = 0").join(hit.where("rank <= 1").select("field", "value").distinct(), ["field", "value"], "left_anti")
     by_rule = wordings.where("weight IS NULL")
     same = spark.createDataFrame(counterparts(entries), "field string, a string, b string")
@@ -203,7 +203,7 @@ def map_values(values: DataFrame, entries: list[tuple[str, str, str | None, str
     hit = as_table(hit, "hits")
     # a value whose longest form is known needs no search
     known = hit.where("rank <= 1").select("field", "value").distinct()
-    rest = forms.join(known, ["field", "value"], "left_anti")
+    rest = as_table(forms.join(known, ["field", "value"], "left_anti"), "unknown-forms")
     left = rest.select("field", "form", F.lit(False).alias("sorted"), F.col("form").alias("_f")).distinct()
     in_order = lambda df, name: df.select("*", F.concat_ws(" ", words_of(F.col(name))).alias("_w")).where("_w <> '' AND size(split(_w, ' ')) > 1")
     asked = left.unionByName(in_order(left, "form").select("field", "form", F.lit(True).alias("sorted"), F.col("_w").alias("_f"))).withColumn("field_", F.concat("field", F.when(F.col("sorted"), F.lit("#")).otherwise(F.lit(""))))
@@ -235,7 +235,7 @@ def learn(votes: DataFrame, least: int, fuzzy_from: int) -> DataFrame:
     SHARE of the witnesses must stand for it, DEVIATIONS more than among the
     witnesses of all forms of the field.
     """
-    n = votes.groupBy("field", "form", "entry").agg(F.count_distinct("who").alias("n"))
+    n = as_table(votes.groupBy("field", "form", "entry").agg(F.count_distinct("who").alias("n")), "votes")
     per_entry = n.groupBy("field", "entry").agg(F.sum("n").alias("_e"))
     base = per_entry.join(per_entry.groupBy("field").agg(F.sum("_e").alias("_all")), "field").select("field", "entry", (F.col("_e") / F.col("_all")).alias("base"))
     top = n.groupBy("field", "form").agg(F.sum("n").alias("total"), F.max(F.struct("n", "entry")).alias("t")).select("field", "form", "total", "t.n", "t.entry")
@@ -260,9 +260,9 @@ def by_words(forms: DataFrame, wordings: DataFrame, same_words: DataFrame) -> Da
     settled by neither. Joins are on words, beginnings and initials by equality.
     """
     bags = wordings.select("field", "entry", words_of(F.col("wording")).alias("words")).where("size(words) > 0").distinct()
-    bags = bags.withColumn("size", F.size("words")).withColumn("bag", F.concat_ws(" ", "words"))
+    bags = as_table(bags.withColumn("size", F.size("words")).withColumn("bag", F.concat_ws(" ", "words")), "listed-words")
     words = bags.select("field", F.explode("words").alias("word")).distinct()
-    asked = forms.select("field", "form", words_of(F.col("form")).alias("_w")).distinct().withColumn("size", F.size("_w")).where("size > 0")
+    asked = as_table(forms.select("field", "form", words_of(F.col("form")).alias("_w")).distinct().withColumn("size", F.size("_w")).where("size > 0"), "asked-words")
     token = asked.select("field", F.explode("_w").alias("token")).distinct()
     n = F.length("word")
     begins = words.select("field", "word", F.explode(F.expr("transform(filter(sequence(3, greatest(3, length(word) - 1)), k -> k < length(word)), k -> substring(word, 1, k))")).alias("token"))
@@ -273,12 +273,12 @@ def by_words(forms: DataFrame, wordings: DataFrame, same_words: DataFrame) -> Da
     same = same_words.select("field", F.col("b").alias("word"), F.col("a").alias("token"))
     loose = loose.unionByName(same.join(token, ["field", "token"]).select("field", "word", "token")).unionByName(same.select("field", "word", F.concat(F.lit("co"), "token").alias("token")).join(token, ["field", "token"]).select("field", "word", "token"))
     alike = words.select("field", "word", F.col("word").alias("token"), F.lit(0).alias("e")).unionByName(loose.select("field", "word", "token", F.lit(1).alias("e")))
-    alike = alike.groupBy("field", "token", "word").agg(F.min("e").alias("e"))
+    alike = as_table(alike.groupBy("field", "token", "word").agg(F.min("e").alias("e")), "alike-words")
     of_form = asked.select("field", "form", "size", F.explode("_w").alias("token"))
     of_bag = bags.select("field", "entry", "bag", "size", F.explode("words").alias("word"))
     met = of_form.join(alike, ["field", "token"]).join(of_bag, ["field", "size", "word"])
     whole = met.groupBy("field", "form", "entry", "bag", "size").agg(F.count_distinct("token").alias("_t"), F.count_distinct("word").alias("_b"), F.sum("e").alias("errors")).where("_t = size AND _b = size")
-    each = whole.groupBy("field", "form", "entry").agg(F.min("errors").alias("errors"))
+    each = as_table(whole.groupBy("field", "form", "entry").agg(F.min("errors").alias("errors")), "same-words")
     least = each.groupBy("field", "form").agg(F.min("errors").alias("errors"))
     best = each.join(least, ["field", "form", "errors"]).groupBy("field", "form", "errors").agg(F.min("entry").alias("entry"), F.max("entry").alias("_z"))
     return best.where("entry = _z").select("field", "form", "errors", "entry")
@@ -301,6 +301,7 @@ def learned_wordings(rows: DataFrame, forms: DataFrame, wordings: DataFrame, tag
     by the persons whose known titles belong to a class. Values that mean no
     entry stand with all kinds of persons, so no entry gets its SHARE.
     """
+    wordings = as_table(wordings, "rule-wordings")
     seeds = exact(forms, wordings).groupBy("field", "value").agg(F.min(F.struct("rank", "entry")).alias("_b")).select("field", "value", F.col("_b.entry").alias("entry"))
     whole = forms.where("rank = 0").select("field", "value", "form")
     open_ = whole.join(wordings.select("field", F.col("wording").alias("form")), ["field", "form"], "left_anti")
