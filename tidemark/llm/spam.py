@@ -27,11 +27,14 @@ FUNCTION_WORDS = frozenset(
     "o os um uma e do da dos das em no na nos nas por para com que se ao aos pelo pela mais mas foi ser entre quem depois até já ainda não sem sobre seu sua num numa como".split()
 ) | {"à", "às", "é", "são"}
 URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,7}\b(?:/\S*)?")
-LINKED = re.compile(r"://|www\.|\w\.[a-z]{2,7}\b")
+LINKED = re.compile(r"\.[a-z]{2}|://")
 CUT = re.compile(r"(?<=[.!?…])\s+")
 WORD = re.compile(r"[^\W_]+")
 MARKS = ",/·|#•→-–—:;*"
 SYMBOLS = "€$£%"
+DIGITS = "0123456789"
+CAPITAL = re.compile(r"[A-ZÀ-Ý]").findall
+CLOSING = " )»\"”"
 ENDS = (".", "!", "?", "…")
 #: Pages below so many words are too small to be judged.
 TINY = 15
@@ -39,13 +42,13 @@ TINY = 15
 MAX_TRAINING = 4000
 #: A page that compresses to less than the first share of what told text of its length compresses to is labelled
 #: spam, from the second share on told; between lies no label.
-SQUEEZED, LOOSE = 0.72, 0.86
+SQUEEZED, LOOSE = 0.76, 0.84
 #: Texts are compressed in windows of about so many bytes, so that long pages compress like short ones.
 WINDOW = 1000
-#: How far back a word and a pair of words count as repeated, in words.
-NEAR, NEAR_PAIR = 80, 200
+#: A word is repeated if it stands in the same or the last stretch of so many words.
+STRETCH = 80
 NAMES = [
-    "words", "chars", "function", "distinct", "recent", "recent_pairs", "url_chars", "urls", "ended", "marks", "digits", "symbols", "capitals", "word_chars", "head_count", "first_mark",
+    "words", "chars", "function", "distinct", "recent", "url_chars", "urls", "ended", "marks", "digits", "symbols", "capitals", "word_chars", "head_count", "first_mark",
     "page_urls", "prev_function", "next_function", "prev_recent", "next_recent", "prev_ended", "next_ended",
 ]
 
@@ -55,51 +58,45 @@ def segments_of(text: str) -> list[str]:
     return [s for line in text.split("\n") if line and not line.isspace() for s in CUT.split(line) if s and not s.isspace()]
 
 
-def features(text: str) -> tuple[int, list[int], list[list[float]]]:
-    """Number of words of a page, the size of each of its segments, and their content and link features."""
-    linked = LINKED.search(text) is not None
+def features(text: str) -> tuple[int, list[int], list[tuple]]:
+    """Number of words of a page, the size of each of its segments, and what NAMES says of a segment by itself."""
     segs = segments_of(text)
     bare, links = segs, [()] * len(segs)
-    if linked:
-        links = [URL.findall(s) for s in segs]
+    if LINKED.search(text) is not None:
+        links = [URL.findall(s) if "." in s else () for s in segs]
         bare = [URL.sub(" ", s) if u else s for s, u in zip(segs, links)]
     words = [WORD.findall(s.lower()) for s in bare]
-    n = sum(map(len, words))
-    if not segs:
-        return n, [], []
-    is_function = FUNCTION_WORDS.__contains__
-    page_urls = sum(sum(map(len, u)) for u in links) / max(1, len(text))
-    last: dict = {}
     heads: dict[str, int] = {}
-    rows, at = [], 0
+    rows = []
+    last: set = set()
     for line, (s, ws, u) in enumerate(zip(segs, words, links)):
         k, size = len(ws), len(s)
         k1 = k or 1
-        function = sum(map(is_function, ws))
-        recent = pairs = 0
-        before = ""
-        for w in ws:
-            if not is_function(w):
-                recent += at - last.get(w, -NEAR - 1) <= NEAR
-                last[w] = at
-            g = (before, w)
-            pairs += at - last.get(g, -NEAR_PAIR - 1) <= NEAR_PAIR
-            last[g] = at
-            before = w
-            at += 1
+        telling = [w for w in ws if w not in FUNCTION_WORDS]
+        recent = len(telling)
+        for i in range(0, recent, STRETCH):
+            now = set(telling[i : i + STRETCH])
+            recent -= len(now - last)
+            last = now if len(now) >= STRETCH // 4 or len(last) >= STRETCH else now | last
         head = ws[0] if ws else ""
-        rows.append([
-            float(min(k, 200)), float(min(size, 2000)), function / k1, len(set(ws)) / k1, recent / max(1, k - function), pairs / k1,
-            sum(map(len, u)) / size, float(len(u)), float(s.rstrip(" )»\"”").endswith(ENDS)), sum(map(s.count, MARKS)) / k1, sum(x.isdigit() for x in s) / size, sum(map(s.count, SYMBOLS)) / k1,
-            sum(x[0].isupper() for x in s.split()) / k1, sum(map(len, ws)) / k1, float(line - heads.get(head, -100) <= 8), float(not s.lstrip()[0].isalnum()), page_urls,
-        ])
+        rows.append((
+            k if k < 200 else 200, size if size < 2000 else 2000, (k - len(telling)) / k1, len(set(ws)) / k1, recent / (len(telling) or 1), sum(map(len, u)) / size if u else 0.0, len(u), s.rstrip(CLOSING).endswith(ENDS), sum(map(s.count, MARKS)) / k1,
+            sum(map(s.count, DIGITS)) / size, sum(map(s.count, SYMBOLS)) / k1, len(CAPITAL(s)) / k1, sum(map(len, ws)) / k1, line - heads.get(head, -100) <= 8, not s.lstrip()[0].isalnum(),
+        ))
         heads[head] = line
-    fw, rec, end = NAMES.index("function"), NAMES.index("recent"), NAMES.index("ended")
-    own = [(r[fw], r[rec], r[end]) for r in rows]
-    for i, r in enumerate(rows):
-        a, b = own[max(0, i - 1)], own[min(len(own) - 1, i + 1)]
-        r += [a[0], b[0], a[1], b[1], a[2], b[2]]
-    return n, [len(s) for s in segs], rows
+    return sum(map(len, words)), list(map(len, segs)), rows
+
+
+def with_context(rows: list[tuple], page: list[int], sizes: list[int]) -> np.ndarray:
+    """NAMES of the segments of many pages: those of features(), the share of links on the page, and of the neighbours."""
+    x, of, w = np.array(rows, float), np.array(page), np.array(sizes, float)
+    urls = np.bincount(of, x[:, NAMES.index("url_chars")] * w) / np.maximum(1, np.bincount(of, w))
+    at = np.arange(len(of))
+    before = np.where((at > 0) & (of[at - 1] == of), at - 1, at)
+    after = np.minimum(at + 1, len(of) - 1)
+    after = np.where(of[after] == of, after, at)
+    near = [x[where, NAMES.index(name)] for name in ("function", "recent", "ended") for where in (before, after)]
+    return np.column_stack([x, urls[of], *near])
 
 
 def squeeze(text: str) -> tuple[int, float]:
@@ -158,8 +155,8 @@ def weak_labels(documents: DataFrame, doc: str, text: str) -> tuple[DataFrame, t
     return pages.select("_doc", F.when(ratio <= SQUEEZED, 1).when(ratio >= LOOSE, 0).alias("label")).where("label IS NOT NULL"), line
 
 
-def fit(documents: DataFrame, doc: str, text: str, limit: int = MAX_TRAINING) -> tuple[trees.Bagged | None, tuple[float, float, float]]:
-    """The line of told text, and bagged trees on the segments of at most `limit` weakly labelled pages, half of each class.
+def fit(documents: DataFrame, doc: str, text: str, limit: int = MAX_TRAINING) -> tuple[DataFrame, trees.Bagged | None]:
+    """Weak labels (_doc, label), and bagged trees on the segments of at most `limit` weakly labelled pages, half of each class.
 
     Long segments have labels of their own (a page may hold both kinds of
     text), short ones that of their page.
@@ -170,11 +167,15 @@ def fit(documents: DataFrame, doc: str, text: str, limit: int = MAX_TRAINING) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label, segs = [], []
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                segs += features(t)[2]
+            label, segs, of, sizes = [], [], [], []
+            for i, (t, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                _, size, rows = features(t)
+                segs += rows
+                sizes += size
+                of += [i] * len(size)
                 label += segment_labels(segments_of(t), y, line)
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(segs, pa.list_(pa.float64()))], ["label", "x"])
+            x = with_context(segs, of, sizes).tolist() if segs else []
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     texts = documents.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(picked), "_doc").select("_text", "label")
     rows = texts.mapInArrow(run, "label int, x array<double>").where("label >= 0").select("label", "x", F.xxhash64("x").alias("h"))
@@ -182,19 +183,18 @@ def fit(documents: DataFrame, doc: str, text: str, limit: int = MAX_TRAINING) ->
     drawn = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy("h", "x").limit(limit * 6).collect()]
     y = np.array([float(r.label) for r in drawn])
     if len(np.unique(y)) < 2:
-        return None, line
+        return sure, None
     x = np.array([r.x for r in drawn])
-    return trees.bag(x, y, depth=7), line
+    return sure, trees.bag(x, y, depth=7)
 
 
-def page_scores(documents: DataFrame, doc: str, text: str, host: str, model: trees.Bagged | None, line: tuple[float, float, float]) -> DataFrame:
-    """(_doc, _host, p, label): the share of each page's text in segments the trees judge listed; 0 for null, blank and tiny pages. label is the weak one, -1 for none."""
+def page_scores(documents: DataFrame, doc: str, text: str, host: str, model: trees.Bagged | None) -> DataFrame:
+    """(_doc, _host, p): the share of each page's text in segments the trees judge listed; 0 for null, blank and tiny pages."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = np.zeros(b.num_rows)
-            labels = np.full(b.num_rows, -1, np.int32)
             sizes, rows, of = [], [], []
             if shipped.value is not None:
                 for i, t in enumerate(b.column(2).to_pylist()):
@@ -204,18 +204,15 @@ def page_scores(documents: DataFrame, doc: str, text: str, host: str, model: tre
                             sizes += size
                             rows += x
                             of += [i] * len(size)
-                            step, share = squeeze(t)
-                            ratio = share / told_share(step, line)
-                            labels[i] = 1 if ratio <= SQUEEZED else 0 if ratio >= LOOSE else -1
             if rows:
                 at, w = np.array(of), np.array(sizes, float)
-                p = shipped.value.share(np.array(rows))
+                p = shipped.value.share(with_context(rows, of, sizes))
                 total = np.bincount(at, w, b.num_rows)
                 score = np.bincount(at, w * p, b.num_rows) / np.maximum(total, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array(labels)], ["_doc", "_host", "p", "label"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["_doc", "_host", "p"])
 
     kinds = dict(documents.dtypes)
-    return documents.select(doc, host, text).mapInArrow(run, f"_doc {kinds[doc]}, _host {kinds[host]}, p double, label int")
+    return documents.select(doc, host, text).mapInArrow(run, f"_doc {kinds[doc]}, _host {kinds[host]}, p double")
 
 
 #: Weight of the host in log-odds before anything is known of it, and how sure that is (mean and deviation).
@@ -230,7 +227,7 @@ def host_weight(joined: DataFrame, page: Column, host: Column) -> float:
     tell the labels apart.
     """
     step = lambda c: F.round(F.least(F.greatest(c, F.lit(-7.0)), F.lit(7.0)) * 4)
-    bins = joined.where("label >= 0").groupBy("label", step(page).alias("a"), step(host).alias("b")).count().collect()
+    bins = joined.groupBy("label", step(page).alias("a"), step(host).alias("b")).count().collect()
     if not bins:
         return PRIOR
     y, a, b, n = (np.array([float(r[k]) for r in bins]) for k in ("label", "a", "b", "count"))
@@ -251,7 +248,8 @@ def spam_pages(documents: DataFrame, doc: str = "doc_id", text: str = "text", ho
     own; repeated rows are judged alike; extra columns are ignored; without
     pages of both labels nothing is spam.
     """
-    scored = page_scores(documents, doc, text, host, *fit(documents, doc, text)).withColumn("_key", F.coalesce(F.col("_host").cast("string"), F.lit("\0")))
+    labels, model = fit(documents, doc, text)
+    scored = page_scores(documents, doc, text, host, model).withColumn("_key", F.coalesce(F.col("_host").cast("string"), F.lit("\0")))
     scored = as_table(scored, "scores")
     # one spam page is added to a host's pages at the corpus rate of 1 in 20, so that small hosts stay near it
     rates = scored.groupBy("_key").agg(F.sum((F.col("p") >= 0.5).cast("double")).alias("_spam"), F.count("*").alias("_n"))
@@ -260,7 +258,7 @@ def spam_pages(documents: DataFrame, doc: str = "doc_id", text: str = "text", ho
     page = logit(F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999)))
     base = F.lit(float(np.log(1 / 19)))
     others = (F.col("_spam") - (F.col("p") >= 0.5).cast("double") + 1) / (F.col("_n") + 19)  # the host without the page itself
-    weight = host_weight(joined, page, logit(others) - base)
+    weight = host_weight(joined.join(labels.groupBy("_doc").agg(F.min("label").alias("label")), "_doc"), page, logit(others) - base)
     score = 1 / (1 + F.exp(-(page + F.lit(weight) * (logit(F.col("host_rate")) - base))))
     out = joined.select(F.col("_doc").alias(doc), F.col("_host").alias(host), F.when(F.col("p") == 0, F.lit(0.0)).otherwise(score).alias("score"), F.col("p").alias("page_score"), "host_rate")
     return out.withColumn("is_spam", F.col("score") >= 0.5)
