@@ -69,6 +69,8 @@ def test_leaks_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = L.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want and want
+    parts = L.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), max_chars=300).collect()  # several automata
+    assert sorted(map(str, parts)) == sorted(map(str, found))
     text = {d: t for d, t in docs if t}
     for r in found:
         assert len(L.normal_words(text[r.doc_id][r.start : r.end])) == r.words >= 12
@@ -102,6 +104,32 @@ def test_pigeonhole_finds_all_within_bounds(spark):
         assert got[v] == (min(near)[1] if near else "none"), v
 
 
+def test_lists_over_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_ENTRIES", 5)
+    roles = spark.createDataFrame([(f"e{i}", "role", f"Entry {i}", None, None, None) for i in range(8)], "entry string, kind string, label string, pt string, short string, role_class string")
+    empty = spark.createDataFrame([], "id string, type string, label string, pt string, pattern string")
+    with pytest.raises(ValueError):
+        C.entries_of(roles, empty)
+    assert len(C.entries_of(roles.limit(5), empty)) == 5
+
+
+def test_wordings_are_learned_from_records(spark):
+    """No list says 'coder' or 'numbers person'; the persons who hold them, and tagged words, do."""
+    people = [(f"p{i}", r) for i in range(12) for r in (["Chief Data Officer", "Numbers person"] if i < 6 else ["Founder", "Made it up"] if i < 9 else ["Founder" if i % 2 else "CDO", "Cook"])]
+    people += [(f"q{i}", r) for i in range(40) for r in (["Founder", "Guest"] if i % 4 else ["CDO", "Guest"])]
+    tags = [("p1", "energy", "watts"), ("p2", "energy", "Watts"), ("p3", "energy", "watts"), ("p4", None, "Watts!"), ("p5", None, "old maps"), ("p6", None, "energi")]
+    got = C.canonical_entries(
+        spark.createDataFrame(people, "id string, role string"),
+        spark.createDataFrame([], "id string, role_class string"),
+        spark.createDataFrame(tags, "person string, tag string, matched string"),
+        spark.createDataFrame([("chief-data", "role", "Chief Data Officer", "Diretor de dados", "CDO", "x"), ("founder", "role", "Founder", "Fundador", None, "x")], "entry string, kind string, label string, pt string, short string, role_class string"),
+        spark.createDataFrame([("energy", "s", "Energy", "Energia", r"\benerg(y|ia)\b"), ("tourism", "s", "Tourism", "Turismo", None)], "id string, type string, label string, pt string, pattern string"),
+    )
+    of = {(r.field, r.value): r.entry for r in got.collect()}
+    assert of["people.role", "Numbers person"] == "chief-data" and of["people.role", "Cook"] == of["people.role", "Guest"] == "none" and of["people.role", "Made it up"] in ("founder", "none")
+    assert of["person_tags.matched", "Watts!"] == "energy" and of["person_tags.matched", "old maps"] == "none" and of["person_tags.matched", "energi"] == "energy"
+
+
 def test_forms_and_unmatched(spark):
     values = {"C.D.O. @ Some House": "chief-data", "FUNDADORA – X": "founder", "Growth, Head": "head-of-growth", "Head, Growth, Some House": "head-of-growth", "Fonder": "founder", "diretora\xa0de  dados;": "chief-data", "Founder's dog walker": "none", "Head of Gardening": "none", "—": "none", "CDO – Independent": "chief-data"}
     df = spark.createDataFrame([("people.role", v) for v in values], "field string, value string")

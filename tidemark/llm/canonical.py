@@ -225,6 +225,7 @@ def map_values(values: DataFrame, entries: list[tuple[str, str, str | None, str
     late = F.when(whole_only, F.lit(20)).otherwise(F.greatest("rank", F.lit(2)) + 1)
     fuzzy = rest.join(near, ["field", "form"]).select("field", "value", late.alias("rank"), "errors", "against", "entry")
     best = hit.unionByName(fuzzy).groupBy("field", "value").agg(F.min(F.struct("rank", "errors", "against", "entry")).alias("_b")).select("field", "value", F.col("_b.entry").alias("entry"))
+    best = as_table(best, "best-entries")
     none = values.select("field", "value").join(best, ["field", "value"], "left_anti").select("field", "value", F.lit("none").alias("entry"))
     return best.unionByName(none)
 

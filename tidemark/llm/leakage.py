@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W_]+").findall
 MARKS = regex.compile(r"\p{M}+")
-#: Items are the stated query set: all of their passages together may have so many characters, else an error is raised.
-MAX_PATTERN_CHARS = 400_000_000
+#: So many characters of items go into one automaton (a passage begins at every word, so its passages have some
+#: dozen times as many); a larger item set is cut into several, each of which scans the corpus.
+MAX_ITEM_CHARS = 8_000_000
 
 
 def normal_words(text: str) -> list[str]:
@@ -53,8 +54,6 @@ def automaton_of(items: list[tuple[int, str]], words: int) -> ahocorasick.Automa
             owners[f" {' '.join(w[i : i + words])} "].add(item)
     if not owners:
         return None
-    if sum(map(len, owners)) > MAX_PATTERN_CHARS:
-        raise ValueError("the item set is too large for one automaton; give it in parts")
     a = ahocorasick.Automaton()
     for passage, whose in owners.items():
         a.add_word(passage, (len(passage), tuple(sorted(whose))))
@@ -90,17 +89,30 @@ def hits(a: ahocorasick.Automaton, text: str, words: int) -> list[tuple[int, int
 _built: dict[str, ahocorasick.Automaton | None] = {}
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, doc: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, words: int = 12, doc: str = "doc_id", text: str = "text", item: str = "item_id", max_chars: int = MAX_ITEM_CHARS) -> DataFrame:
     """(doc, item, start, end, words): passages of at least `words` consecutive words of an item.
 
     `start` and `end` are code points of the original text. Null, empty and
     short texts hold nothing and short items are never found; repeated
     documents each get their rows; two items with a common passage are both
-    reported. The items go to the tasks, the corpus is scanned once, nothing
-    is shuffled.
+    reported. The items go to the tasks, the corpus is scanned once for each
+    MAX_ITEM_CHARS of items, nothing is shuffled.
     """
+    given = items.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(item, text).distinct()
+    size = given.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = max(1, -(-size // max_chars))
+    out = None
+    for part in range(parts):
+        here = given.where(F.pmod(F.xxhash64(item), F.lit(parts)) == part) if parts > 1 else given
+        found = _scan(documents, here, words, doc, text, item)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _scan(documents: DataFrame, items: DataFrame, words: int, doc: str, text: str, item: str) -> DataFrame:
+    """find_leaks() with the automaton of all of `items`."""
     spark = documents.sparkSession
-    given = [(r[0], r[1]) for r in items.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(item, text).distinct().toLocalIterator()]
+    given = [(r[0], r[1]) for r in items.toLocalIterator()]
     shipped = spark.sparkContext.broadcast(given)
     ident = uuid.uuid4().hex
 
