@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import history as H
 from tidemark.operators import orphans as O
 from tidemark.operators import snapshots as S
-from tidemark.operators.captures import captures, latest_rows
+from tidemark.operators.captures import Captures, captures, latest_rows
 from tidemark.operators.skew import salted_join
 
 PEOPLE = "id string, name string, role string, org string, snapshot string, loaded timestamp_ntz, key string, ordinal int, capture string"
@@ -133,14 +133,47 @@ def test_deletion_reopens(spark):
     ref = spark.createDataFrame([("edges", "e", "source", "nodes", "n", 10)], O.REF_SCHEMA)
     parent = spark.createDataFrame([("nodes", "n", 5, False)], "ptbl string, parent string, seen long, excluded boolean")
     none = spark.createDataFrame([], "ptbl string, parent string, gone long")
-    state = O.step(state, ref, parent.limit(0), none, first=True)
+    state = O.step(state, ref, parent.limit(0), none)
     assert [r.reason for r in state.open().collect()] == ["missing"]
     state = O.step(state, ref.limit(0), parent, none)
-    assert state.open().count() == 0 and state.settled.count() == 1
+    assert state.open().count() == 0 and state.settled.read().count() == 1
     state = O.step(state, ref.limit(0), parent.limit(0), spark.createDataFrame([("nodes", "n", 7)], "ptbl string, parent string, gone long"))
     assert [r.reason for r in state.open().collect()] == ["deleted"]
 
 
+def test_an_increment_touches_only_its_buckets(spark):
+    refs = spark.createDataFrame([("edges", f"e{i}", "source", "nodes", f"n{i}", 10) for i in range(300)], O.REF_SCHEMA)
+    parents = spark.createDataFrame([("nodes", f"n{i}", 5, False) for i in range(0, 300, 2)], "ptbl string, parent string, seen long, excluded boolean")
+    none = spark.createDataFrame([], "ptbl string, parent string, gone long")
+    state = O.step(O.OrphanState.empty(spark, buckets=16), refs, parents, none)
+    one = spark.createDataFrame([("nodes", "n1", 12, False)], "ptbl string, parent string, seen long, excluded boolean")
+    after = O.step(state, refs.limit(0), one, none)
+    for part in ("index", "pending"):
+        a, b = getattr(state, part).paths, getattr(after, part).paths
+        assert len(a) > 10 and sum(a[k] != b.get(k) for k in a) == 1, part
+    assert after.open().where("reason = 'late'").count() == 1 and after.open().count() == 150
+
+
+def test_counts_after_each_increment(spark):
+    e, n, s, _, _ = graph(spark, 5)
+    over = O.counts_over_time(e, n, s, 3).collect()
+    last = {(r.tbl, r.month, r.reason, r.n) for r in over if r.increment == 2}
+    assert last == {tuple(r) for r in O.counts(O.orphans(e, n, s, 1)).collect()} and {r.increment for r in over} == {0, 1, 2}
+
+
+def test_kept_snapshots_merge_the_newest_pair(spark):
+    rng = random.Random(4)
+    rows = [(f"k{k}", o, rng.choice(["x", "y", None])) for o in range(5) for k in range(200) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "key string, ordinal int, v string")
+    kept = S.KeptSnapshots.empty(spark, df.where("ordinal = 0"), ["v"], ranges=4)
+    got = []
+    for o in range(5):
+        kept, diff = kept.add(df.where(F.col("ordinal") == o).select("key", "v"))
+        got += [(o, r.key, r.change) for r in diff.collect()]
+    known = Captures([A, B, C, "2026-04-01", "2026-05-01"], [None] * 5)
+    assert sorted(got) == sorted((r.ordinal, r.key, r.change) for r in S.diff_snapshots(df, known, ["v"]).collect())
+
+
 def test_salted_join_is_the_join(spark):
     many = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "i int, k string")
     one = spark.createDataFrame([("hot", 1), ("k9", 2), ("none", 3)], "k string, v int")

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.captures import Captures, captures, latest_rows
+from tidemark.session import shared_dir
+
+
+#: Keys looked at to cut the key space into ranges; they are drawn by hash.
+SAMPLE = 10_000
+
+
+def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays differ, null equal to null only."""
+    unequal = pc.fill_null(pc.not_equal(a, b), False)
+    return pc.or_(unequal, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
 
 
 def merge_range(batches: Iterator[pa.RecordBatch], values: list[str], last: int) -> Iterator[pa.RecordBatch]:
@@ -16,31 +31,39 @@ def merge_range(batches: Iterator[pa.RecordBatch], values: list[str], last: int)
 
     The range streams in sorted by (key, ordinal), so the lists of all
     snapshots advance together: one pointer stands on the previous row, one on
-    the current row. A key missing in the next list is 'removed' there, one
-    missing in the list before is 'added', one in both is compared column by
-    column. Only one row is held between batches.
+    the current row, and columns are compared as arrays. A key missing in the
+    next list is 'removed' there, one missing in the list before is 'added',
+    one in both is compared column by column. Only one row is held between
+    batches.
     """
-    key = at = old = None
+    names = ["ordinal", "key", "change"]
+
+    def made(parts: list[tuple[np.ndarray, pa.Array, str]]) -> pa.RecordBatch:
+        ords = np.concatenate([p[0] for p in parts]).astype(np.int32)
+        keys = pa.concat_arrays([p[1].cast(pa.string()) for p in parts])
+        what = pa.concat_arrays([pa.array([p[2]] * len(p[0]), pa.string()) for p in parts])
+        return pa.RecordBatch.from_arrays([pa.array(ords), keys, what], names)
+
+    held = None
     for batch in batches:
-        keys, ords = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        cols = [batch.column(2 + i).to_pylist() for i in range(len(values))]
-        to, who, what = [], [], []
-        for i, row in enumerate(zip(*cols) if cols else ((),) * len(keys)):
-            k, o = keys[i], ords[i]
-            if k == key and o == at + 1:
-                if row != old:
-                    for name, a, b in zip(values, old, row):
-                        if a != b:
-                            to.append(o), who.append(k), what.append(name)
-            else:
-                if key is not None and at < last:
-                    to.append(at + 1), who.append(key), what.append("removed")
-                if o > 0:
-                    to.append(o), who.append(k), what.append("added")
-            key, at, old = k, o, row
-        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(who, pa.string()), pa.array(what, pa.string())], ["ordinal", "key", "change"])
-    if key is not None and at < last:
-        yield pa.RecordBatch.from_arrays([pa.array([at + 1], pa.int32()), pa.array([key], pa.string()), pa.array(["removed"], pa.string())], ["ordinal", "key", "change"])
+        if not batch.num_rows:
+            continue
+        rows = [pa.concat_arrays([h, c]) for h, c in zip(held, batch.columns)] if held is not None else batch.columns
+        key, at, n = rows[0], rows[1].to_numpy(zero_copy_only=False), len(rows[0])
+        before, after = (lambda c: c.slice(0, n - 1)), (lambda c: c.slice(1))
+        follows = pc.equal(before(key), after(key)).to_numpy(zero_copy_only=False) & (at[1:] == at[:-1] + 1)
+        pick = lambda c, where: c.take(pa.array(np.flatnonzero(where)))
+        gone, new = ~follows & (at[:-1] < last), ~follows & (at[1:] > 0)
+        parts = [(at[:-1][gone] + 1, pick(before(key), gone), "removed"), (at[1:][new], pick(after(key), new), "added")]
+        if held is None and at[0] > 0:
+            parts.append((at[:1], key.slice(0, 1), "added"))
+        for name, c in zip(values, rows[2:]):
+            changed = follows & _differs(before(c), after(c))
+            parts.append((at[1:][changed], pick(after(key), changed), name))
+        yield made(parts)
+        held = [c.slice(n - 1) for c in rows]
+    if held is not None and (at := held[1].to_numpy(zero_copy_only=False))[0] < last:
+        yield made([(at + 1, held[0], "removed")])
 
 
 def diff_snapshots(rows: DataFrame, known: Captures, values: list[str]) -> DataFrame:
@@ -55,6 +78,49 @@ def diff_snapshots(rows: DataFrame, known: Captures, values: list[str]) -> DataF
     return ranged.mapInArrow(lambda batches: merge_range(batches, values, last), "ordinal int, key string, change string")
 
 
+@dataclass(frozen=True)
+class KeptSnapshots:
+    """Snapshots kept in the shared folder, each cut at the same keys into ranges and sorted in them.
+
+    A delivery is cut and sorted once; only it and the snapshot before are
+    read for the changes, whatever the length of the history.
+    """
+
+    spark: SparkSession
+    bounds: tuple[str, ...]
+    values: tuple[str, ...]
+    paths: tuple[str, ...] = ()
+
+    @staticmethod
+    def empty(spark: SparkSession, first: DataFrame, values: list[str], ranges: int = 200) -> KeptSnapshots:
+        """Ranges of about equal size, from SAMPLE keys of the first delivery drawn by hash."""
+        drawn = sorted(r.key for r in first.where("key IS NOT NULL").select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
+        cuts = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
+        return KeptSnapshots(spark, tuple(sorted(set(cuts))), tuple(values))
+
+    def _range(self) -> Column:
+        if not self.bounds:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(b) for b in self.bounds]), lambda b: b <= F.col("key")))
+
+    def add(self, rows: DataFrame) -> tuple[KeptSnapshots, DataFrame]:
+        """Keep the next delivery, (key, values...) with one row per key; and its (key, change) against the one before."""
+        path = f"{shared_dir(self.spark)}/tidemark/snapshot-{uuid.uuid4().hex}"
+        cut = rows.where("key IS NOT NULL").select("key", *self.values, self._range().alias("range"))
+        cut.repartition("range").sortWithinPartitions("range", "key").write.option("compression", "zstd").partitionBy("range").parquet(path)
+        kept = replace(self, paths=(*self.paths, path))
+        if len(kept.paths) == 1:
+            return kept, self.spark.createDataFrame([], "key string, change string")
+        schema = cut.schema
+        newest = None
+        for i, p in enumerate(kept.paths[-2:]):
+            one = self.spark.read.schema(schema).parquet(p).select("range", "key", F.lit(i).alias("ordinal"), *self.values)
+            newest = one if newest is None else newest.unionByName(one)
+        sorted_ = newest.repartition("range").sortWithinPartitions("key", "ordinal").select("key", "ordinal", *self.values)
+        values = list(self.values)
+        return kept, sorted_.mapInArrow(lambda batches: merge_range(batches, values, 1), "ordinal int, key string, change string").select("key", "change")
+
+
 def changed_values(rows: DataFrame, known: Captures, values: list[str]) -> DataFrame:
     """(ordinal, key, field, was, now) for every field that differs between a snapshot and the one before; nulls are values."""
     per_key = Window.partitionBy("key").orderBy("ordinal")
