@@ -131,6 +131,83 @@ def test_pdf():
     assert text_of(pdf) == "Hello (w)\nA B\néab" and text_of(b"x") == "" and text_of(None) == ""
 
 
+def made(objects, trailer=b"/Root 1 0 R"):
+    """A file of the given objects; a stream is given as (dictionary, contents)."""
+    out = b"%PDF-1.7\n"
+    for k, o in objects.items():
+        out += b"%d 0 obj\n%s\nendobj\n" % (k, o if isinstance(o, bytes) else b"<<%s /Length %d>>\nstream\r\n%s\nendstream" % (o[0], len(o[1]), o[1]))
+    return out + b"trailer <<%s>>\n" % trailer
+
+
+TREE = {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [3 0 R 8 0 R] /Count 2 /Resources 9 0 R>>", 3: b"<</Type /Page /Contents [4 0 R 10 0 R]>>", 8: b"<</Type /Page /Contents 11 0 R>>"}
+
+
+def test_pdf_fonts_and_pages():
+    """Two fonts with maps of their own, of one and two bytes, encodings by glyph names, pages in the order of the tree."""
+    one = (b"", b"1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <24> <26> <0041> endbfrange")
+    two = (b"", b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0001> <0002> [<00660069> <00E9>] endbfrange 1 beginbfchar <0024> <D83DDE00> endbfchar")
+    body = {
+        **TREE, 4: (b"", b"BT /A 9 Tf ($%&) Tj <2425> Tj 1 0 0 1 5 700 Tm /B 9 Tf [<0001> -300 <0002>] TJ /C 9 Tf 0 -12 Td (\\351\\(x (y)\\)) Tj ET".replace(b"\\\\", b"\\")), 10: (b"", b"BT /A 9 Tf (\\46) Tj /B 9 Tf <0024> Tj ET /F Do".replace(b"\\\\", b"\\")),
+        11: (b"", b"% second (page)\nBT /D 9 Tf <0141424304> Tj ET BI /W 1 ID (not) Tj EI BT /A 1 Tf (&) ' ET"), 9: b"<</Font <</A 5 0 R /B 6 0 R /C 7 0 R /D 12 0 R>> /XObject <</F 15 0 R>>>>",
+        5: b"<</Type /Font /Subtype /TrueType /ToUnicode 13 0 R>>", 6: b"<</Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 14 0 R>>", 7: b"<</Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding>>",
+        12: b"<</Type /Font /Subtype /Type1 /Encoding <</Differences [1 /eacute 4 /uni20AC 66 /five.alt]>>>>", 13: one, 14: two, 15: (b"/Type /XObject /Subtype /Form", b"BT /C 1 Tf (form) Tj ET"),
+    }
+    assert text_of(made(body)) == "ABCAB\nfi é\né(x (y))\nC\U0001f600\nform\néA5C€\nC"
+
+
+def test_pdf_object_streams_and_damage():
+    inner = b"1 0 2 31 3 80 " + b"<</Type /Catalog /Pages 2 0 R>>".ljust(31) + b"<</Type /Pages /Kids [3 0 R] /Count 1>>".ljust(49) + b"<</Type /Page /Contents 4 0 R /Resources <<>>>>"
+    packed = zlib.compress(inner)
+    body = {20: (b"/Type /ObjStm /N 3 /First 14 /Filter /FlateDecode", packed), 4: (b"", b"BT (packed) Tj ET")}
+    assert text_of(made(body)) == "packed"
+    assert text_of(made({**body, 4: b"<</Length 99>>\nstream\nBT (no length) Tj ET\nendstream"})) == "no length"
+    assert text_of(b"%PDF-1.4 1 0 obj <</A [1 2 (open") == "" and text_of(made({4: (b"/Filter /FlateDecode", b"broken")})) == ""
+
+
+@pytest.mark.parametrize("kind", ["rc4-40", "rc4-128", "aes-128", "aes-256-r5", "aes-256-r6"])
+def test_encrypted_pdf(kind):
+    """Files locked with an empty user password are read; others give no text. Keys are made here from the standard."""
+    import hashlib
+
+    from tidemark.sources import pdf as P
+
+    ident, owner, flags, plain = b"0123456789abcdef", bytes(range(32)), -44, b"BT (secret text) Tj ET"
+    objects = {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [3 0 R] /Count 1>>", 3: b"<</Type /Page /Contents 4 0 R /Resources <<>>>>"}
+
+    def locked(password):
+        pad = (password + P.PADDING)[:32]
+        iv, filled = b"i" * 16, plain + bytes([16 - len(plain) % 16]) * (16 - len(plain) % 16)
+        if kind.startswith("aes-256"):
+            file_key, hashed = b"k" * 32, (lambda salt: P._hash_r6(password, salt, b"")) if kind.endswith("6") else (lambda salt: hashlib.sha256(password + salt).digest())
+            user = hashed(b"validate") + b"validate" + b"keysalt_"
+            info = b"/V 5 /R %d /Length 256 /U <%s> /UE <%s> /CF <</S <</CFM /AESV3>>>> /StmF /S" % (int(kind[-1]), user.hex().encode(), P.Aes(hashed(b"keysalt_")).encrypt(file_key, bytes(16)).hex().encode())
+            return info, iv + P.Aes(file_key).encrypt(filled, iv)
+        n, rounds = (5, 0) if kind == "rc4-40" else (16, 50)
+        key = hashlib.md5(pad + owner + (flags & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()
+        for _ in range(rounds):
+            key = hashlib.md5(key[:n]).digest()
+        key = key[:n]
+        user = P.rc4(key, P.PADDING)
+        if rounds:
+            user = hashlib.md5(P.PADDING + ident).digest()
+            for i in range(20):
+                user = P.rc4(bytes(b ^ i for b in key), user)
+            user += bytes(16)
+        own = hashlib.md5(key + (4).to_bytes(3, "little") + bytes(2) + (b"sAlT" if kind.startswith("aes") else b"")).digest()[: min(n + 5, 16)]
+        info = {"rc4-40": b"/V 1 /R 2", "rc4-128": b"/V 2 /R 3 /Length 128", "aes-128": b"/V 4 /R 4 /CF <</StdCF <</CFM /AESV2>>>> /StmF /StdCF"}[kind]
+        return info + b" /U <%s>" % user.hex().encode(), P.rc4(own, plain) if kind.startswith("rc4") else iv + P.Aes(own).encrypt(filled, iv)
+
+    for password, want in ((b"", "secret text"), (b"other", "")):
+        info, data = locked(password)
+        trailer = b"/Root 1 0 R /ID [<%s> <00>] /Encrypt <</Filter /Standard /O <%s> /P %d %s>>" % (ident.hex().encode(), owner.hex().encode(), flags, info)
+        assert text_of(made({**objects, 4: (b"", data)}, trailer)) == want
+    # published vectors of the ciphers
+    assert P.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    for size, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        block = P.Aes(bytes(range(size)))
+        assert block.block(bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == want and block.unblock(bytes.fromhex(want)).hex() == "00112233445566778899aabbccddeeff"
+
+
 @pytest.mark.parametrize("flate", [False, True])
 def test_dressed_pdf_gives_the_text_back(spark, flate):
     texts = ["plain", "a (b) c) ( \\ d\\n \\101", "two\nlines\r\nof it", "ação é ÿ", "— «Olá» € 1 (x)", "日本 𝒳 \\ end", "[x] TJ (y) Tj <41> ET", ""]
@@ -164,6 +241,30 @@ def test_excerpts():
     assert X.locate_excerpt(None, long) == (None, 0)
 
 
+def test_excerpts_against_all_ways_to_cut():
+    """The fewest ordered pieces, found by trying every cut and every place."""
+    import random
+
+    def tried(asked, given, least, most):
+        skip = lambda i: i + len(asked[i:]) - len(asked[i:].lstrip())
+        reached, end = {(skip(0), 0)}, len(asked.rstrip())
+        for n in range(1, most + 1):
+            reached = {(skip(j), p + j - i) for i, b in reached for p in range(b, len(given)) for j in range(i + least, len(asked) + 1) if asked[i:j] == given[p : p + j - i]}
+            if any(j >= end for j, _ in reached):
+                return "fragmentada", n
+            if not reached:
+                return None, n - 1
+        return None, most
+
+    rng = random.Random(2)
+    for _ in range(600):
+        given = "".join(rng.choice("aab b") for _ in range(rng.randint(1, 40))).strip()
+        asked = " ".join(given[a : a + rng.randint(1, 14)] for a in sorted(rng.choices(range(len(given) + 1), k=3))).strip()
+        if asked and asked not in given:
+            got, want = X.locate_excerpt(asked, given, least=4), tried(asked, given, 4, 3)
+            assert got == want or (got[0] is None and want[0] is None), (asked, given)
+
+
 def test_text_functions(spark):
     r = one(spark, "<p>A&nbsp;&amp; <script>no</script>B</p>").select(X.visible(F.col("html")).alias("v"), X.slug(F.lit("Órgão ß 1!")).alias("s"), X.raw_slug(F.lit("Órgão")).alias("r"), X.slug(F.lit("—")).alias("e"), X.level(F.lit("«Olá» — ( a ) .")).alias("l"), X.domain(F.lit("HTTPS://www.A.example:80/x?y")).alias("d"), X.fill(X.mask(F.lit("a 12 de maio b")), X.masked_values(F.lit("a 12 de maio b"))).alias("f")).first()
     assert (r.v, r.s, r.r, r.e, r.d, r.f) == ("A & B", "orgao-1", "rg-o", "sem-nome", "a.example:80", "a 12 de maio b") and r.l == '"olá" - (a).'

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
@@ -152,26 +153,50 @@ def first_match(c: Column, pattern: Column | str, most: int = 40) -> Column:
 def locate_excerpt(excerpt: str | None, text: str | None, least: int = 30, most: int = 3) -> tuple[str | None, int]:
     """('exacta', 1), ('fragmentada', n) or (None, n) for levelled texts.
 
-    Greedy: the longest beginning of what is left that stands in the text, at
-    word ends, behind the fragment before; every fragment has `least` letters
-    at least, and `most` of them must cover all.
+    An excerpt that doesn't stand in the text as it is may be put together from
+    the fewest pieces that stand there one behind the other, each of `least`
+    letters and `most` of them; blanks between pieces don't count. n is then
+    their number, or how many could be placed. A piece begins with `least`
+    letters, so the text is indexed once by the runs of so many letters; it is
+    ended where the text ends it, or up to `least` letters before, so that the
+    next one can be long enough.
     """
     if not excerpt or not text:
         return None, 0
     if excerpt in text:
         return "exacta", 1
-    left, at, n = excerpt.strip(), 0, 0
-    while left and n < most:
-        lo, hi = 0, len(left)
-        while lo < hi:  # a longer beginning that is found implies every shorter one
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if text.find(left[:mid], at) >= 0 else (lo, mid - 1)
-        if lo < min(least, len(left)) or lo < least:
-            return None, n
-        at = text.find(left[:lo], at) + lo
-        left = left[lo:].strip()
-        n += 1
-    return ("fragmentada", n) if not left else (None, n)
+    places: dict[str, list[int]] = {}
+    for p in range(len(text) - least + 1):
+        places.setdefault(text[p : p + least], []).append(p)
+
+    def common(i: int, p: int) -> int:
+        """How many letters from `excerpt[i]` and `text[p]` on are the same; `least` are."""
+        k, step = least, least
+        while step:
+            if excerpt[i + k : i + k + step] == text[p + k : p + k + step] and i + k + step <= len(excerpt) and p + k + step <= len(text):
+                k, step = k + step, step * 2
+            else:
+                step //= 2
+        return k
+
+    end = len(excerpt.rstrip())
+    blank = lambda i: i + len(excerpt[i:]) - len(excerpt[i:].lstrip())
+    reached = {blank(0): 0}  # letters placed so far, and the earliest place behind them
+    for n in range(1, most + 1):
+        further: dict[int, int] = {}
+        for i, behind in reached.items():
+            found = places.get(excerpt[i : i + least], [])
+            for p in found[bisect_left(found, behind) :]:
+                top = common(i, p)
+                for k in range(max(least, top - least), top + 1):
+                    if i + k >= end:
+                        return "fragmentada", n
+                    j = blank(i + k)
+                    further[j] = min(further.get(j, len(text)), p + k)
+        if not further:
+            return None, n - 1
+        reached = further
+    return None, most
 
 
 @F.pandas_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("pieces", T.IntegerType())]))
