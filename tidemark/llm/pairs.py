@@ -68,15 +68,21 @@ def _across(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.select(F.explode(one).alias("x"), F.col(other)).select("x", F.explode(other).alias("y"))
 
 
-def pair_deltas(changed: DataFrame) -> DataFrame:
-    """(a, b, d), a < b: +1 for each pair a basket now holds with a new item, -1 for each it held with one that is gone."""
+def pair_deltas(changed: DataFrame, had: bool = True, less: bool = True) -> DataFrame:
+    """(a, b, d), a < b: +1 for each pair a basket now holds with a new item, -1 for each it held with one that is gone.
+
+    Nothing was there before if not `had`, nothing goes if not `less`.
+    """
     sizes = changed.groupBy("basket").agg(F.count("*").alias("n_items"), F.max(F.abs("state")).alias("_any")).where("_any > 0")
     large = sizes.where(F.col("n_items") > MAX_ITEMS)
     small = changed.join(sizes.where(F.col("n_items") <= MAX_ITEMS).select("basket"), "basket", "left_semi")
     of = lambda s: F.collect_list(F.when(F.col("state") == s, F.col("item_id")))
     grouped = small.groupBy("basket").agg(of(KEPT).alias("kept"), of(NEW).alias("new"), of(GONE).alias("gone"))
-    out = _ordered(_across(grouped, "new", "kept"), 1).unionByName(_ordered(_in_array(grouped, "new"), 1))
-    out = out.unionByName(_ordered(_across(grouped, "gone", "kept"), -1)).unionByName(_ordered(_in_array(grouped, "gone"), -1))
+    out = _ordered(_in_array(grouped, "new"), 1)
+    if had:
+        out = out.unionByName(_ordered(_across(grouped, "new", "kept"), 1))
+    if less:
+        out = out.unionByName(_ordered(_across(grouped, "gone", "kept"), -1)).unionByName(_ordered(_in_array(grouped, "gone"), -1))
     if large.isEmpty():
         return out
     # large baskets: items meet in pairs of blocks of about BLOCK each
@@ -103,11 +109,12 @@ def update(table: PairTable, coming: DataFrame, going: DataFrame | None = None)
     recomputed for pairs whose count or an item of which has changed.
     """
     coming = clean_rows(coming)
-    going = clean_rows(going) if going is not None else coming.limit(0)
+    less = going is not None
+    going = clean_rows(going) if less else coming.limit(0)
     first = not table.members.paths
     changed = as_table(coming.withColumn("state", F.lit(NEW)) if first else changed_members(table, coming, going), "pair-changes")
     moved = changed.where(F.col("state") != KEPT)
-    deltas = as_table(pair_deltas(changed).groupBy("a", "b").agg(F.sum("d").alias("d")).where("d <> 0"), "pair-deltas")
+    deltas = as_table(pair_deltas(changed, not first, less).groupBy("a", "b").agg(F.sum("d").alias("d")).where("d <> 0"), "pair-deltas")
     item_deltas = as_table(moved.groupBy("item_id").agg(checked_item().alias("item"), F.sum("state").cast("long").alias("d")).where("d <> 0"), "item-deltas")
 
     hit = table.pairs.touched(deltas)
