@@ -162,7 +162,16 @@ query("ag02_count_distinct", "SELECT snapshot, count(DISTINCT id) AS people FROM
 query("ag03_sum", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice), 2) AS price, count(*) AS n FROM lineitem GROUP BY ALL")(lambda s, d: t(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count("*").alias("n")))
 query("ag04_having", "SELECT org, count(DISTINCT id) AS n FROM people GROUP BY org HAVING count(DISTINCT id) > 3")(lambda s, d: t(s, d, "people").groupBy("org").agg(F.countDistinct("id").alias("n")).where("n > 3"))
 query("ag05_group_concat", "SELECT person, string_agg(topic, ' · ' ORDER BY topic) AS topics FROM person_topics GROUP BY person")(lambda s, d: t(s, d, "person_topics").groupBy("person").agg(F.nullif(F.array_join(F.sort_array(F.collect_list("topic")), " · "), F.lit("")).alias("topics")))
-query("ag06_top12_list", "SELECT topic, array_to_string(list_slice(list_sort(list(DISTINCT person)), 1, 12), ' · ') AS people FROM person_topics GROUP BY topic")(lambda s, d: t(s, d, "person_topics").groupBy("topic").agg(F.array_join(F.slice(F.sort_array(F.collect_set("person")), 1, 12), " · ").alias("people")))
+def first_of(df, key, item, k):
+    """(key, item, _k): the first k distinct items of each key, ranked before anything is collected."""
+    pairs = df.select(key, item).distinct()
+    top = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(item))).where(c("_k") <= k)
+    return top
+
+
+query("ag06_top12_list", "SELECT topic, array_to_string(list_slice(list_sort(list(DISTINCT person)), 1, 12), ' · ') AS people FROM person_topics WHERE topic IS NOT NULL AND person IS NOT NULL GROUP BY topic")(
+    lambda s, d: first_of(t(s, d, "person_topics").where("topic IS NOT NULL AND person IS NOT NULL"), "topic", "person", 12).groupBy("topic").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "person"))), lambda x: x["person"]), " · ").alias("people"))
+)
 query("ag08_dependent_columns", f"WITH {GRAPH} SELECT n.id, n.label, n.type, count(*) AS n FROM n JOIN e ON e.target = n.id GROUP BY n.id, n.label, n.type")(lambda s, d: edges(s, d).groupBy(c("target").alias("id")).agg(F.count("*").alias("n")).join(nodes(s, d).select("id", "label", "type"), "id").select("id", "label", "type", "n"))
 query("ag09_three_keys", "SELECT type, tag, matched, count(*) AS n FROM person_tags GROUP BY ALL")(lambda s, d: t(s, d, "person_tags").groupBy("type", "tag", "matched").agg(F.count("*").alias("n")))
 query("ag10_conditional", "SELECT snapshot, count(*) FILTER (state = 'primary') AS primary_n, count(*) FILTER (state = 'excluded') AS excluded_n, count(*) AS n FROM sources GROUP BY snapshot")(lambda s, d: t(s, d, "sources").groupBy("snapshot").agg(F.count_if(c("state") == "primary").alias("primary_n"), F.count_if(c("state") == "excluded").alias("excluded_n"), F.count("*").alias("n")))
@@ -179,14 +188,18 @@ query("ag12_matrix", "SELECT publisher, " + ", ".join(f"count(*) FILTER (state =
 query("ag12_pivot", "SELECT section, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("article", "memo", "session")) + " FROM documents GROUP BY section")(lambda s, d: t(s, d, "documents").groupBy("section").pivot("kind", ["article", "memo", "session"]).count().na.fill(0, ["article", "memo", "session"]))
 
 
-@query("ag13_derived_orgs", "SELECT org AS name, count(DISTINCT id) AS members, string_agg(DISTINCT id, ',' ORDER BY id) AS people, org IN (SELECT name FROM orgs WHERE placeholder = 1) AS placeholder FROM people WHERE org <> '' AND id IS NOT NULL GROUP BY org")
+@query("ag13_derived_orgs", "SELECT DISTINCT p.org AS name, p.id AS person, m.members, p.org IN (SELECT name FROM orgs WHERE placeholder = 1) AS placeholder FROM people p JOIN (SELECT org, count(DISTINCT id) AS members FROM people WHERE org <> '' AND id IS NOT NULL GROUP BY org) m ON m.org = p.org WHERE p.org <> '' AND p.id IS NOT NULL")
 def derived_orgs(s, d):
+    """One row per organisation and member, so that no organisation's members have to fit one row."""
+    x = t(s, d, "people").where("org <> '' AND id IS NOT NULL").select(c("org").alias("name"), c("id").alias("person")).distinct()
     hold = t(s, d, "orgs").where("placeholder = 1").select(c("name"), F.lit(True).alias("p")).distinct()
-    g = t(s, d, "people").where("org <> '' AND id IS NOT NULL").groupBy(c("org").alias("name")).agg(F.sort_array(F.collect_set("id")).alias("m"))
-    return g.join(hold, "name", "left").select("name", F.size("m").cast("bigint").alias("members"), F.array_join("m", ",").alias("people"), F.coalesce("p", F.lit(False)).alias("placeholder"))
+    sizes = x.groupBy("name").agg(F.count("*").alias("members")).join(hold, "name", "left").select("name", "members", F.coalesce("p", F.lit(False)).alias("placeholder"))
+    return salted_join(x, sizes, ["name"], "inner").select("name", "person", "members", "placeholder")
 
 
-query("ag14_topic_index", "SELECT topic, count(DISTINCT person) AS n, string_agg(DISTINCT person, ',' ORDER BY person) AS people FROM person_topics WHERE topic IS NOT NULL GROUP BY topic")(lambda s, d: t(s, d, "person_topics").where("topic IS NOT NULL").groupBy("topic").agg(F.countDistinct("person").alias("n"), F.array_join(F.sort_array(F.collect_set("person")), ",").alias("people")))
+query("ag14_topic_index", "SELECT DISTINCT p.topic, p.person, m.n FROM person_topics p JOIN (SELECT topic, count(DISTINCT person) AS n FROM person_topics GROUP BY topic) m ON m.topic = p.topic WHERE p.person IS NOT NULL")(
+    lambda s, d: (lambda x: salted_join(x, x.groupBy("topic").agg(F.count("*").alias("n")), ["topic"], "inner").select("topic", "person", "n"))(t(s, d, "person_topics").where("topic IS NOT NULL AND person IS NOT NULL").select("topic", "person").distinct())
+)
 
 
 @query("ag15_resources", "WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://([a-z0-9.-]+)', 1)) AS domain FROM documents) SELECT domain, count(*) AS links, count(DISTINCT doc_id) AS docs FROM l WHERE NOT regexp_matches(domain, '(^|\\.)(mare-alta\\.example)$') GROUP BY domain")
@@ -202,7 +215,10 @@ query("ag19_load", "SELECT n_name, count(*) AS orders, count(*) FILTER (o_orders
     lambda s, d: t(s, d, "orders").join(t(s, d, "customer"), c("c_custkey") == c("o_custkey")).join(t(s, d, "nation"), c("n_nationkey") == c("c_nationkey")).groupBy("n_name").agg(F.count("*").alias("orders"), F.count_if(c("o_orderstatus") == "O").alias("open"))
 )
 query("ag20_boxes", "SELECT o_orderpriority AS box, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY box")(lambda s, d: t(s, d, "orders").groupBy(c("o_orderpriority").alias("box")).agg(*[F.count_if(c("o_orderstatus") == x).alias(x.lower()) for x in "FOP"]))
-query("ag21_board", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: t(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")))
+BOARD = ["view", "click", "purchase"]
+query("ag21_board", "SELECT user_id, count(*) FILTER (event_type = 'view') AS view_n, count(*) FILTER (event_type = 'click') AS click_n, count(*) FILTER (event_type = 'purchase') AS purchase_n, count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) AS other_n, count(*) AS n FROM events GROUP BY user_id")(
+    lambda s, d: t(s, d, "events").groupBy("user_id").agg(*[F.count_if(c("event_type") == x).alias(f"{x}_n") for x in BOARD], F.count_if(~c("event_type").isin(BOARD)).alias("other_n"), F.count("*").alias("n"))
+)
 
 
 @query("ag22_reverse_index", f"WITH {N}, a AS (SELECT source, count(DISTINCT person) AS topic_people FROM person_topics GROUP BY source), b AS (SELECT source, count(DISTINCT person) AS tag_people FROM person_tags GROUP BY source), x AS (SELECT source, count(*) AS nodes FROM n GROUP BY source) SELECT source, coalesce(topic_people, 0) AS topic_people, coalesce(tag_people, 0) AS tag_people, coalesce(nodes, 0) AS nodes FROM a FULL JOIN b USING (source) FULL JOIN x USING (source) WHERE source IS NOT NULL")
@@ -214,15 +230,26 @@ def reverse_index(s, d):
 
 
 query("ag23_equal_sizes", "SELECT bytes, count(DISTINCT id) AS files FROM sources WHERE bytes IS NOT NULL GROUP BY bytes HAVING count(DISTINCT id) > 1")(lambda s, d: t(s, d, "sources").where("bytes IS NOT NULL").groupBy("bytes").agg(F.countDistinct("id").alias("files")).where("files > 1"))
-query("ag24_same_time", "SELECT snapshot, count(DISTINCT retrieved) AS times, count(*) AS files, bool_or(NOT starts_with(retrieved, snapshot)) AS other_day FROM sources GROUP BY snapshot")(lambda s, d: t(s, d, "sources").groupBy("snapshot").agg(F.countDistinct("retrieved").alias("times"), F.count("*").alias("files"), F.bool_or(~F.startswith("retrieved", "snapshot")).alias("other_day")))
-query("ag25_segments", "SELECT kind, count(*) AS n, count(text) AS done, count(*) - count(text) AS missing, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM documents GROUP BY kind")(lambda s, d: t(s, d, "documents").groupBy("kind").agg(F.count("*").alias("n"), F.count("text").alias("done"), F.count_if(c("text").isNull()).alias("missing"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars")))
+query("ag24_same_time", "SELECT snapshot, count(DISTINCT retrieved) AS times, count(*) AS files, coalesce(count(DISTINCT retrieved) = 1 AND NOT starts_with(min(retrieved), snapshot), false) AS anomaly FROM sources GROUP BY snapshot")(
+    lambda s, d: t(s, d, "sources").groupBy("snapshot").agg(F.countDistinct("retrieved").alias("times"), F.count("*").alias("files"), F.min("retrieved").alias("m")).select("snapshot", "times", "files", F.coalesce((c("times") == 1) & ~F.startswith("m", "snapshot"), F.lit(False)).alias("anomaly"))
+)
+query("ag25_segments", "SELECT kind, lower(trim(lang)) AS locale, count(*) AS n, count(text) AS done, count(*) - count(text) AS missing, count(*) FILTER (text IS NOT NULL AND source IS NULL) AS orphaned, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM documents GROUP BY ALL")(
+    lambda s, d: t(s, d, "documents").groupBy("kind", F.lower(F.trim("lang")).alias("locale")).agg(F.count("*").alias("n"), F.count("text").alias("done"), F.count_if(c("text").isNull()).alias("missing"), F.count_if(c("text").isNotNull() & c("source").isNull()).alias("orphaned"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
+)
 query("ag26_frequency", "SELECT sha256(text) AS key, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text")(lambda s, d: t(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n")))
 query("ag27_coverage", "SELECT type, round_even(100.0 * count(tag) / count(*), 1)::DOUBLE AS pct FROM person_tags GROUP BY type")(lambda s, d: t(s, d, "person_tags").groupBy("type").agg(F.bround(F.lit(100.0) * F.count("tag") / F.count("*"), 1).alias("pct")))
-query("ag29_summary_check", "SELECT o.id, json_array_length(o.people)::BIGINT AS stored, count(DISTINCT p.id) AS counted FROM (SELECT id, name, max(people) AS people FROM orgs GROUP BY id, name) o LEFT JOIN people p ON p.org = o.name GROUP BY o.id, o.name, o.people")(
-    lambda s, d: t(s, d, "orgs").groupBy("id", "name").agg(F.max("people").alias("people")).join(t(s, d, "people").groupBy(c("org").alias("name")).agg(F.countDistinct("id").alias("k")), "name", "left").select("id", F.json_array_length("people").cast("bigint").alias("stored"), F.coalesce("k", F.lit(0)).alias("counted"))
+query("ag29_summary_check", "SELECT o.id, json_array_length(o.people)::BIGINT AS stored, count(DISTINCT p.id) AS counted, coalesce(json_array_length(o.people)::BIGINT = count(DISTINCT p.id), false) AS agrees FROM (SELECT id, name, max(people) AS people FROM orgs GROUP BY id, name) o LEFT JOIN people p ON p.org = o.name GROUP BY o.id, o.name, o.people")(
+    lambda s, d: t(s, d, "orgs").groupBy("id", "name").agg(F.max("people").alias("people")).join(t(s, d, "people").groupBy(c("org").alias("name")).agg(F.countDistinct("id").alias("k")), "name", "left").select("id", F.json_array_length("people").cast("bigint").alias("stored"), F.coalesce("k", F.lit(0)).alias("counted")).withColumn("agrees", F.coalesce(c("stored") == c("counted"), F.lit(False)))
+)
+query("ag30_stored_count", "SELECT doc_id, n_chars AS stored, length(text) AS counted, coalesce(length(text), n_chars) AS corrected, n_chars IS DISTINCT FROM length(text) AS rewritten FROM documents")(
+    lambda s, d: t(s, d, "documents").select("doc_id", c("n_chars").alias("stored"), F.length("text").cast("bigint").alias("counted")).select("*", F.coalesce("counted", "stored").alias("corrected"), (~c("stored").eqNullSafe(c("counted"))).alias("rewritten"))
 )
-query("ag30_stored_count", "SELECT id, json_array_length(people)::INT AS n FROM orgs WHERE people IS NOT NULL")(lambda s, d: t(s, d, "orgs").where("people IS NOT NULL").select("id", F.json_array_length("people").alias("n")))
-query("ag31_ratio", "SELECT person, count(tag) AS confirmed, count(*) AS claims, (count(tag)) || ' of ' || count(*) AS ratio FROM person_tags GROUP BY person")(lambda s, d: t(s, d, "person_tags").groupBy("person").agg(F.count("tag").alias("confirmed"), F.count("*").alias("claims")).withColumn("ratio", F.concat("confirmed", F.lit(" of "), "claims")))
+@query("ag31_ratio", "WITH x AS (SELECT person, count(tag) AS confirmed, count(*) AS claims FROM person_tags GROUP BY person) SELECT person, confirmed, claims, confirmed || ' of ' || claims AS ratio, coalesce(person = (SELECT min(person) FROM x WHERE confirmed = 0), false) AS first_zero FROM x")
+def ratio(s, d):
+    """Ordered by what is confirmed; the first person of whom nothing is, is marked."""
+    x = t(s, d, "person_tags").groupBy("person").agg(F.count("tag").alias("confirmed"), F.count("*").alias("claims"))
+    none = x.where("confirmed = 0").agg(F.min("person").alias("_p"))
+    return x.crossJoin(none).select("person", "confirmed", "claims", F.concat("confirmed", F.lit(" of "), "claims").alias("ratio"), F.coalesce(c("person") == c("_p"), F.lit(False)).alias("first_zero")).orderBy(F.desc("confirmed"), "person")
 query("ag32_tags_by_type", "SELECT type, count(*) AS n, count(DISTINCT tag) AS tags FROM person_tags GROUP BY type")(lambda s, d: t(s, d, "person_tags").groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("tag").alias("tags")))
 
 
@@ -263,21 +290,29 @@ def kanban(s, d):
 query("ag38_manifest", "SELECT CASE WHEN regexp_matches(id, '^[0-9-]{10}/(press|record)/') THEN snapshot || '/coverage' ELSE snapshot || '/' || string_split(page, '/')[1] END AS folder, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM sources GROUP BY folder")(
     lambda s, d: t(s, d, "sources").groupBy(F.when(c("id").rlike("^[0-9-]{10}/(press|record)/"), F.concat("snapshot", F.lit("/coverage"))).otherwise(F.concat("snapshot", F.lit("/"), F.element_at(F.split("page", "/"), 1))).alias("folder")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 )
-query("ag39_by_day", f"WITH {N} SELECT day, string_agg(id, ',' ORDER BY id) AS sessions FROM n WHERE type = 'Session' GROUP BY day")(lambda s, d: nodes(s, d).where("type = 'Session'").groupBy("day").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("sessions")).orderBy("day"))
+@query("ag39_by_day", f"WITH {GRAPH}, st AS (SELECT e.source AS id, min(b.label) AS stage FROM e JOIN n b ON b.id = e.target WHERE e.verb = 'on_stage' GROUP BY e.source) SELECT n.day, n.id, st.stage FROM n LEFT JOIN st USING (id) WHERE n.type = 'Session'")
+def by_day(s, d):
+    """Sessions in order of days with the label of their stage, one row each."""
+    stage = edges(s, d).where("verb = 'on_stage'").select(c("source").alias("id"), c("target").alias("sid")).join(nodes(s, d).select(c("id").alias("sid"), "label"), "sid").groupBy("id").agg(F.min("label").alias("stage"))
+    return nodes(s, d).where("type = 'Session'").select("id", "day").join(stage, "id", "left").select("day", "id", "stage").orderBy("day", "id")
 
 # ---- windows
 query("wn01_adjacent", "SELECT snapshot, lag(snapshot) OVER (ORDER BY snapshot) AS before FROM (SELECT DISTINCT snapshot FROM people)")(lambda s, d: t(s, d, "people").select("snapshot").distinct().withColumn("before", F.lag("snapshot").over(Window.orderBy("snapshot"))))
 query("wn02_sequential_ids", "SELECT person, topic, person || '-c' || lpad(CAST(row_number() OVER (PARTITION BY person ORDER BY topic NULLS FIRST, source NULLS FIRST) AS VARCHAR), 2, '0') AS id FROM person_topics")(
     lambda s, d: t(s, d, "person_topics").select("person", "topic", F.format_string("%s-c%02d", c("person"), F.row_number().over(Window.partitionBy("person").orderBy("topic", "source"))).alias("id"))
 )
-query("wn03_first_wins", "SELECT id, min(recorded) AS recorded FROM edges GROUP BY id")(lambda s, d: edges(s, d).select("id", "recorded"))
+query("wn03_first_wins", f"WITH {E} SELECT id, verb, source, target, recorded FROM e")(lambda s, d: edges(s, d).select("id", "verb", "source", "target", "recorded"))
 query("wn04_last_two_days", "SELECT DISTINCT source, day FROM (SELECT source, strftime(published, '%Y-%m-%d') AS day, dense_rank() OVER (PARTITION BY source ORDER BY strftime(published, '%Y-%m-%d') DESC) AS k FROM documents WHERE published IS NOT NULL) WHERE k <= 2")(
     lambda s, d: t(s, d, "documents").where("published IS NOT NULL").select("source", F.date_format("published", "yyyy-MM-dd").alias("day")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("day")))).where("k <= 2").drop("k")
 )
 query("wn05_budget", "SELECT doc_id FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS total, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE n_chars IS NOT NULL) WHERE total <= 5000 OR k = 1")(
     lambda s, d: (lambda w: t(s, d, "documents").where("n_chars IS NOT NULL").select("doc_id", F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.row_number().over(w).alias("k")).where("total <= 5000 OR k = 1").select("doc_id"))(Window.partitionBy("source").orderBy("doc_id"))
 )
-query("wn06_first_mention", "SELECT person, topic, min(source) AS first_source FROM person_topics WHERE topic IS NOT NULL GROUP BY person, topic")(lambda s, d: t(s, d, "person_topics").where("topic IS NOT NULL").groupBy("person", "topic").agg(F.min("source").alias("first_source")))
+@query("wn06_first_mention", "WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-zà-ÿ0-9]+') AS ws FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w) SELECT p.doc_id, l.id AS entity, min(pos)::INT AS first_pos FROM p JOIN lexicon l ON lower(l.label) = p.word GROUP BY p.doc_id, l.id")
+def first_mention(s, d):
+    """Position of the first word of a text that names an entry; words meet labels by equality."""
+    words = t(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.lower("text"), "[^a-zà-ÿ0-9]+")).alias("pos", "word"))
+    return words.join(t(s, d, "lexicon").select(c("id").alias("entity"), F.lower("label").alias("word")), "word").groupBy("doc_id", "entity").agg(F.min("pos").alias("first_pos"))
 
 
 @query("wn07_fill_slots", "WITH slot AS (SELECT section, max(doc_id) AS doc_id FROM documents WHERE kind = 'article' AND section IS NOT NULL GROUP BY section), rest AS (SELECT doc_id, section FROM documents WHERE kind = 'article' AND section IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM slot) QUALIFY row_number() OVER (PARTITION BY section ORDER BY published DESC NULLS LAST, doc_id) <= 3) SELECT section, doc_id, 'slot' AS why FROM slot UNION ALL SELECT section, doc_id, 'recent' FROM rest")
@@ -288,7 +323,15 @@ def fill_slots(s, d):
     return slot.select("section", "doc_id", F.lit("slot").alias("why")).unionByName(rest.select("section", "doc_id", F.lit("recent").alias("why")))
 
 
-query("wn08_monotone", "SELECT id, count(*) AS deliveries, max(recorded) AS newest, count(*) > count(DISTINCT recorded) AS repeated FROM nodes GROUP BY id")(lambda s, d: t(s, d, "nodes").groupBy("id").agg(F.count("*").alias("deliveries"), F.max("recorded").alias("newest"), (F.count("*") > F.countDistinct("recorded")).alias("repeated")))
+VERSION = "struct_pack(a := CAST(split_part(snapshot, '-', 1) AS INT), b := CAST(split_part(snapshot, '-', 2) AS INT), c := CAST(split_part(snapshot, '-', 3) AS INT))"
+
+
+@query("wn08_monotone", f"SELECT page, max({VERSION}).a || '.' || max({VERSION}).b || '.' || max({VERSION}).c AS newest, count(*) > count(DISTINCT snapshot) AS repeated, max(snapshot) FILTER (state = 'primary') IS NOT DISTINCT FROM max(snapshot) AS current FROM sources GROUP BY page")
+def monotone(s, d):
+    """The versions of a page as tuples: the newest, whether one comes twice, and whether the primary copy is the newest."""
+    version = F.struct(*[F.split_part("snapshot", F.lit("-"), F.lit(i)).cast("int").alias(x) for i, x in ((1, "a"), (2, "b"), (3, "c"))])
+    g = t(s, d, "sources").groupBy("page").agg(F.max(version).alias("v"), (F.count("*") > F.countDistinct("snapshot")).alias("repeated"), F.max(F.when(c("state") == "primary", c("snapshot"))).alias("p"), F.max("snapshot").alias("m"))
+    return g.select("page", F.concat_ws(".", "v.a", "v.b", "v.c").alias("newest"), "repeated", c("p").eqNullSafe(c("m")).alias("current"))
 query("wn09_siblings", "SELECT doc_id, count(*) OVER (PARTITION BY source) - 1 AS siblings FROM documents")(lambda s, d: salted_join(*(lambda x: (x, x.groupBy("source").agg((F.count("*") - 1).alias("siblings"))))(t(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))), ["source"]).select("doc_id", "siblings"))
 
 # ---- sorts and limits
@@ -298,19 +341,28 @@ query("so04_nulls_last", "SELECT id, org FROM people ORDER BY org IS NULL, org,
 query("so05_sentinel", f"WITH {N} SELECT id, coalesce(date, '9999') AS key FROM n WHERE type = 'Source'")(lambda s, d: nodes(s, d).where("type = 'Source'").select("id", F.coalesce("date", F.lit("9999")).alias("key")).orderBy("key"))
 
 
-@query("so06_output_cap", "SELECT count(*) AS rows, greatest(count(*) - 500, 0) AS not_shown FROM orgs")
+@query("so06_output_cap", "WITH x AS (SELECT DISTINCT id, name FROM orgs WHERE id IS NOT NULL AND name IS NOT NULL) SELECT id, name, greatest((SELECT count(*) FROM x) - 500, 0) AS not_shown FROM x ORDER BY id, name LIMIT 500")
 def output_cap(s, d):
-    """What a report of 500 rows leaves out."""
-    return t(s, d, "orgs").agg(F.count("*").alias("rows"), F.greatest(F.count("*") - 500, F.lit(0)).alias("not_shown"))
+    """The first 500 rows of a report, and how many more it doesn't show."""
+    x = t(s, d, "orgs").where("id IS NOT NULL AND name IS NOT NULL").select("id", "name").distinct()
+    return x.orderBy("id", "name").limit(500).crossJoin(x.agg(F.greatest(F.count("*") - 500, F.lit(0)).alias("not_shown")))
 
 
-query("so07_stated_truncation", "SELECT topic, array_to_string(list_slice(list_sort(list(DISTINCT person)), 1, 5), ',') AS shown, greatest(count(DISTINCT person) - 5, 0) AS cut FROM person_topics GROUP BY topic")(lambda s, d: t(s, d, "person_topics").groupBy("topic").agg(F.sort_array(F.collect_set("person")).alias("p")).select("topic", F.array_join(F.slice("p", 1, 5), ",").alias("shown"), F.greatest(F.size("p") - 5, F.lit(0)).cast("bigint").alias("cut")))
+@query("so07_stated_truncation", "SELECT topic, array_to_string(list_slice(list_sort(list(DISTINCT person)), 1, 5), ',') AS shown, greatest(count(DISTINCT person) - 5, 0) AS cut FROM person_topics WHERE topic IS NOT NULL AND person IS NOT NULL GROUP BY topic")
+def stated_truncation(s, d):
+    x = t(s, d, "person_topics").where("topic IS NOT NULL AND person IS NOT NULL")
+    shown = first_of(x, "topic", "person", 5).groupBy("topic").agg(F.array_join(F.sort_array(F.collect_list("person")), ",").alias("shown"))
+    return x.groupBy("topic").agg(F.countDistinct("person").alias("n")).join(shown, "topic").select("topic", "shown", F.greatest(c("n") - 5, F.lit(0)).alias("cut"))
 
 
-@query("so08_path_cap", f"WITH {GRAPH} SELECT count(*) > 300 AS capped FROM (SELECT s.id FROM n s JOIN e e1 ON e1.source = s.id AND e1.verb = 'features' JOIN n p ON p.id = e1.target JOIN e e2 ON e2.source = p.id AND e2.verb = 'speaks_on' WHERE s.type = 'Session')")
+@query("so08_path_cap", f"WITH {GRAPH}, x AS (SELECT s.id AS a, p.id AS b, q.id AS c FROM n s JOIN e e1 ON e1.source = s.id AND e1.verb = 'features' JOIN n p ON p.id = e1.target JOIN e e2 ON e2.source = p.id AND e2.verb = 'speaks_on' JOIN n q ON q.id = e2.target WHERE s.type = 'Session') SELECT a, b, c, (SELECT count(*) FROM x) > 300 AS capped FROM x ORDER BY a, b, c LIMIT 300")
 def path_cap(s, d):
-    paths = G.path_pattern(edges(s, d), nodes(s, d), c("type") == "Session", [("features", "out", c("type").isNotNull()), ("speaks_on", "out", None)], cap=300)
-    return paths.agg((F.count("*") > 300).alias("capped"))
+    """The first 300 paths, and whether there are more."""
+    n = nodes(s, d).select("id", "type")
+    one = edges(s, d).where("verb = 'features'").select(c("source").alias("a"), c("target").alias("b")).join(n.where("type = 'Session'").select(c("id").alias("a")), "a", "left_semi").join(n.select(c("id").alias("b")), "b", "left_semi")
+    two = edges(s, d).where("verb = 'speaks_on'").select(c("source").alias("b"), c("target").alias("c")).join(n.select(c("id").alias("c")), "c", "left_semi")
+    first = one.join(two, "b").select("a", "b", "c").orderBy("a", "b", "c").limit(301)
+    return first.orderBy("a", "b", "c").limit(300).crossJoin(first.agg((F.count("*") > 300).alias("capped")))
 
 
 @query("so09_scored_search", "WITH q(w) AS (VALUES ('data'), ('open'), ('energy')) SELECT id, sum(CASE WHEN contains(lower(label), w) THEN 3 ELSE 0 END + CASE WHEN contains(id, w) THEN 2 ELSE 0 END + CASE WHEN contains(lower(pt), w) THEN 1 ELSE 0 END)::BIGINT AS score FROM lexicon, q GROUP BY id HAVING score > 0 ORDER BY score DESC, id LIMIT 5")
