@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _strings(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
 def _series(f, kind):
     """An Arrow-batched function of one text column; null stays null."""
 
@@ -204,20 +210,156 @@ def located(excerpt: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([locate_excerpt(e, t) for e, t in zip(excerpt, text)], columns=["kind", "pieces"])
 
 
-def link_entities(text: str, names: dict[str, str]) -> list[tuple[str, str, int]]:
-    """(name, target, position) of the first mention of each target, longest names first, outside tags, links, code and scripts."""
-    if not names:
-        return []
+def entity_linker(names: dict[str, str]) -> Callable[[str], list[tuple[str, str, int]]]:
+    """A function of a text: (name, target, position) of the first mention of each target.
+
+    Longest names first, outside tags, links, code and scripts. The alternation
+    of all names is built once.
+    """
     skip = re.compile(r"<(script|style|code|pre|a)\b.*?</\1\s*>|<[^>]*>|`[^`]*`", re.S | re.I)
     any_name = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")(?!\w)")
-    free, last, out, seen = [], 0, [], set()
-    for m in skip.finditer(text):
-        free.append((last, m.start()))
-        last = m.end()
-    free.append((last, len(text)))
-    for a, b in free:
-        for m in any_name.finditer(text, a, b):
-            if (t := names[m.group()]) not in seen:
-                seen.add(t)
-                out.append((m.group(), t, m.start()))
-    return out
+
+    def link(text: str) -> list[tuple[str, str, int]]:
+        free, last, out, seen = [], 0, [], set()
+        for m in skip.finditer(text):
+            free.append((last, m.start()))
+            last = m.end()
+        free.append((last, len(text)))
+        for a, b in free:
+            for m in any_name.finditer(text, a, b):
+                if (t := names[m.group()]) not in seen:
+                    seen.add(t)
+                    out.append((m.group(), t, m.start()))
+        return out
+
+    return link if names else lambda text: []
+
+
+def link_entities(text: str, names: dict[str, str]) -> list[tuple[str, str, int]]:
+    """entity_linker() for one text."""
+    return entity_linker(names)(text)
+
+
+def rename_quoted(line: Column, names: Column) -> Column:
+    """The line with every whole token in double quotes that the map `names` knows replaced; the rest stays."""
+    parts = F.transform(F.split(line, '"', -1), lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(names, x), x)).otherwise(x))
+    return F.array_join(parts, '"')
+
+
+def resolve(folder: Column, link: Column) -> Column:
+    """A relative address resolved against a folder: '.' and empty steps fall out, '..' takes the step before away."""
+    steps = F.split(F.concat(folder, F.lit("/"), link), "/", -1)
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x))
+    return F.array_join(F.aggregate(steps, none, step), "/")
+
+
+def relative(folder: Column, target: Column) -> Column:
+    """A target as seen from a folder: up to where the two part, then down."""
+    a, b = F.split(folder, "/", -1), F.split(target, "/", -1)
+    same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
+    return F.concat(F.repeat(F.lit("../"), F.size(a) - same), F.array_join(F.slice(b, same + 1, F.size(b)), "/"))
+
+
+def version(c: Column, separator: str = ".") -> Column:
+    """A version of three numbers as a struct that compares number by number."""
+    return F.struct(*[F.split_part(c, F.lit(separator), F.lit(i)).cast("int").alias(x) for i, x in ((1, "major"), (2, "minor"), (3, "patch"))])
+
+
+def follow(doc, pointer: str) -> tuple[str, str | None]:
+    """('ok', value) or (reason, None) of a pointer file#key[number].key or file#key[<id>].key into a document."""
+    at = doc
+    for key, item in re.findall(r"([^.\[\]]+)(?:\[([^\]]*)\])?", pointer.partition("#")[2]):
+        if not isinstance(at, dict) or key not in at:
+            return f"no key {key}", None
+        at = at[key]
+        if item:
+            ident = item[1:-1] if item[:1] == "<" else None
+            known = at if isinstance(at, list) else []
+            found = [x for x in known if isinstance(x, dict) and x.get("id") == ident] if ident is not None else known[int(item) : int(item) + 1] if item.isdigit() else []
+            if not found:
+                return f"no item {ident if ident is not None else item} of {key}", None
+            at = found[0]
+    if isinstance(at, (dict, list)):
+        return f"not a value: {pointer.partition('#')[2]}", None
+    return "ok", None if at is None else str(at)
+
+
+@F.pandas_udf(_strings("reason", "value"))
+def point(doc: pd.Series, pointer: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([follow(json.loads(d) if d else None, p or "") for d, p in zip(doc, pointer)], columns=["reason", "value"])
+
+
+#: JSON types by their names in a schema (fixed values).
+JSON_TYPES = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
+
+
+def errors_of(value, schema: dict, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path, keyword) of everything in a value that breaks its schema: type, enum, required, items, lengths, patterns, bounds."""
+    kinds = schema.get("type")
+    if kinds and not any(isinstance(value, JSON_TYPES[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        yield path, "type"
+        return
+    if "enum" in schema and value not in schema["enum"]:
+        yield path, "enum"
+    if isinstance(value, dict):
+        yield from ((f"{path}/{k}", "required") for k in schema.get("required", []) if k not in value)
+        known = schema.get("properties", {})
+        for k, v in value.items():
+            if k in known:
+                yield from errors_of(v, known[k], f"{path}/{k}")
+            elif schema.get("additionalProperties") is False:
+                yield f"{path}/{k}", "additionalProperties"
+    elif isinstance(value, list):
+        if len(value) < schema.get("minItems", 0):
+            yield path, "minItems"
+        for i, v in enumerate(value):
+            yield from errors_of(v, schema.get("items", {}), f"{path}/{i}")
+    elif isinstance(value, str):
+        if len(value) < schema.get("minLength", 0):
+            yield path, "minLength"
+        if "maxLength" in schema and len(value) > schema["maxLength"]:
+            yield path, "maxLength"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            yield path, "pattern"
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        if value < schema.get("minimum", value):
+            yield path, "minimum"
+        if value > schema.get("maximum", value):
+            yield path, "maximum"
+
+
+def schema_errors(schema: dict) -> Callable[[Column], Column]:
+    """A function of a column of JSON documents: array of (path, error); text that doesn't parse breaks '' with 'json'."""
+
+    def of(text: str | None) -> list[tuple[str, str]]:
+        try:
+            return [] if text is None else list(errors_of(json.loads(text), schema))
+        except ValueError:
+            return [("", "json")]
+
+    @F.pandas_udf(T.ArrayType(_strings("path", "error")))
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda x: [{"path": p, "error": e} for p, e in of(x)])
+
+    return run
+
+
+def walk_strings(value, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path, text) of the strings of a nested value; objects with a checksum and denied keys are left out whole."""
+    if isinstance(value, dict):
+        if "sha256" in value:
+            return
+        for k, v in value.items():
+            if k not in ("id", "url"):
+                yield from walk_strings(v, f"{path}.{k}" if path else k)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from walk_strings(v, f"{path}[{i}]")
+    elif isinstance(value, str):
+        yield path, value
+
+
+@F.pandas_udf(T.ArrayType(_strings("path", "text")))
+def walked(docs: pd.Series) -> pd.Series:
+    return docs.map(lambda x: [] if not x else [{"path": p, "text": s} for p, s in walk_strings(json.loads(x))])
