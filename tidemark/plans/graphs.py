@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph as G
@@ -210,31 +212,115 @@ def collapse(spark, d):
     return G.collapse(edges(spark, d), nodes(spark, d).where("type = 'Stage'"), "group:stages")
 
 
-BUILD_SQL = """
-SELECT DISTINCT 'listed_under:person:' || p.id || ':org:' || o.id AS id, 'listed_under' AS verb, 'person:' || p.id AS source, 'org:' || o.id AS target FROM people p JOIN (SELECT name, min(id) AS id FROM orgs GROUP BY name) o ON o.name = p.org WHERE p.id IS NOT NULL
-UNION ALL SELECT DISTINCT 'speaks_on:person:' || person || ':topic:' || trim(regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g'), '-'), 'speaks_on', 'person:' || person, 'topic:' || trim(regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g'), '-') FROM person_topics WHERE person IS NOT NULL AND topic IS NOT NULL
-UNION ALL SELECT DISTINCT v || ':person:' || person || ':tag:' || tag, v, 'person:' || person, 'tag:' || tag FROM (SELECT person, tag, CASE type WHEN 'Setor' THEN 'active_in' WHEN 'Tecnologia' THEN 'uses' WHEN 'Ideia' THEN 'advocates' ELSE 'offers' END AS v FROM person_tags WHERE tag IS NOT NULL AND type IS NOT NULL AND person IS NOT NULL)
-UNION ALL SELECT DISTINCT 'present_in:person:' || id || ':snapshot:' || snapshot, 'present_in', 'person:' || id, 'snapshot:' || snapshot FROM people WHERE id IS NOT NULL
-"""
+#: Types of the kinds of tags (fixed values of the lexicon): type of node, verb.
+TAG_KINDS = {"Setor": ("Industry", "active_in"), "Tecnologia": ("Technology", "uses"), "Ideia": ("Idea", "advocates"), "Servico": ("Service", "offers"), "Produto": ("Product", "offers")}
+SQL_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+#: Blanks around lines, as both engines strip them.
+BLANKS = "^[ \t\u00a0]+|[ \t\u00a0]+$"
+#: Programme lines of agenda pages: time, title and stage.
+SQL_LINES = f"""pr AS (SELECT DISTINCT id AS source, snapshot, regexp_replace(l, '{BLANKS}', '', 'g') AS line FROM (SELECT id, snapshot, unnest(string_split(frozen, chr(10))) AS l FROM sources WHERE page LIKE 'agenda/%' AND frozen IS NOT NULL) WHERE regexp_matches(regexp_replace(l, '{BLANKS}', '', 'g'), '(?s)^[0-9]{{1,2}}:[0-9]{{2}} [—–] .+ \\([^()]+\\)$')),
+se AS (SELECT 'session:' || substr(sha256(source || line), 1, 16) AS id, source, snapshot, regexp_extract(line, '(?s)^[0-9:]+ [—–] (.+) \\([^()]+\\)$', 1) AS title, regexp_extract(line, '\\(([^()]+)\\)$', 1) AS stage FROM pr)"""
+CASES = lambda k: "CASE type " + " ".join(f"WHEN '{t}' THEN '{v[k]}'" for t, v in TAG_KINDS.items()) + " END"
+NODES_SQL = f"""WITH {SQL_LINES}
+SELECT DISTINCT id, type, label FROM (
+SELECT 'person:' || id AS id, 'Person' AS type, max(name) AS label FROM people WHERE id IS NOT NULL GROUP BY id
+UNION ALL SELECT 'org:' || min(id), 'Organisation', name FROM orgs WHERE name IS NOT NULL GROUP BY name HAVING min(id) IS NOT NULL
+UNION ALL SELECT 'topic:' || {SQL_SLUG.format('topic')}, 'Topic', min(topic) FROM person_topics WHERE topic IS NOT NULL GROUP BY {SQL_SLUG.format('topic')}
+UNION ALL SELECT 'tag:' || id, {CASES(0)}, label FROM lexicon
+UNION ALL SELECT 'snapshot:' || snapshot, 'Snapshot', snapshot FROM sources WHERE snapshot IS NOT NULL
+UNION ALL SELECT 'source:' || id, 'Source', max(page) FROM sources WHERE id IS NOT NULL GROUP BY id
+UNION ALL SELECT 'publisher:' || {SQL_SLUG.format('publisher')}, 'Publisher', min(publisher) FROM sources WHERE publisher IS NOT NULL GROUP BY {SQL_SLUG.format('publisher')}
+UNION ALL SELECT '{EVENT}', 'Event', 'Cimeira Maré Alta'
+UNION ALL SELECT id, 'Session', title FROM se
+UNION ALL SELECT 'stage:' || {SQL_SLUG.format('stage')}, 'Stage', min(stage) FROM se GROUP BY {SQL_SLUG.format('stage')})"""
+BUILD_SQL = f"""WITH {SQL_LINES}, cap AS (SELECT DISTINCT snapshot FROM people WHERE snapshot IS NOT NULL), ever AS (SELECT id, min(snapshot) AS f FROM people WHERE id IS NOT NULL GROUP BY id), listed AS (SELECT DISTINCT id, snapshot FROM people WHERE id IS NOT NULL AND snapshot IS NOT NULL),
+x AS (
+SELECT 'listed_under' AS verb, 'person:' || p.id AS source, 'org:' || o.id AS target FROM people p JOIN (SELECT name, min(id) AS id FROM orgs WHERE name IS NOT NULL GROUP BY name) o ON o.name = p.org WHERE p.id IS NOT NULL AND o.id IS NOT NULL
+UNION ALL SELECT 'speaks_on', 'person:' || person, 'topic:' || {SQL_SLUG.format('topic')} FROM person_topics WHERE person IS NOT NULL AND topic IS NOT NULL
+UNION ALL SELECT {CASES(1)}, 'person:' || person, 'tag:' || tag FROM person_tags WHERE tag IS NOT NULL AND type IN ({', '.join(repr(k) for k in TAG_KINDS)}) AND person IS NOT NULL
+UNION ALL SELECT 'present_in', 'person:' || id, 'snapshot:' || snapshot FROM listed
+UNION ALL SELECT 'absent_from', 'person:' || e.id, 'snapshot:' || c.snapshot FROM ever e JOIN cap c ON c.snapshot > e.f WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.id = e.id AND l.snapshot = c.snapshot)
+UNION ALL SELECT 'attested_by', 'person:' || l.id, 'source:' || s.id FROM listed l JOIN sources s ON s.snapshot = l.snapshot AND s.page IN ('speakers', 'speakers/' || l.id)
+UNION ALL SELECT 'speaks_at', 'person:' || id, '{EVENT}' FROM people WHERE id IS NOT NULL
+UNION ALL SELECT 'captured_in', 'source:' || id, 'snapshot:' || snapshot FROM sources WHERE id IS NOT NULL AND snapshot IS NOT NULL
+UNION ALL SELECT 'published_by', 'source:' || id, 'publisher:' || {SQL_SLUG.format('publisher')} FROM sources WHERE id IS NOT NULL AND publisher IS NOT NULL
+UNION ALL SELECT 'part_of', id, '{EVENT}' FROM se
+UNION ALL SELECT 'attested_by', id, 'source:' || source FROM se
+UNION ALL SELECT 'on_stage', id, 'stage:' || {SQL_SLUG.format('stage')} FROM se
+UNION ALL SELECT 'features', se.id, 'person:' || p.id FROM se JOIN (SELECT DISTINCT id, name FROM people WHERE id IS NOT NULL AND name IS NOT NULL) p ON starts_with(se.title, p.name || ' '))
+SELECT DISTINCT verb || ':' || source || ':' || target AS id, verb, source, target FROM x"""
+
+
+def slugged(x):
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def programme(spark, d):
+    """(id, source, snapshot, title, stage): sessions as the agenda pages list them."""
+    pattern = r"(?s)^([0-9]{1,2}:[0-9]{2}) [—–] (.+) \(([^()]+)\)$"
+    lines = table(spark, d, "sources").where("page LIKE 'agenda/%' AND frozen IS NOT NULL").select(F.col("id").alias("source"), "snapshot", F.explode(F.split("frozen", "\n", -1)).alias("line")).withColumn("line", F.regexp_replace("line", BLANKS, "")).where(F.col("line").rlike(pattern)).distinct()
+    return lines.select(F.concat(F.lit("session:"), F.substring(F.sha2(F.concat("source", "line"), 256), 1, 16)).alias("id"), "source", "snapshot", F.regexp_extract("line", pattern, 2).alias("title"), F.regexp_extract("line", pattern, 3).alias("stage"))
+
+
+@query("gr18_nodes", NODES_SQL)
+def build_nodes(spark, d):
+    """Nodes derived from the tables, one SELECT per type."""
+    one = lambda df, prefix, key, kind, label: df.select(F.concat(F.lit(prefix), key).alias("id"), kind.alias("type"), label.alias("label"))
+    p, s, se = table(spark, d, "people").where("id IS NOT NULL"), table(spark, d, "sources"), programme(spark, d)
+    of = F.create_map(*[F.lit(x) for k, v in TAG_KINDS.items() for x in (k, v[0])])
+    named = lambda df, c: df.where(F.col(c).isNotNull()).groupBy(slugged(F.col(c)).alias("k")).agg(F.min(c).alias("v"))
+    k, v = F.col("k"), F.col("v")
+    parts = [
+        one(p.groupBy(F.col("id").alias("k")).agg(F.max("name").alias("v")), "person:", k, F.lit("Person"), v),
+        one(table(spark, d, "orgs").where("name IS NOT NULL").groupBy(F.col("name").alias("v")).agg(F.min("id").alias("k")).where("k IS NOT NULL"), "org:", k, F.lit("Organisation"), v),
+        one(named(table(spark, d, "person_topics"), "topic"), "topic:", k, F.lit("Topic"), v),
+        one(table(spark, d, "lexicon"), "tag:", F.col("id"), F.try_element_at(of, F.col("type")), F.col("label")),
+        one(s.where("snapshot IS NOT NULL").select("snapshot").distinct(), "snapshot:", F.col("snapshot"), F.lit("Snapshot"), F.col("snapshot")),
+        one(s.where("id IS NOT NULL").groupBy(F.col("id").alias("k")).agg(F.max("page").alias("v")), "source:", k, F.lit("Source"), v),
+        one(named(s, "publisher"), "publisher:", k, F.lit("Publisher"), v),
+        one(spark.range(1), EVENT, F.lit(""), F.lit("Event"), F.lit("Cimeira Maré Alta")),
+        one(se, "", F.col("id"), F.lit("Session"), F.col("title")),
+        one(named(se, "stage"), "stage:", k, F.lit("Stage"), v),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
 @query("gr18_build", BUILD_SQL)
 def build(spark, d):
-    """Edges derived from the tables, one SELECT per rule, each distinct."""
-    p = table(spark, d, "people").where("id IS NOT NULL")
-    org = table(spark, d, "orgs").groupBy(F.col("name").alias("org")).agg(F.min("id").alias("oid"))
-    slug = F.trim(F.regexp_replace(F.lower("topic"), "[^a-z0-9]+", "-"), F.lit("-"))
-    person = lambda c: F.concat(F.lit("person:"), c)
-    verb = F.when(F.col("type") == "Setor", "active_in").when(F.col("type") == "Tecnologia", "uses").when(F.col("type") == "Ideia", "advocates").otherwise("offers")
+    """Edges derived from the tables, one SELECT per rule, each distinct.
+
+    Who speaks in a session is told by the beginning of its title: its
+    first words, however many, meet the names of persons by equality.
+    """
+    people, s, se = table(spark, d, "people"), table(spark, d, "sources"), programme(spark, d)
+    p = people.where("id IS NOT NULL")
+    org = table(spark, d, "orgs").where("name IS NOT NULL").groupBy(F.col("name").alias("org")).agg(F.min("id").alias("oid")).where("oid IS NOT NULL")
+    listed = p.where("snapshot IS NOT NULL").select("id", "snapshot").distinct()
+    captures = F.broadcast(people.where("snapshot IS NOT NULL").select("snapshot").distinct())  # one row per capture
+    later = p.groupBy("id").agg(F.min("snapshot").alias("f")).join(captures, F.col("snapshot") > F.col("f")).select("id", "snapshot").join(listed, ["id", "snapshot"], "left_anti")
+    edge = lambda df, verb, source, target: df.select(verb.alias("verb"), source.alias("source"), target.alias("target"))
+    at = lambda prefix, c: F.concat(F.lit(prefix), c if not isinstance(c, str) else F.col(c))
+    pages = s.where("id IS NOT NULL").select(F.col("id").alias("sid"), "snapshot", "page", "publisher").distinct()
+    verb = F.try_element_at(F.create_map(*[F.lit(x) for k, v in TAG_KINDS.items() for x in (k, v[1])]), F.col("type"))
+    own = pages.where("page LIKE 'speakers/%'").select("sid", "snapshot", F.expr("substring(page, 10)").alias("id"))
+    openings = se.where("title LIKE '% %'").select("id", "title", F.explode(F.sequence(F.lit(1), F.size(F.split("title", " ")) - 1)).alias("n")).select("id", F.array_join(F.slice(F.split("title", " "), 1, F.col("n")), " ").alias("name"))
     parts = [
-        p.join(org, "org").select(F.lit("listed_under").alias("verb"), person(F.col("id")).alias("source"), F.concat(F.lit("org:"), "oid").alias("target")),
-        table(spark, d, "person_topics").where("person IS NOT NULL AND topic IS NOT NULL").select(F.lit("speaks_on").alias("verb"), person(F.col("person")).alias("source"), F.concat(F.lit("topic:"), slug).alias("target")),
-        table(spark, d, "person_tags").where("tag IS NOT NULL AND type IS NOT NULL AND person IS NOT NULL").select(verb.alias("verb"), person(F.col("person")).alias("source"), F.concat(F.lit("tag:"), "tag").alias("target")),
-        p.select(F.lit("present_in").alias("verb"), person(F.col("id")).alias("source"), F.concat(F.lit("snapshot:"), "snapshot").alias("target")),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+        edge(p.join(org, "org"), F.lit("listed_under"), at("person:", "id"), at("org:", "oid")),
+        edge(table(spark, d, "person_topics").where("person IS NOT NULL AND topic IS NOT NULL"), F.lit("speaks_on"), at("person:", "person"), at("topic:", slugged(F.col("topic")))),
+        edge(table(spark, d, "person_tags").where("tag IS NOT NULL AND person IS NOT NULL").where(verb.isNotNull()), verb, at("person:", "person"), at("tag:", "tag")),
+        edge(listed, F.lit("present_in"), at("person:", "id"), at("snapshot:", "snapshot")),
+        edge(later, F.lit("absent_from"), at("person:", "id"), at("snapshot:", "snapshot")),
+        edge(listed.join(pages.where("page = 'speakers'").select("sid", "snapshot"), "snapshot"), F.lit("attested_by"), at("person:", "id"), at("source:", "sid")),
+        edge(listed.join(own, ["id", "snapshot"]), F.lit("attested_by"), at("person:", "id"), at("source:", "sid")),
+        edge(p.select("id").distinct(), F.lit("speaks_at"), at("person:", "id"), F.lit(EVENT)),
+        edge(pages.where("snapshot IS NOT NULL"), F.lit("captured_in"), at("source:", "sid"), at("snapshot:", "snapshot")),
+        edge(pages.where("publisher IS NOT NULL"), F.lit("published_by"), at("source:", "sid"), at("publisher:", slugged(F.col("publisher")))),
+        edge(se, F.lit("part_of"), F.col("id"), F.lit(EVENT)),
+        edge(se, F.lit("attested_by"), F.col("id"), at("source:", "source")),
+        edge(se, F.lit("on_stage"), F.col("id"), at("stage:", slugged(F.col("stage")))),
+        edge(openings.join(p.where("name IS NOT NULL").select(F.col("id").alias("pid"), "name").distinct(), "name"), F.lit("features"), F.col("id"), at("person:", "pid")),
+    ]
+    out = reduce(lambda a, b: a.unionByName(b), parts)
     return out.distinct().select(F.concat_ws(":", "verb", "source", "target").alias("id"), "verb", "source", "target")
 
 
