@@ -50,7 +50,7 @@ def frozen_hash(s, d):
 simple("gt02_evidence_as_page", "no evidence is served as a page", "sources", "page LIKE '%.snapshot'", "page LIKE '%.snapshot'", "id", "page")
 
 
-@gate("gt03_people_fields", "a person has name, page inside the site and a place in the index", "WITH i AS (SELECT DISTINCT unnest(from_json(people, '[\"VARCHAR\"]')) AS id FROM orgs) SELECT DISTINCT p.id AS subject, x.w AS detail FROM people p LEFT JOIN i ON i.id = p.id, LATERAL (SELECT unnest([CASE WHEN coalesce(p.name, '') = '' THEN 'name' END, CASE WHEN p.page IS NULL OR NOT starts_with(p.page, 'https://mare-alta.example/speakers/') THEN 'page' END, CASE WHEN i.id IS NULL AND p.org <> '' THEN 'index' END]) AS w) x WHERE p.id IS NOT NULL AND x.w IS NOT NULL")
+@gate("gt03_people_fields", "a person has name, page inside the site and a place in the index", "WITH i AS (SELECT DISTINCT unnest(from_json(CASE WHEN json_valid(people) THEN people END, '[\"VARCHAR\"]')) AS id FROM orgs) SELECT DISTINCT p.id AS subject, x.w AS detail FROM people p LEFT JOIN i ON i.id = p.id, LATERAL (SELECT unnest([CASE WHEN coalesce(p.name, '') = '' THEN 'name' END, CASE WHEN p.page IS NULL OR NOT starts_with(p.page, 'https://mare-alta.example/speakers/') THEN 'page' END, CASE WHEN i.id IS NULL AND p.org <> '' THEN 'index' END]) AS w) x WHERE p.id IS NOT NULL AND x.w IS NOT NULL")
 def people_fields(s, d):
     index = t(s, d, "orgs").select(F.explode(F.from_json("people", "array<string>")).alias("id")).distinct().withColumn("i", F.lit(True))
     why = F.array(F.when(F.coalesce("name", F.lit("")) == "", "name"), F.when(c("page").isNull() | ~c("page").startswith("https://mare-alta.example/speakers/"), "page"), F.when(c("i").isNull() & (c("org") != ""), "index"))
@@ -135,7 +135,7 @@ missing("gt17_tag_citations", "every source of a tag is registered", "person_tag
 simple("dq_published_without_text", "a published text has a text", "documents", "published IS NOT NULL AND (text IS NULL OR text = '')", "published IS NOT NULL AND (text IS NULL OR text = '')", "doc_id", "kind")
 simple("dq_memos_citing_pages", "memos cite no frozen page", "documents", "kind = 'memo' AND contains(text, '/speakers/')", "kind = 'memo' AND contains(text, '/speakers/')", "doc_id", "section")
 gate("gt20_sections", "every section has an article", "SELECT section AS subject, CAST(count(*) AS VARCHAR) AS detail FROM documents WHERE section IS NOT NULL GROUP BY section HAVING count(*) FILTER (kind = 'article') = 0")(lambda s, d: rows(t(s, d, "documents").where("section IS NOT NULL").groupBy("section").agg(F.count("*").alias("n"), F.count_if(c("kind") == "article").alias("a")).where("a = 0"), c("section"), c("n")))
-@gate("gt21_index", "index and table of persons agree both ways", "WITH a AS (SELECT DISTINCT unnest(from_json(people, '[\"VARCHAR\"]')) AS k FROM orgs), b AS (SELECT DISTINCT id AS k FROM people WHERE id IS NOT NULL AND org <> '') SELECT coalesce(a.k, b.k) AS subject, CASE WHEN a.k IS NULL THEN 'not indexed' ELSE 'not listed' END AS detail FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@gate("gt21_index", "index and table of persons agree both ways", "WITH a AS (SELECT DISTINCT unnest(from_json(CASE WHEN json_valid(people) THEN people END, '[\"VARCHAR\"]')) AS k FROM orgs), b AS (SELECT DISTINCT id AS k FROM people WHERE id IS NOT NULL AND org <> '') SELECT coalesce(a.k, b.k) AS subject, CASE WHEN a.k IS NULL THEN 'not indexed' ELSE 'not listed' END AS detail FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def gt21_index(s, d):
     a, b = t(s, d, "orgs").select(F.explode(F.from_json("people", "array<string>")).alias("k")), t(s, d, "people").where("org <> ''").select(c("id").alias("k"))
     both = a.where("k IS NOT NULL").distinct().withColumn("a", F.lit(1)).join(b.where("k IS NOT NULL").distinct().withColumn("b", F.lit(1)), "k", "full").where("a IS NULL OR b IS NULL")
