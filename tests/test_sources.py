@@ -219,7 +219,7 @@ def test_pdf_takes_every_text(spark, tmp_path):
     from tidemark.plans import catalogue
 
     spark.createDataFrame([(1, "é (a)\n\nb\\"), (2, "—  x "), (3, None), (4, " ")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert {tuple(r) for r in catalogue.QUERIES["src18_pdf_all"](spark, str(tmp_path)).collect()} == {(1, "é (a)\nb\\"), (2, "— x"), (4, "")}
+    assert {tuple(r) for r in catalogue.QUERIES["src18_pdf"](spark, str(tmp_path)).collect()} == {(1, "é (a)\nb\\"), (2, "— x"), (4, "")}
 
 
 def test_dressed_rows_are_escaped_and_all_read(spark, tmp_path):
@@ -228,8 +228,8 @@ def test_dressed_rows_are_escaped_and_all_read(spark, tmp_path):
     spark.createDataFrame([("a", "A & B <c>", "R&D &amp; x"), ("b", "B", None), ("c", "C", "x")], "id string, name string, role string").write.parquet(str(tmp_path / "people.parquet"))
     spark.createDataFrame([(1, "x </noscript> & &lt; # @ 3 maio"), (2, "#1"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda n: {tuple(r) for r in catalogue.QUERIES[n](spark, str(tmp_path)).collect()}
-    assert run("src08_speaker_cards_all") == {("a", "A & B <c>", "R&D &amp; x"), ("b", "B", None), ("c", "C", "x")}
-    assert run("tx02_largest_noscript_all") == {(1, 31), (2, 3)} and run("tx25_fill_all") == {(1, True), (2, True)}
+    assert run("src08_speaker_cards") == {("a", "A & B <c>", "R&D &amp; x"), ("b", "B", None), ("c", "C", "x")}
+    assert run("tx02_largest_noscript") == {(1, 31), (2, 3)} and run("tx25_mask_and_fill") == {(1, True), (2, True)}
 
 
 def test_excerpts():
@@ -299,7 +299,7 @@ def test_mask_takes_every_text(spark, tmp_path):
     from tidemark.plans import catalogue
 
     spark.createDataFrame([(1, "3 de março"), (2, "plain 7"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert {tuple(r) for r in catalogue.QUERIES["tx25_mask_all"](spark, str(tmp_path)).collect()} == {(1, "# de @"), (2, "plain #")}
+    assert {tuple(r) for r in catalogue.QUERIES["tx25_mask"](spark, str(tmp_path)).collect()} == {(1, "# de @"), (2, "plain #")}
 
 
 def test_distance_has_no_limit(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import snapshots as S
 from tidemark.operators.captures import captures, latest_rows
+from tidemark.operators.skew import salted_join
 from tidemark.plans.common import GRAPH, N, edges, nodes
 from tidemark.plans.evolution import WINNERS
 from tidemark.plans.registry import query
@@ -17,18 +18,13 @@ from tidemark.tables import table as t
 c = F.col
 
 
-@query("ev01_snapshot_diff", f"WITH {WINNERS}, ch AS (SELECT b.k, b.id FROM win b LEFT JOIN win a ON a.id = b.id AND a.k = b.k - 1 WHERE b.k > 0 AND a.id IS NULL) SELECT cap.snapshot AS to_snapshot, 'added' AS change, count(*) AS n FROM ch JOIN cap USING (k) GROUP BY ALL")
-def snapshot_diff(s, d):
-    """Counts of additions per capture; ev01_all_changes has every kind of change."""
-    diff, known = S.changes(t(s, d, "people"))
-    return diff.where("change = 'added'").groupBy("ordinal", "change").agg(F.count("*").alias("n")).select(known.name_at(c("ordinal")).alias("to_snapshot"), "change", "n")
 
 
 PAIRS = f"""WITH {WINNERS}, pairs AS (SELECT a.id, a.k + 1 AS k, b.id IS NULL AS gone, a.name AS n0, b.name AS n1, a.role AS r0, b.role AS r1, a.org AS o0, b.org AS o1 FROM win a LEFT JOIN win b ON b.id = a.id AND b.k = a.k + 1 WHERE a.k < (SELECT max(k) FROM cap)),
 ch AS (SELECT k, id, 'name' AS field, n0 AS was, n1 AS now FROM pairs WHERE NOT gone AND n0 IS DISTINCT FROM n1 UNION ALL SELECT k, id, 'role', r0, r1 FROM pairs WHERE NOT gone AND r0 IS DISTINCT FROM r1 UNION ALL SELECT k, id, 'org', o0, o1 FROM pairs WHERE NOT gone AND o0 IS DISTINCT FROM o1)"""
 
 
-@query("ev01_all_changes", f"{PAIRS}, kinds AS (SELECT k, field AS change FROM ch UNION ALL SELECT k, 'removed' FROM pairs WHERE gone UNION ALL SELECT b.k, 'added' FROM win b LEFT JOIN win a ON a.id = b.id AND a.k = b.k - 1 WHERE b.k > 0 AND a.id IS NULL) SELECT cap.snapshot AS to_snapshot, change, count(*) AS n FROM kinds JOIN cap USING (k) GROUP BY ALL")
+@query("ev01_snapshot_diff", f"{PAIRS}, kinds AS (SELECT k, field AS change FROM ch UNION ALL SELECT k, 'removed' FROM pairs WHERE gone UNION ALL SELECT b.k, 'added' FROM win b LEFT JOIN win a ON a.id = b.id AND a.k = b.k - 1 WHERE b.k > 0 AND a.id IS NULL) SELECT cap.snapshot AS to_snapshot, change, count(*) AS n FROM kinds JOIN cap USING (k) GROUP BY ALL")
 def all_changes(s, d):
     """Counts of every kind of change per capture: 'added', 'removed', or the field that changed."""
     diff, known = S.changes(t(s, d, "people"))
@@ -52,23 +48,44 @@ VERDICT = "CASE WHEN state = 'excluded' THEN 'blocked' WHEN frozen IS NULL OR fr
 query("ev04_verdict", f"SELECT DISTINCT id, {VERDICT} AS verdict FROM sources")(lambda s, d: t(s, d, "sources").select("id", F.expr(VERDICT).alias("verdict")).distinct())
 
 
-@query("ev05_claims", "SELECT DISTINCT p.id, p.source, CASE WHEN s.id IS NULL OR s.frozen IS NULL THEN 'fonte_inacessivel' WHEN contains(s.frozen, p.name) THEN 'confirmada' ELSE 'nao_encontrada' END AS verdict FROM (SELECT DISTINCT id, name, snapshot || '/speakers/' || id AS source FROM people WHERE id IS NOT NULL AND name IS NOT NULL) p LEFT JOIN (SELECT id, max(frozen) AS frozen FROM sources GROUP BY id) s ON s.id = p.source")
+@query("ev05_claims", "WITH s AS (SELECT DISTINCT id, state, frozen, list_filter(string_split(frozen, chr(10)), lambda x: length(trim(x)) >= 60) AS ls FROM sources WHERE id IS NOT NULL), x AS (SELECT id, unnest(['whole', 'pieces', 'invented']) AS claim, state = 'excluded' OR frozen IS NULL OR length(frozen) <= 400 AS shut FROM s WHERE frozen IS NULL OR state = 'excluded' OR length(frozen) <= 400 OR len(ls) >= 3) SELECT DISTINCT id, claim, CASE WHEN shut THEN 'fonte_inacessivel' WHEN claim = 'invented' THEN 'nao_encontrada' ELSE 'confirmada' END AS verdict, CASE WHEN NOT shut THEN CASE claim WHEN 'whole' THEN 'exacta' WHEN 'pieces' THEN 'fragmentada' END END AS kind FROM x")
 def claims(s, d):
-    """Is a person's name, as listed, in the bytes of their own frozen page?"""
-    p = t(s, d, "people").where("id IS NOT NULL AND name IS NOT NULL").select("id", "name", F.concat("snapshot", F.lit("/speakers/"), "id").alias("source")).distinct()
-    src = t(s, d, "sources").where(c("page").startswith("speakers/")).groupBy(c("id").alias("source")).agg(F.max("frozen").alias("frozen"), F.lit(1).alias("there"))
-    verdict = F.when(c("there").isNull() | c("frozen").isNull(), "fonte_inacessivel").when(F.contains("frozen", "name"), "confirmada").otherwise("nao_encontrada")
-    return p.join(src, "source", "left").select("id", "source", verdict.alias("verdict")).distinct()
+    """Three claims about every page, verified by locating their excerpts in it.
+
+    A line of the page as it stands, two lines with what is between them left
+    out, and a line with words in it that the page doesn't have.
+    """
+    lines = F.filter(F.split("frozen", "\n", -1), lambda x: F.length(F.trim(x)) >= 60)
+    shut = F.coalesce(c("state") == "excluded", F.lit(False)) | c("frozen").isNull() | (F.length("frozen") <= 400)
+    x = t(s, d, "sources").where("id IS NOT NULL").select("id", "frozen", lines.alias("ls"), shut.alias("shut")).distinct().where("shut OR size(ls) >= 3")
+    at = lambda i: F.get("ls", F.lit(i))
+    claim = lambda name, text: F.struct(F.lit(name).alias("claim"), text.alias("excerpt"))
+    made = F.array(claim("whole", at(0)), claim("pieces", F.concat(at(0), F.lit(" "), at(2))), claim("invented", F.concat(at(0), F.lit(" zzz never told zzz "), at(2))))
+    x = x.select("id", "frozen", "shut", F.inline(made)).withColumn("r", X.located(X.level(c("excerpt")), X.level(c("frozen"))))
+    verdict = F.when(c("shut"), "fonte_inacessivel").when(c("r.kind").isNotNull(), "confirmada").otherwise("nao_encontrada")
+    return x.select("id", "claim", verdict.alias("verdict"), F.when(~c("shut"), c("r.kind")).alias("kind")).distinct()
+
+
+DECIDED = "CASE WHEN d.tag IS NOT NULL THEN 'decidido:' || d.tag WHEN t.tag IS NOT NULL AND l.id IS NOT NULL THEN 'aceite' WHEN t.tag IS NOT NULL THEN 'rejeitado' WHEN t.matched IS NULL THEN 'vazio' ELSE 'por_decidir' END"
 
 
-query("ev06_overlay", "SELECT t.person, t.matched, coalesce(l.label, CASE WHEN t.tag IS NULL THEN 'por_decidir' END, 'aceite') AS state FROM person_tags t LEFT JOIN lexicon l ON l.id = t.tag")(lambda s, d: t(s, d, "person_tags").join(t(s, d, "lexicon").select(c("id").alias("tag"), "label"), "tag", "left").select("person", "matched", F.coalesce("label", F.when(c("tag").isNull(), "por_decidir"), F.lit("aceite")).alias("state")))
+@query("ev06_overlay", f"WITH d AS (SELECT matched, min(tag) AS tag FROM person_tags WHERE tag IS NOT NULL AND matched IS NOT NULL GROUP BY matched HAVING count(DISTINCT tag) = 1) SELECT t.person, t.matched, {DECIDED} AS state FROM person_tags t LEFT JOIN lexicon l ON l.id = t.tag LEFT JOIN d ON d.matched = t.matched AND t.tag IS NULL")
+def overlay(s, d):
+    """The state of each matched word: tags somebody gave are accepted if declared; open words take the one decision made elsewhere on the same word."""
+    x = t(s, d, "person_tags")
+    decided = x.where("tag IS NOT NULL AND matched IS NOT NULL").groupBy("matched").agg(F.min("tag").alias("dtag"), F.countDistinct("tag").alias("k")).where("k = 1").select("matched", "dtag")
+    x = salted_join(x.select("person", "matched", "tag"), decided, ["matched"]).join(t(s, d, "lexicon").select(c("id").alias("tag"), F.lit(True).alias("known")), "tag", "left")
+    state = F.when(c("tag").isNull() & c("dtag").isNotNull(), F.concat(F.lit("decidido:"), "dtag")).when(c("tag").isNotNull() & c("known"), "aceite").when(c("tag").isNotNull(), "rejeitado").when(c("matched").isNull(), "vazio").otherwise("por_decidir")
+    return x.select("person", "matched", state.alias("state"))
 
 
-@query("ev07_grounding", f"WITH {N}, s AS (SELECT DISTINCT id FROM sources) SELECT n.id, CASE WHEN s.id IS NOT NULL THEN 'bytes' WHEN n.source IS NOT NULL THEN 'registo' END AS ground, s.id IS NOT NULL AND length(label) >= 6 AND type IN ('Person', 'Organisation') AS linkable FROM n LEFT JOIN s ON s.id = n.source")
+@query("ev07_grounding", f"WITH {N}, s AS (SELECT id, max(frozen) AS f FROM sources GROUP BY id) SELECT n.id, CASE WHEN contains(s.f, n.label) THEN 'bytes' WHEN s.id IS NOT NULL THEN 'registo' ELSE 'none' END AS ground, length(label) >= 6 AND type IN ('Person', 'Organisation') AND s.id IS NOT NULL AS linkable FROM n LEFT JOIN s ON s.id = n.source")
 def grounding(s, d):
-    src = t(s, d, "sources").select(c("id").alias("source"), F.lit(True).alias("b")).distinct()
-    g = nodes(s, d).join(src, "source", "left")
-    return g.select("id", F.when(c("b"), "bytes").when(c("source").isNotNull(), "registo").alias("ground"), (c("b").isNotNull() & (F.length("label") >= 6) & c("type").isin("Person", "Organisation")).alias("linkable"))
+    """An entity stands on the bytes of its source if its label is in them, else on the register if the source is."""
+    src = t(s, d, "sources").groupBy(c("id").alias("source")).agg(F.max("frozen").alias("f"), F.lit(True).alias("b"))
+    g = salted_join(nodes(s, d).select("id", "label", "type", "source"), src, ["source"])
+    ground = F.when(F.contains("f", "label"), "bytes").when(c("b"), "registo").otherwise("none")
+    return g.select("id", ground.alias("ground"), ((F.length("label") >= 6) & c("type").isin("Person", "Organisation") & c("b").isNotNull()).alias("linkable"))
 
 
 @query("ev08_stage_names", f"WITH {N} SELECT DISTINCT s.id, st.label AS stage FROM (SELECT DISTINCT id, frozen FROM sources WHERE frozen IS NOT NULL) s JOIN (SELECT DISTINCT label FROM n WHERE type = 'Stage') st ON contains(s.frozen, st.label)")
@@ -100,8 +117,6 @@ def _activity(s, d) -> DataFrame:
 
 query("ev09_activity", ACTIVITY)(_activity)
 query("ev10_open_work", "SELECT person, count(*) FILTER (tag IS NULL) AS open FROM person_tags GROUP BY person")(lambda s, d: t(s, d, "person_tags").groupBy("person").agg(F.count_if(c("tag").isNull()).alias("open")))
-query("ev11_placement", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P', 'F') THEN o_orderstatus ELSE 'off board' END AS lane FROM orders")(lambda s, d: t(s, d, "orders").select("o_orderkey", F.when(c("o_orderstatus").isin("O", "P", "F"), c("o_orderstatus")).otherwise("off board").alias("lane")))
-query("ev12_owner", "WITH m(state, owner) AS (VALUES ('O', 'editor'), ('P', 'desk'), ('F', 'archive')) SELECT o_orderkey, owner FROM orders LEFT JOIN m ON state = o_orderstatus")(lambda s, d: t(s, d, "orders").join(s.createDataFrame([("O", "editor"), ("P", "desk"), ("F", "archive")], "o_orderstatus string, owner string"), "o_orderstatus", "left").select("o_orderkey", "owner"))
 
 
 @query("ev13_queue", f"WITH {N} SELECT 'tag' AS what, person AS id FROM person_tags WHERE tag IS NULL UNION ALL SELECT 'page', id FROM sources WHERE state = 'excluded' UNION ALL SELECT 'node', id FROM n WHERE type = 'Person' AND org IS NULL UNION ALL SELECT 'doc', CAST(doc_id AS VARCHAR) FROM documents WHERE text IS NULL")
@@ -110,9 +125,13 @@ def queue(s, d):
     return one(t(s, d, "person_tags").where("tag IS NULL"), "tag", "person").unionByName(one(t(s, d, "sources").where("state = 'excluded'"), "page", "id")).unionByName(one(nodes(s, d).where("type = 'Person' AND org IS NULL"), "node", "id")).unionByName(one(t(s, d, "documents").where("text IS NULL"), "doc", "doc_id"))
 
 
-query("ev14_pending", "SELECT DISTINCT u.matched FROM person_tags u WHERE u.tag IS NULL AND u.matched IS NOT NULL AND NOT EXISTS (SELECT 1 FROM person_tags k WHERE k.tag IS NOT NULL AND k.matched = u.matched)")(
-    lambda s, d: (lambda x: x.where("tag IS NULL").select("matched").distinct().join(x.where("tag IS NOT NULL").select("matched").distinct(), "matched", "left_anti"))(t(s, d, "person_tags").where("matched IS NOT NULL"))
-)
+@query("ev14_pending", f"WITH {N} SELECT DISTINCT 'word' AS what, u.matched AS id FROM person_tags u WHERE u.tag IS NULL AND u.matched IS NOT NULL AND NOT EXISTS (SELECT 1 FROM person_tags k WHERE k.tag IS NOT NULL AND k.matched = u.matched) UNION ALL SELECT 'page', id FROM (SELECT id FROM sources WHERE id IS NOT NULL GROUP BY id HAVING count(*) FILTER (state = 'primary') = 0) UNION ALL SELECT 'class', id FROM n WHERE type = 'Person' AND role_class IS NULL")
+def pending(s, d):
+    """What waits for a decision: words nobody has mapped, pages without a primary copy, persons without a class."""
+    x = t(s, d, "person_tags").where("matched IS NOT NULL")
+    words = x.where("tag IS NULL").select("matched").distinct().join(x.where("tag IS NOT NULL").select("matched").distinct(), "matched", "left_anti").select(F.lit("word").alias("what"), c("matched").alias("id"))
+    pages_ = t(s, d, "sources").where("id IS NOT NULL").groupBy("id").agg(F.count_if(c("state") == "primary").alias("n")).where("n = 0").select(F.lit("page").alias("what"), "id")
+    return words.unionByName(pages_).unionByName(nodes(s, d).where("type = 'Person' AND role_class IS NULL").select(F.lit("class").alias("what"), "id"))
 query("ev15_feed", f"WITH {N} SELECT * FROM (SELECT 'node' AS what, id, recorded AS at FROM n ORDER BY recorded DESC, id LIMIT 8) UNION ALL SELECT * FROM (SELECT 'doc', CAST(doc_id AS VARCHAR), loaded FROM documents WHERE loaded IS NOT NULL ORDER BY loaded DESC, doc_id LIMIT 8)")(
     lambda s, d: nodes(s, d).select(F.lit("node").alias("what"), "id", c("recorded").alias("at")).orderBy(F.desc("at"), "id").limit(8).unionByName(t(s, d, "documents").where("loaded IS NOT NULL").select(F.lit("doc").alias("what"), c("doc_id").cast("string").alias("id"), c("loaded").alias("at"), "doc_id").orderBy(F.desc("at"), "doc_id").limit(8).drop("doc_id"))
 )
@@ -148,20 +167,61 @@ def mail_threads(s, d):
     return threads(t(s, d, "events").select(c("event_id").alias("id"), F.when(c("event_id") % 5 != 0, c("event_id") - 1).alias("parent")))
 
 
-TM = "SELECT DISTINCT matched, CASE WHEN EXISTS (SELECT 1 FROM lexicon l WHERE l.label = t.matched) THEN 'exact' WHEN EXISTS (SELECT 1 FROM lexicon l WHERE lower(l.label) = lower(t.matched)) THEN 'case' WHEN EXISTS (SELECT 1 FROM lexicon l WHERE lower(l.pt) = lower(t.matched)) THEN 'translation' ELSE 'miss' END AS how FROM person_tags t WHERE matched IS NOT NULL"
+TM = r"""WITH m AS (SELECT DISTINCT matched FROM person_tags WHERE matched IS NOT NULL), served AS (SELECT DISTINCT matched FROM person_tags WHERE tag IS NOT NULL),
+lex AS (SELECT id, label, pt, lower(label) AS l, lower(pt) AS p FROM lexicon), masked AS (SELECT DISTINCT regexp_replace(lower(label), '[^a-z]+', '', 'g') AS k FROM lexicon)
+SELECT m.matched, CASE WHEN m.matched IN (SELECT matched FROM served) THEN 'served' WHEN m.matched IN (SELECT label FROM lex) THEN 'exact' WHEN lower(m.matched) IN (SELECT l FROM lex) OR lower(m.matched) IN (SELECT p FROM lex WHERE p IS NOT NULL) THEN 'machine'
+WHEN regexp_matches(m.matched, '^[0-9.,:/-]+$') THEN 'verbatim' WHEN regexp_replace(lower(m.matched), '[«»"“”…*;,.]+', '', 'g') IN (SELECT l FROM lex) THEN 'quote mask' WHEN regexp_replace(lower(m.matched), '[^a-z]+', '', 'g') IN (SELECT k FROM masked) THEN 'template' ELSE 'miss' END AS how FROM m"""
 
 
 @query("ev19_memory_lookup", TM)
 def memory_lookup(s, d):
-    """Lookups in order of trust; the first that hits wins."""
-    lex = t(s, d, "lexicon")
-    m = t(s, d, "person_tags").where("matched IS NOT NULL").select("matched", F.lower("matched").alias("l")).distinct()
-    m = m.join(lex.select(c("label").alias("matched"), F.lit(1).alias("a")).distinct(), "matched", "left").join(lex.select(F.lower("label").alias("l"), F.lit(1).alias("b")).distinct(), "l", "left").join(lex.select(F.lower("pt").alias("l"), F.lit(1).alias("p")).distinct(), "l", "left")
-    return m.select("matched", F.when(c("a") == 1, "exact").when(c("b") == 1, "case").when(c("p") == 1, "translation").otherwise("miss").alias("how"))
-
+    """Lookups in order of trust, the first that hits wins: already served, exact, machine, verbatim, without quotes, by template, miss.
 
-query("ev20_segments", "SELECT substr(sha256(text), 1, 16) AS key, count(*) AS n, count(DISTINCT source) AS places FROM documents WHERE text IS NOT NULL GROUP BY text")(lambda s, d: t(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("places")).select(F.substring("h", 1, 16).alias("key"), "n", "places"))
-query("ev21_apply_batch", "SELECT t.person, t.tag FROM person_tags t WHERE t.tag IN (SELECT id FROM lexicon)")(lambda s, d: t(s, d, "person_tags").join(t(s, d, "lexicon").select(c("id").alias("tag")), "tag", "left_semi").select("person", "tag"))
-query("ev22_todo", "SELECT matched, n FROM (SELECT matched, count(*) AS n FROM person_tags WHERE tag IS NULL AND matched IS NOT NULL GROUP BY matched) ORDER BY n DESC, length(matched), matched LIMIT 20")(lambda s, d: t(s, d, "person_tags").where("tag IS NULL AND matched IS NOT NULL").groupBy("matched").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.length("matched"), "matched").limit(20))
+    Each step is an equi-join on a key of its own; what is served is looked up among the words themselves.
+    """
+    x, lex = t(s, d, "person_tags").where("matched IS NOT NULL"), t(s, d, "lexicon")
+    bare = lambda e: F.regexp_replace(F.lower(e), "[^a-z]+", "")
+    m = x.select("matched").distinct().select("matched", F.lower("matched").alias("l"), F.regexp_replace(F.lower("matched"), '[«»"“”…*;,.]+', "").alias("q"), bare("matched").alias("k"))
+    hits = [
+        ("served", x.where("tag IS NOT NULL").select("matched"), "matched"), ("exact", lex.select(c("label").alias("matched")), "matched"),
+        ("machine", lex.select(F.explode(F.array(F.lower("label"), F.lower("pt"))).alias("l")), "l"), ("quote mask", lex.select(F.lower("label").alias("q")), "q"), ("template", lex.select(bare("label").alias("k")), "k"),
+    ]
+    for name, keys, on in hits:
+        m = m.join(keys.distinct().withColumn(name, F.lit(True)), on, "left")
+    how = F.when(c("served"), "served").when(c("exact"), "exact").when(c("machine"), "machine").when(c("matched").rlike("^[0-9.,:/-]+$"), "verbatim").when(c("quote mask"), "quote mask").when(c("template"), "template").otherwise("miss")
+    return m.select("matched", how.alias("how"))
+
+
+ORIGINS = "SELECT pt AS text, 'lexicon' AS origin FROM lexicon UNION ALL SELECT pt, 'roles' FROM role_list UNION ALL SELECT label, 'graph' FROM nodes UNION ALL SELECT topic, 'topics' FROM person_topics"
+
+
+@query("ev20_segments", f"SELECT substr(sha256(text), 1, 16) AS key, text, count(*) AS n, array_to_string(list_sort(list(DISTINCT origin)), ',') AS origins FROM ({ORIGINS}) WHERE text IS NOT NULL GROUP BY text")
+def segments(s, d):
+    """Segments of four origins with where they come from; at most four names per segment are collected."""
+    one = lambda tb, col, origin: t(s, d, tb).select(c(col).alias("text"), F.lit(origin).alias("origin"))
+    x = one("lexicon", "pt", "lexicon").unionByName(one("role_list", "pt", "roles")).unionByName(one("nodes", "label", "graph")).unionByName(one("person_topics", "topic", "topics")).where("text IS NOT NULL")
+    return x.groupBy("text").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("origin")), ",").alias("origins")).select(F.substring(F.sha2("text", 256), 1, 16).alias("key"), "text", "n", "origins")
+@query("ev21_apply_batch", "WITH b AS (SELECT tag AS id, max(matched) AS pt FROM person_tags WHERE tag IS NOT NULL AND matched IS NOT NULL GROUP BY tag) SELECT l.id, coalesce(b.pt, l.pt) AS pt, b.id IS NOT NULL AS updated FROM lexicon l LEFT JOIN b ON b.id = l.id UNION ALL SELECT b.id, NULL, false FROM b WHERE b.id NOT IN (SELECT id FROM lexicon)")
+def apply_batch(s, d):
+    """A batch of wordings written over a memory: known keys are updated, others kept, keys the memory doesn't know refused (null)."""
+    lex = t(s, d, "lexicon").select("id", c("pt").alias("old"), F.lit(True).alias("known"))
+    batch = t(s, d, "person_tags").where("tag IS NOT NULL AND matched IS NOT NULL").groupBy(c("tag").alias("id")).agg(F.max("matched").alias("new"))
+    x = lex.join(batch, "id", "full")
+    return x.select("id", F.when(c("known"), F.coalesce("new", "old")).alias("pt"), (c("known").isNotNull() & c("new").isNotNull()).alias("updated"))
+#: Letters a batch may have.
+BUDGET = 2_000
+
+
+@query("ev22_todo", f"WITH k AS (SELECT lower(label) AS l FROM lexicon UNION SELECT lower(pt) FROM lexicon WHERE pt IS NOT NULL), m AS (SELECT matched, count(*) AS n FROM person_tags WHERE tag IS NULL AND matched <> '' AND lower(matched) NOT IN (SELECT l FROM k) GROUP BY matched) SELECT matched, n FROM (SELECT *, sum(length(matched)) OVER (ORDER BY n DESC, length(matched), matched ROWS UNBOUNDED PRECEDING) AS used FROM m) WHERE used <= {BUDGET}")
+def todo(s, d):
+    """Words the memory lacks, most frequent and then shortest first, until the budget of letters is used.
+
+    As each has a letter at least, the first BUDGET of them hold the batch, and the running sum is over these only.
+    """
+    known = t(s, d, "lexicon").select(F.explode(F.array(F.lower("label"), F.lower("pt"))).alias("l")).distinct()
+    m = t(s, d, "person_tags").where("tag IS NULL AND matched <> ''").withColumn("l", F.lower("matched")).join(known, "l", "left_anti").groupBy("matched").agg(F.count("*").alias("n"))
+    order = [F.desc("n"), F.length("matched"), "matched"]
+    first = m.orderBy(*order).limit(BUDGET)
+    return first.withColumn("used", F.sum(F.length("matched")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(c("used") <= BUDGET).select("matched", "n")
 query("ev23_blockers", "SELECT DISTINCT d.doc_id, l.id AS name FROM documents d JOIN lexicon l ON regexp_matches(d.text, '(^|[^A-Za-z])' || l.label || '([^A-Za-z]|$)')")(lambda s, d: t(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text").crossJoin(F.broadcast(t(s, d, "lexicon").select(c("id").alias("name"), "label", F.concat(F.lit("(^|[^A-Za-z])"), "label", F.lit("([^A-Za-z]|$)")).alias("p")))).where(F.contains("text", "label")).where(F.regexp_like("text", c("p"))).select("doc_id", "name").distinct())
 query("ev24_overlap", "SELECT person FROM (SELECT person FROM person_topics INTERSECT SELECT person FROM person_tags) WHERE NOT regexp_matches(person, '-[0-9]+$')")(lambda s, d: t(s, d, "person_topics").select("person").intersect(t(s, d, "person_tags").select("person")).where("NOT person RLIKE '-[0-9]+$'"))

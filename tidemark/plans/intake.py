@@ -40,14 +40,9 @@ def load_tables(s, d):
 LI = "'<h1>x</h1>Confirmed speakers<ul><li id=\"' || id || '\"><h3>' || name || '</h3><p>' || role || '</p></li></ul>'"
 
 
-@query("src08_speaker_cards", "SELECT DISTINCT id, name, trim(role) AS role FROM people WHERE id IS NOT NULL AND name IS NOT NULL AND role IS NOT NULL AND trim(role) <> '' AND NOT regexp_matches(name || role, '[<&]') AND NOT regexp_matches(role, '\\\\n')")
-def speaker_cards(s, d):
-    """Cards of all persons dressed as list items and read again."""
-    p = t(s, d, "people").where("id IS NOT NULL AND name IS NOT NULL AND role IS NOT NULL AND trim(role) <> '' AND NOT (name || role) RLIKE '[<&]'")
-    return R.speaker_cards(p.select(c("id").alias("page"), F.expr(LI).alias("html"))).select("id", "name", "role").distinct()
 
 
-@query("src08_speaker_cards_all", "SELECT DISTINCT id, trim(replace(name, '\\n', ' ')) AS name, nullif(trim(replace(role, '\\n', ' ')), '') AS role FROM people WHERE id IS NOT NULL AND name IS NOT NULL")
+@query("src08_speaker_cards", "SELECT DISTINCT id, trim(replace(name, '\\n', ' ')) AS name, nullif(trim(replace(role, '\\n', ' ')), '') AS role FROM people WHERE id IS NOT NULL AND name IS NOT NULL")
 def speaker_cards_all(s, d):
     """Cards of every person with an id and a name, with or without a role, values escaped in the page."""
     p = t(s, d, "people").where("id IS NOT NULL AND name IS NOT NULL").select("id", X.escaped(c("name")).alias("name"), F.coalesce(X.escaped(c("role")), F.lit("")).alias("role"))
@@ -99,18 +94,12 @@ query("ext_session_windows", "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(
 )
 
 
-@query("src09_agenda", f"WITH {N} SELECT DISTINCT trim(label) AS title, CASE WHEN day IS NULL THEN 'day' ELSE day END AS day FROM n WHERE type = 'Session' AND label IS NOT NULL AND length(label) <= 140 AND NOT regexp_matches(label, '[<&()—–]|[.!?] |^\\s|\\s$|\\s\\s|[^ -~À-ÿ€]')")
-def agenda(s, d):
-    """Sessions dressed as agenda pages of one day each, and read again."""
-    n = nodes(s, d).where(r"type = 'Session' AND label IS NOT NULL AND length(label) <= 140 AND NOT label RLIKE '[<&()—–]|[.!?] |^\\s|\\s$|\\s\\s|[^ -~À-ÿ€]'")
-    html = F.concat(F.lit("<h2>"), F.coalesce("day", F.lit("day")), F.lit("</h2><ul><li>9:00–9:30 — "), "label", F.lit(" (Main Stage)</li></ul>"))
-    return R.agenda_rows(n.select(c("id").alias("page"), html.alias("html"))).select("title", "day").distinct()
 
 
 LINE = f"trim(regexp_replace(replace(label, '\\n', ' ') || ' (Main Stage)', '{WS}', ' ', 'g'))"
 
 
-@query("src09_agenda_all", f"WITH {N} SELECT DISTINCT substr(trim(regexp_replace(regexp_replace({LINE}, '\\s*\\([^()]*\\)', '', 'g'), '([.!?]) .*$', '\\1')), 1, 140) AS title, CASE WHEN day IS NULL THEN 'day' ELSE trim(day) END AS day FROM n WHERE type = 'Session' AND label IS NOT NULL")
+@query("src09_agenda", f"WITH {N} SELECT DISTINCT substr(trim(regexp_replace(regexp_replace({LINE}, '\\s*\\([^()]*\\)', '', 'g'), '([.!?]) .*$', '\\1')), 1, 140) AS title, CASE WHEN day IS NULL THEN 'day' ELSE trim(day) END AS day FROM n WHERE type = 'Session' AND label IS NOT NULL")
 def agenda_all(s, d):
     """Every session with a label, escaped; the reader's cuts of a title (brackets, first sentence, length) are in the SQL."""
     n = nodes(s, d).where("type = 'Session' AND label IS NOT NULL")
@@ -124,8 +113,6 @@ def feeds(s, d, name):
 
 
 ITEMS = "FROM n WHERE type = 'Session' AND label IS NOT NULL AND NOT regexp_matches(label, '[&<>]')"
-query("src10_rss_items", f"WITH {N} SELECT id AS guid, regexp_replace(regexp_replace(label, '\\s+$', ''), '^\\s+', '') AS title {ITEMS}")(lambda s, d: R.rss_items(feeds(s, d, F.lit("all"))).select("guid", F.regexp_replace(F.regexp_replace("title", r"\s+$", ""), r"^\s+", "").alias("title")))
-query("src11_feed_events", f"WITH {N} SELECT id AS guid, CASE WHEN kind IS NULL THEN 'none' ELSE kind END AS category {ITEMS}")(lambda s, d: R.feed_events(feeds(s, d, F.lit("all")), feeds(s, d, F.coalesce("kind", F.lit("none")))).select("guid", F.array_join("categories", ",").alias("category")))
 
 
 def feeds_all(s, d, name):
@@ -134,8 +121,8 @@ def feeds_all(s, d, name):
 
 
 ALL_ITEMS = "FROM n WHERE type = 'Session' AND label IS NOT NULL"
-query("src10_rss_items_all", f"WITH {N} SELECT id AS guid, regexp_replace(regexp_replace(label, '\\s+$', ''), '^\\s+', '') AS title {ALL_ITEMS}")(lambda s, d: R.rss_items(feeds_all(s, d, F.lit("all"))).select("guid", F.regexp_replace(F.regexp_replace("title", r"\s+$", ""), r"^\s+", "").alias("title")))
-query("src11_feed_events_all", f"WITH {N} SELECT id AS guid, CASE WHEN kind IS NULL THEN 'none' ELSE kind END AS category {ALL_ITEMS}")(lambda s, d: R.feed_events(feeds_all(s, d, F.lit("all")), feeds_all(s, d, F.coalesce("kind", F.lit("none")))).select("guid", F.array_join("categories", ",").alias("category")))
+query("src10_rss_items", f"WITH {N} SELECT id AS guid, regexp_replace(regexp_replace(label, '\\s+$', ''), '^\\s+', '') AS title {ALL_ITEMS}")(lambda s, d: R.rss_items(feeds_all(s, d, F.lit("all"))).select("guid", F.regexp_replace(F.regexp_replace("title", r"\s+$", ""), r"^\s+", "").alias("title")))
+query("src11_feed_events", f"WITH {N} SELECT id AS guid, CASE WHEN kind IS NULL THEN 'none' ELSE kind END AS category {ALL_ITEMS}")(lambda s, d: R.feed_events(feeds_all(s, d, F.lit("all")), feeds_all(s, d, F.coalesce("kind", F.lit("none")))).select("guid", F.array_join("categories", ",").alias("category")))
 
 
 @query("src12_posts", "SELECT doc_id, coalesce(source, 'fallback') AS author FROM documents WHERE text IS NOT NULL")
@@ -161,19 +148,13 @@ query("src17_articles", "SELECT a.section AS folder, a.n AS articles, m.n AS mem
 )
 
 
-@query("src18_pdf", "SELECT doc_id, trim(regexp_replace(text, ' +', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~]') AND NOT regexp_matches(text, '[()\\\\]') AND length(trim(text)) > 0")
-def pdf(s, d):
-    """Plain texts dressed as PDF streams, and read again."""
-    x = t(s, d, "documents").where(r"text IS NOT NULL AND NOT text RLIKE '[^ -~]' AND NOT text RLIKE '[()\\\\]' AND length(trim(text)) > 0")
-    body = F.encode(F.concat(F.lit("%PDF-1.4\n1 0 obj <<>> stream\nBT ("), "text", F.lit(") Tj ET\nendstream endobj")), "iso-8859-1")
-    return R.pdf_text(x.select(c("doc_id").cast("string").alias("path"), body.alias("content"))).select(c("path").cast("bigint").alias("doc_id"), "text")
 
 
 #: Blanks that Python's strip() takes off.
 BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@query("src18_pdf_all", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{{2,}}', chr(10), 'g'), '^{BLANK}|{BLANK}$', '', 'g') AS text FROM documents WHERE text IS NOT NULL")
+@query("src18_pdf", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{{2,}}', chr(10), 'g'), '^{BLANK}|{BLANK}$', '', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def pdf_all(s, d):
     """Every text dressed as a PDF, escaped or coded with a ToUnicode map, each other one compressed, and read again."""
     import pandas as pd

@@ -42,14 +42,9 @@ def visible_text(s, d):
 query("tx01_entities")(lambda s, d: pages(s, d).select("doc_id", X.visible(c("html")).alias("visible")))
 
 
-@query("tx02_largest_noscript", "SELECT doc_id, greatest(length(text), 3)::INT AS chars FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<')")
-def largest_noscript(s, d):
-    html = F.concat(F.lit("<noscript>abc</noscript><noscript>"), c("text"), F.lit("</noscript>"))
-    blocks = F.regexp_extract_all(html, F.lit("(?is)<noscript>(.*?)</noscript>"), F.lit(1))
-    return docs(s, d).where(~c("text").contains("<")).select("doc_id", F.array_max(F.transform(blocks, F.length)).alias("chars"))
 
 
-@query("tx02_largest_noscript_all", "SELECT doc_id, greatest(length(text), 3)::INT AS chars FROM documents WHERE text IS NOT NULL")
+@query("tx02_largest_noscript", "SELECT doc_id, greatest(length(text), 3)::INT AS chars FROM documents WHERE text IS NOT NULL")
 def largest_noscript_all(s, d):
     """Every text, escaped in the page and read again."""
     html = F.concat(F.lit("<noscript>abc</noscript><noscript>"), X.escaped(c("text")), F.lit("</noscript>"))
@@ -98,20 +93,12 @@ query("tx23_generated")(lambda s, d: docs(s, d).select("doc_id", X.generated(c("
 query("tx24_machine_fact", r"SELECT DISTINCT url AS text, regexp_matches(url, '(?i)^https?://\S+$') AS fact FROM sources WHERE url IS NOT NULL")(lambda s, d: t(s, d, "sources").where("url IS NOT NULL").select(c("url").alias("text"), X.machine_fact(c("url")).alias("fact")).distinct())
 
 
-@query("tx25_mask_and_fill", "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL AND NOT contains(text, '#') AND NOT contains(text, '@')")
-def mask_and_fill(s, d):
-    """Filling a mask with what was taken out gives the text back."""
-    x = docs(s, d).where("NOT contains(text, '#') AND NOT contains(text, '@')")
-    return x.select("doc_id", (X.fill(X.mask(c("text")), X.masked_values(c("text"))) == c("text")).alias("same"))
 
 
-query("tx25_fill_all", "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", (X.fill(X.mask(c("text")), X.masked_values(c("text"))) == c("text")).alias("same")))
-query("tx25_mask", "SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS mask FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(lower(text), 'day|january|february|march|april|may|june|july|august|september|october|november|december|maio|junho|julho|agosto|abril|janeiro|outubro|domingo|feira|setembro|novembro|dezembro|fevereiro')")(
-    lambda s, d: docs(s, d).where("NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND NOT lower(text) RLIKE 'day|january|february|march|april|may|june|july|august|september|october|november|december|maio|junho|julho|agosto|abril|janeiro|outubro|domingo|feira|setembro|novembro|dezembro|fevereiro'").select("doc_id", X.mask(c("text")).alias("mask"))
-)
+query("tx25_mask_and_fill", "SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", (X.fill(X.mask(c("text")), X.masked_values(c("text"))) == c("text")).alias("same")))
 #: The month and weekday rule of mask() for SQL, which can't look around: one pass takes every other of adjacent ones, the second the rest.
 SQL_MONTH_DAY = f"'(?i)(^|[^\\pL\\pM_])(?:{X.MONTHS_DAYS})([^\\pL\\pM_]|$)', '\\1@\\2', 'g'"
-query("tx25_mask_all", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {SQL_MONTH_DAY}), {SQL_MONTH_DAY}), '[0-9]+', '#', 'g') AS mask FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", X.mask(c("text")).alias("mask")))
+query("tx25_mask", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, {SQL_MONTH_DAY}), {SQL_MONTH_DAY}), '[0-9]+', '#', 'g') AS mask FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", X.mask(c("text")).alias("mask")))
 query("tx26_quotes", "SELECT doc_id, regexp_replace(text, '«[^»]*»', '¤', 'g') AS mask, len(regexp_extract_all(text, '«[^»]*»'))::INT AS quotes FROM documents WHERE text IS NOT NULL")(lambda s, d: docs(s, d).select("doc_id", F.regexp_replace("text", "«[^»]*»", "¤").alias("mask"), F.regexp_count("text", F.lit("«[^»]*»")).alias("quotes")))
 query("tx27_looks_portuguese")(lambda s, d: docs(s, d).select("doc_id", X.looks_portuguese(c("text")).alias("portuguese")))
 query("tx28_comment_language")(lambda s, d: docs(s, d).select("doc_id", X.comment_is_portuguese(c("text")).alias("portuguese")))
