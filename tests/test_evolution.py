@@ -191,3 +191,18 @@ def test_every_kind_of_change_with_old_and_new_values(spark, tmp_path):
     run = lambda n: {tuple(r) for r in catalogue.QUERIES[n](spark, str(tmp_path)).collect()}
     assert run("ev01_snapshot_diff") == {(B, "added", 1), (B, "removed", 1), (B, "role", 1), (B, "org", 1), (B, "name", 1), (C, "added", 1), (C, "removed", 1), (C, "org", 1)}
     assert run("ev01_changed_values") == {(B, "a", "role", "x", "y"), (B, "a", "org", None, "o"), (B, "d", "name", "n", "m"), (C, "c", "org", "o", None)}
+
+
+@pytest.mark.parametrize("most", [10_000, 6])
+def test_mentions_against_counting(spark, most):
+    """Also with several automata; occurrences of one phrase don't overlap, nulls and empty phrases are nowhere."""
+    from tidemark.operators.phrases import mentions
+
+    rng = random.Random(3)
+    texts = [(i, "".join(rng.choice("aab c") for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(99, None)]
+    phrases = [("x", "aa"), ("y", "ab"), ("z", "aa"), ("w", "b c"), ("v", ""), ("u", None), (None, "a"), ("t", "aabaa")]
+    df, ph = spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame(phrases, "name string, phrase string")
+    got = {tuple(r) for r in mentions(df, ph, most).collect()}
+    assert got == {(k, n, x.count(p)) for k, x in texts if x for n, p in phrases if n and p and x.count(p)}
+    words = spark.createDataFrame([(1, "an aa, xaa aax aa")], "key int, text string")
+    assert {tuple(r) for r in mentions(words, ph, whole_words=True).collect()} == {(1, "x", 2), (1, "z", 2)}

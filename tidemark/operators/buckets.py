@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import new_path
 
 #: Buckets of a table by default; a large one takes so many that a bucket fits a few tasks.
 BUCKETS = 16
@@ -37,7 +36,7 @@ class Bucketed:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def _written(self, rows: DataFrame) -> dict[int, str]:
-        path = f"{shared_dir(self.spark)}/tidemark/{self.name}-{uuid.uuid4().hex}"
+        path = new_path(self.spark, self.name)
         names = self.spark.createDataFrame([], self.schema).columns
         rows.select(*names, self.bucket().alias("bucket")).hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
         found = self.spark.read.schema(self.schema + ", bucket int").parquet(path).select("bucket").distinct().collect()

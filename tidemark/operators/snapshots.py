@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.captures import Captures, captures, latest_rows
-from tidemark.session import shared_dir
+from tidemark.session import new_path
 
 
 #: Keys looked at to cut the key space into ranges; they are drawn by hash.
@@ -105,7 +104,7 @@ class KeptSnapshots:
 
     def add(self, rows: DataFrame) -> tuple[KeptSnapshots, DataFrame]:
         """Keep the next delivery, (key, values...) with one row per key; and its (key, change) against the one before."""
-        path = f"{shared_dir(self.spark)}/tidemark/snapshot-{uuid.uuid4().hex}"
+        path = new_path(self.spark, "snapshot")
         cut = rows.where("key IS NOT NULL").select("key", *self.values, self._range().alias("range"))
         cut.repartition("range").sortWithinPartitions("range", "key").write.option("compression", "zstd").partitionBy("range").parquet(path)
         kept = replace(self, paths=(*self.paths, path))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import snapshots as S
 from tidemark.operators.captures import captures, latest_rows
+from tidemark.operators.phrases import mentions
 from tidemark.operators.skew import salted_join
 from tidemark.plans.common import GRAPH, N, edges, nodes
 from tidemark.plans.evolution import WINNERS
@@ -90,10 +91,8 @@ def grounding(s, d):
 
 @query("ev08_stage_names", f"WITH {N} SELECT DISTINCT s.id, st.label AS stage FROM (SELECT DISTINCT id, frozen FROM sources WHERE frozen IS NOT NULL) s JOIN (SELECT DISTINCT label FROM n WHERE type = 'Stage') st ON contains(s.frozen, st.label)")
 def stage_names(s, d):
-    """Stages are a handful of nodes; more than that many are joined without a broadcast hint."""
-    st = nodes(s, d).where("type = 'Stage'").select(c("label").alias("stage")).distinct()
-    pages = t(s, d, "sources").where("frozen IS NOT NULL").select("id", "frozen")
-    return pages.join(st, F.contains("frozen", "stage")).select("id", "stage").distinct()
+    pages_ = t(s, d, "sources").where("frozen IS NOT NULL").select(c("id").alias("key"), c("frozen").alias("text"))
+    return mentions(pages_, nodes(s, d).where("type = 'Stage'").select(c("label").alias("name"), c("label").alias("phrase"))).select(c("key").alias("id"), c("name").alias("stage")).distinct()
 
 
 ACTIVITY = """SELECT 'topic' AS kind, person AS agent, topic AS about, source AS pointer FROM person_topics UNION ALL SELECT 'tag', person, coalesce(tag, matched), source FROM person_tags
@@ -223,5 +222,8 @@ def todo(s, d):
     order = [F.desc("n"), F.length("matched"), "matched"]
     first = m.orderBy(*order).limit(BUDGET)
     return first.withColumn("used", F.sum(F.length("matched")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(c("used") <= BUDGET).select("matched", "n")
-query("ev23_blockers", "SELECT DISTINCT d.doc_id, l.id AS name FROM documents d JOIN lexicon l ON regexp_matches(d.text, '(^|[^A-Za-z])' || l.label || '([^A-Za-z]|$)')")(lambda s, d: t(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text").crossJoin(F.broadcast(t(s, d, "lexicon").select(c("id").alias("name"), "label", F.concat(F.lit("(^|[^A-Za-z])"), "label", F.lit("([^A-Za-z]|$)")).alias("p")))).where(F.contains("text", "label")).where(F.regexp_like("text", c("p"))).select("doc_id", "name").distinct())
+@query("ev23_blockers", "SELECT DISTINCT d.doc_id, l.id AS name FROM documents d JOIN lexicon l ON regexp_matches(d.text, '(^|[^A-Za-z])' || l.label || '([^A-Za-z]|$)')")
+def blockers(s, d):
+    texts = t(s, d, "documents").select(c("doc_id").alias("key"), "text")
+    return mentions(texts, t(s, d, "lexicon").select(c("id").alias("name"), c("label").alias("phrase")), whole_words=True).select(c("key").alias("doc_id"), "name").distinct()
 query("ev24_overlap", "SELECT person FROM (SELECT person FROM person_topics INTERSECT SELECT person FROM person_tags) WHERE NOT regexp_matches(person, '-[0-9]+$')")(lambda s, d: t(s, d, "person_topics").select("person").intersect(t(s, d, "person_tags").select("person")).where("NOT person RLIKE '-[0-9]+$'"))

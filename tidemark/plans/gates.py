@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.gates import Gate, run
+from tidemark.operators.phrases import mentions
 from tidemark.plans.common import GRAPH, N, V, edges, nodes
 from tidemark.plans.registry import query
 from tidemark.operators import graph as G
@@ -110,10 +111,10 @@ simple("gt12_write_scope", "a page lies in an allowed folder", "sources", "NOT p
 
 @gate("gt13_quarantine", "the title of an excluded page stands on no reading page", "WITH x AS (SELECT DISTINCT id, substr(string_split(frozen, chr(10))[1], 1, 60) AS title FROM sources WHERE state = 'excluded' AND frozen IS NOT NULL AND length(string_split(frozen, chr(10))[1]) >= 30) SELECT DISTINCT x.id AS subject, CAST(d.doc_id AS VARCHAR) AS detail FROM x JOIN documents d ON contains(d.text, x.title)")
 def quarantine(s, d):
-    """Titles of excluded pages; joined on containment, so the few titles are the small side of the loop join."""
+    """Titles of excluded pages, however many, are looked for in one scan of the texts."""
     first = F.element_at(F.split("frozen", "\n"), 1)
-    x = t(s, d, "sources").where("state = 'excluded' AND frozen IS NOT NULL").select("id", F.substring(first, 1, 60).alias("title"), F.length(first).alias("n")).where("n >= 30").select("id", "title").distinct()
-    return rows(t(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text").join(x, F.contains("text", "title")), c("id"), c("doc_id")).distinct()
+    x = t(s, d, "sources").where("state = 'excluded' AND frozen IS NOT NULL").select(c("id").alias("name"), F.substring(first, 1, 60).alias("phrase"), F.length(first).alias("n")).where("n >= 30").select("name", "phrase").distinct()
+    return rows(mentions(t(s, d, "documents").select(c("doc_id").alias("key"), "text"), x), c("name"), c("key")).distinct()
 
 
 simple("gt14_notice", "a text that names the list links its page", "documents", "contains(text, 'lista de oradores') AND NOT contains(text, 'http')", "contains(text, 'lista de oradores') AND NOT contains(text, 'http')", "doc_id", "kind")

@@ -208,7 +208,7 @@ def conn_buy(spark, d):
     o = offers(spark, d).where("service IS NOT NULL")
     by = o.groupBy("service").agg(_listed("org").alias("providers"))
     f = founder_led(spark, d)
-    lacking = f.crossJoin(F.broadcast(o.select("service").distinct())).join(o, ["org", "service"], "left_anti")
+    lacking = f.crossJoin(o.select("service").distinct()).join(o, ["org", "service"], "left_anti")
     from pyspark.sql import Window
 
     first = lacking.withColumn("k", F.row_number().over(Window.partitionBy("service").orderBy("org"))).where("k <= 12").groupBy("service").agg(_listed("org").alias("for_example"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph as G
+from tidemark.operators.phrases import mentions
 from tidemark.operators.skew import salted_join
 from tidemark.plans.common import E, GRAPH, N, V, edges, nodes
 from tidemark.plans.registry import query
@@ -101,7 +102,7 @@ query("jn07_not_in", "SELECT DISTINCT id FROM people WHERE org NOT IN (SELECT na
 def correlated_not_in(s, d):
     """Every (region, nation) without a supplier, as a product of two fixed lists and an anti-join."""
     have = t(s, d, "supplier").join(t(s, d, "nation"), c("s_nationkey") == c("n_nationkey")).select(c("n_regionkey").alias("r_regionkey"), "n_nationkey").distinct()
-    return t(s, d, "region").crossJoin(F.broadcast(t(s, d, "nation"))).join(have, ["r_regionkey", "n_nationkey"], "left_anti").select("r_name", "n_name")
+    return t(s, d, "region").crossJoin(t(s, d, "nation")).join(have, ["r_regionkey", "n_nationkey"], "left_anti").select("r_name", "n_name")
 
 
 query("jn09_scalar_subquery", "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer")(lambda s, d: t(s, d, "customer").select("c_custkey").join(t(s, d, "orders").groupBy(c("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top")), "c_custkey", "left"))
@@ -130,16 +131,15 @@ def lexicon_join(s, d):
     """Every distinct text against every pattern; the patterns are a fixed list of a few dozen."""
     lex = t(s, d, "lexicon").select(c("id").alias("tag"), F.lower(F.replace(F.replace("pattern", F.lit("\\b"), F.lit("")), F.lit("\\w"), F.lit("[a-z]"))).alias("p"))
     m = t(s, d, "person_tags").where("matched IS NOT NULL").select("matched").distinct()
-    return m.crossJoin(F.broadcast(lex)).where(F.regexp_like(F.lower("matched"), c("p"))).select("matched", "tag")
+    return m.crossJoin(lex).where(F.regexp_like(F.lower("matched"), c("p"))).select("matched", "tag")
 
 
 @query("jn16_substring", "SELECT l.id AS tag, sum((length(lower(d.text)) - length(replace(lower(d.text), lower(l.label), ''))) // length(l.label))::BIGINT AS occurrences, count(*) AS docs FROM lexicon l JOIN documents d ON contains(lower(d.text), lower(l.label)) GROUP BY l.id")
 def substring_join(s, d):
-    lex = t(s, d, "lexicon").select(c("id").alias("tag"), F.lower("label").alias("w"))
-    docs = t(s, d, "documents").where("text IS NOT NULL").select(F.lower("text").alias("x"))
-    hits = docs.crossJoin(F.broadcast(lex)).where(F.contains("x", "w"))
-    n = ((F.length("x") - F.length(F.replace("x", "w", F.lit("")))) / F.length("w")).cast("bigint")
-    return hits.groupBy("tag").agg(F.sum(n).alias("occurrences"), F.count("*").alias("docs"))
+    """All labels in one automaton, so the texts are scanned once whatever their number."""
+    texts = t(s, d, "documents").select(c("doc_id").alias("key"), F.lower("text").alias("text"))
+    found = mentions(texts, t(s, d, "lexicon").select(c("id").alias("name"), F.lower("label").alias("phrase")))
+    return found.groupBy(c("name").alias("tag")).agg(F.sum("n").alias("occurrences"), F.count("*").alias("docs"))
 
 
 @query("jn17_full_outer", "SELECT coalesce(a.id, b.person) AS id, CASE WHEN a.id IS NULL THEN 'tags only' WHEN b.person IS NULL THEN 'people only' ELSE 'both' END AS side FROM (SELECT DISTINCT id FROM people WHERE id IS NOT NULL) a FULL JOIN (SELECT DISTINCT person FROM person_tags WHERE person IS NOT NULL) b ON a.id = b.person")

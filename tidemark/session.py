@@ -27,25 +27,54 @@ def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Only a local session, as in tests, may do without: it gets a temporary
+    folder. On a cluster a missing setting is an error, as every executor would
+    write to a disk of its own.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             set_dir = known.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             set_dir = tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(set_dir)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return set_dir.rstrip("/")
 
 
+#: Tables written by this process that clean() removes.
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the tables this process wrote to the shared folder; frames that read them can't be used any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hadoop).delete(p, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage with columnar, compressed files that survive the loss of
     any executor, and lets several consumers share one computation.
     """
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -186,7 +186,7 @@ def robots_allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, allowed): the longest matching rule wins, Allow wins ties, no rule allows; '*' and '$' as in robots files."""
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("rule", r"([.+?^(){}|\[\]\\])", r"\\$1"), r"\*", ".*"))
     r = rules.select("rule", "allow", pattern.alias("p"))
-    hit = paths.crossJoin(F.broadcast(r)).where(F.regexp_like("path", F.col("p")))
+    hit = paths.crossJoin(r).where(F.regexp_like("path", F.col("p")))
     best = hit.groupBy("path").agg(F.max(F.struct(F.length("rule").alias("n"), "allow")).alias("b"))
     return paths.join(best, "path", "left").select("path", F.coalesce("b.allow", F.lit(True)).alias("allowed"))
 
