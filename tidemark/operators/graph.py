@@ -186,3 +186,41 @@ def read_n_triples(spark: SparkSession, path: str) -> DataFrame:
     for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return x.select(g(1).alias("s"), g(2).alias("p"), F.coalesce(g(3), text).alias("o_value"), F.when(g(3).isNotNull(), "iri").otherwise("literal").alias("o_kind"), g(5).alias("o_lang"), g(6).alias("o_datatype"))
+
+
+class View:
+    """What a reader of the graph asks for: a node, edges, a part of the graph, a search, the neighbours."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.nodes, self.edges = nodes, edges
+
+    def get_node(self, ident: str) -> DataFrame:
+        return self.nodes.where(F.col("id") == ident)
+
+    def get_edges(self, ident: str | None = None, verb: str | None = None, target: str | None = None) -> DataFrame:
+        """Edges at either end of a node, of a verb, to a target; all of them without conditions."""
+        out = self.edges
+        if ident is not None:
+            out = out.where((F.col("source") == ident) | (F.col("target") == ident))
+        if verb is not None:
+            out = out.where(F.col("verb") == verb)
+        return out if target is None else out.where(F.col("target") == target)
+
+    def get_graph(self, type: str | None = None, pack: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The nodes of a type and pack, and the edges between them."""
+        n = self.nodes
+        n = n if type is None else n.where(F.col("type") == type)
+        n = n if pack is None else n.where(F.col("pack") == pack)
+        e = self.edges
+        for end in ("source", "target"):
+            e = e.join(n.select(F.col("id").alias(end)), end, "left_semi")
+        return n, e
+
+    def search(self, text: str) -> DataFrame:
+        """Nodes with the text in label, role or organisation, whatever the case."""
+        return self.nodes.where(F.contains(F.lower(F.concat_ws(" ", "label", "role", "org")), F.lit(text.lower())))
+
+    def explore(self, ident: str) -> DataFrame:
+        """(id, label, type, verb) of the neighbours of a node."""
+        near = both_ways(self.edges).where(F.col("id") == ident).select(F.col("other").alias("id"), "verb")
+        return near.join(self.nodes.select("id", "label", "type"), "id").select("id", "label", "type", "verb")

@@ -254,8 +254,8 @@ gate("gi06_anchors", "a node's page is a frozen page", f"WITH {N} SELECT id AS s
     lambda s, d: rows(nodes(s, d).where("page IS NOT NULL").select("id", "page").join(t(s, d, "people").select("page").union(t(s, d, "sources").select("url")).where("page IS NOT NULL").distinct(), "page", "left_anti"), c("id"), c("page"))
 )
 POSTURE = ["privac|política de privacidade", "(?i)rights reserved|direitos reservados", "(?i)masthead|ficha técnica"]
-gate("gi07_posture", "every piece carries the three statements", "SELECT DISTINCT s.id AS subject, p.p AS detail FROM sources s, (VALUES " + ", ".join(f"('{x}')" for x in POSTURE) + ") p(p) WHERE s.state = 'primary' AND length(s.frozen) > 400 AND NOT regexp_matches(s.frozen, p.p)")(
-    lambda s, d: rows(t(s, d, "sources").where("state = 'primary' AND length(frozen) > 400").select("id", "frozen", F.explode(F.array(*map(F.lit, POSTURE))).alias("p")).where(~F.regexp_like("frozen", c("p"))), c("id"), c("p")).distinct()
+gate("gi07_posture", "every piece carries the three statements", "SELECT DISTINCT s.id AS subject, p.p AS detail FROM sources s, (VALUES " + ", ".join(f"('{x}')" for x in POSTURE) + ") p(p) WHERE s.state = 'primary' AND s.frozen IS NOT NULL AND NOT regexp_matches(s.frozen, p.p)")(
+    lambda s, d: rows(t(s, d, "sources").where("state = 'primary' AND frozen IS NOT NULL").select("id", "frozen", F.explode(F.array(*map(F.lit, POSTURE))).alias("p")).where(~F.regexp_like("frozen", c("p"))), c("id"), c("p")).distinct()
 )
 
 
@@ -269,14 +269,14 @@ def resolved(number, says, verb, end):
 resolved("gi09_cites", "an attestation cites a registered source", "attested_by", "target")
 resolved("gi14_stage", "a session's stage is declared", "on_stage", "target")
 simple("gi11_contacts", "no contact details in topics", "person_topics", "topic RLIKE '@|[0-9]{9}'", "regexp_matches(topic, '@|[0-9]{9}')", "person", "topic")
-simple("gi12_notice", "a page of a person carries the privacy notice", "sources", "page LIKE 'speakers/%' AND length(frozen) > 200 AND NOT frozen RLIKE '(?i)privac'", "page LIKE 'speakers/%' AND length(frozen) > 200 AND NOT regexp_matches(frozen, '(?i)privac')", "id", "page")
+simple("gi12_notice", "a page of a person carries the privacy notice", "sources", "page LIKE 'speakers/%' AND frozen IS NOT NULL AND NOT frozen RLIKE '(?i)privac'", "page LIKE 'speakers/%' AND frozen IS NOT NULL AND NOT regexp_matches(frozen, '(?i)privac')", "id", "page")
 gate("gi13_listed_or_marked", "a person is in the last list or marked", f"WITH {N}, l AS (SELECT DISTINCT 'person:' || id AS id FROM people WHERE snapshot = (SELECT max(snapshot) FROM people) AND id IS NOT NULL) SELECT id AS subject, 'unmarked' AS detail FROM n WHERE type = 'Person' AND coalesce(no_longer_listed, 0) <> 1 AND id NOT IN (SELECT id FROM l)")(
     lambda s, d: rows(nodes(s, d).where("type = 'Person' AND coalesce(no_longer_listed, 0) <> 1").join(t(s, d, "people").where("id IS NOT NULL").groupBy(F.concat(F.lit("person:"), "id").alias("id")).agg(F.max("snapshot").alias("m")).join(t(s, d, "people").agg(F.max("snapshot").alias("m")), "m", "left_semi").select("id"), "id", "left_anti"), c("id"), F.lit("unmarked"))
 )
 gate("gi15_excluded", "no source is excluded and registered", "SELECT id AS subject, 'both' AS detail FROM sources GROUP BY id HAVING count(*) FILTER (state = 'excluded') > 0 AND count(*) FILTER (state <> 'excluded') > 0")(lambda s, d: rows(t(s, d, "sources").groupBy("id").agg(F.count_if(c("state") == "excluded").alias("a"), F.count_if(c("state") != "excluded").alias("b")).where("a > 0 AND b > 0"), c("id"), F.lit("both")))
 missing("dq_unregistered_orgs", "stored connections name known organisations", "people", "org", "orgs", "name")
 simple("gv02_links", "a page's address ends in its page", "sources", "url IS NOT NULL AND NOT endswith(url, page)", "url IS NOT NULL AND NOT ends_with(url, page)", "id", "url")
-simple("dq_pages_without_house", "every piece carries the house's line", "sources", "length(frozen) > 1200 AND publisher IS NOT NULL AND NOT contains(frozen, publisher)", "length(frozen) > 1200 AND publisher IS NOT NULL AND NOT contains(frozen, publisher)", "id", "publisher")
+simple("dq_pages_without_house", "every piece carries the house's line", "sources", "frozen IS NOT NULL AND publisher IS NOT NULL AND NOT contains(frozen, publisher)", "frozen IS NOT NULL AND publisher IS NOT NULL AND NOT contains(frozen, publisher)", "id", "publisher")
 simple("gv09_watch_list", "no literal of the watch list", "documents", "contains(text, 'REDACTED')", "contains(text, 'REDACTED')", "doc_id", "kind")
 simple("dq_build_folders", "no page lies in a build folder", "sources", "page LIKE 'build/%' OR page LIKE '.%'", "page LIKE 'build/%' OR page LIKE '.%'", "id", "page")
 

@@ -348,10 +348,25 @@ def event_neighbours(spark, d):
     return near.join(nodes(spark, d).select("id", "type"), "id").where("type NOT IN ('Source', 'Snapshot')").orderBy("id").limit(8)
 
 
-@query("gr23_explore", f"WITH {GRAPH} SELECT n.id, n.label, n.type, e.verb FROM e JOIN n ON n.id = e.target WHERE e.source = 'session:00000q' UNION ALL SELECT n.id, n.label, n.type, e.verb FROM e JOIN n ON n.id = e.source WHERE e.target = 'session:00000q'")
+@query("gr23_explore", f"WITH {GRAPH} SELECT n.id, n.label, n.type, e.verb FROM e JOIN n ON n.id = e.target WHERE e.source = '{EVENT}' UNION ALL SELECT n.id, n.label, n.type, e.verb FROM e JOIN n ON n.id = e.source WHERE e.target = '{EVENT}' AND e.source <> e.target")
 def explore(spark, d):
-    near = G.both_ways(edges(spark, d)).where("id = 'session:00000q'").select(F.col("other").alias("id"), "verb")
-    return near.join(nodes(spark, d).select("id", "label", "type"), "id").select("id", "label", "type", "verb")
+    return G.View(nodes(spark, d), edges(spark, d)).explore(EVENT)
+
+
+@query("gr23_search", f"WITH {GRAPH} SELECT id, type, label FROM n WHERE contains(lower(concat_ws(' ', label, role, org)), 'ventures')")
+def search(spark, d):
+    return G.View(nodes(spark, d), edges(spark, d)).search("Ventures").select("id", "type", "label")
+
+
+@query("gr23_get_edges", f"WITH {GRAPH} SELECT id, verb, source, target FROM e WHERE (source = '{EVENT}' OR target = '{EVENT}') AND verb = 'speaks_at'")
+def get_edges(spark, d):
+    return G.View(nodes(spark, d), edges(spark, d)).get_edges(EVENT, verb="speaks_at").select("id", "verb", "source", "target")
+
+
+@query("gr23_get_graph", f"WITH {GRAPH}, p AS (SELECT id FROM n WHERE pack = 'people') SELECT e.id FROM e WHERE source IN (SELECT id FROM p) AND target IN (SELECT id FROM p) UNION ALL SELECT id FROM p")
+def get_graph(spark, d):
+    n, e = G.View(nodes(spark, d), edges(spark, d)).get_graph(pack="people")
+    return e.select("id").unionByName(n.select("id"))
 
 
 @query("gr24_triples", f"WITH {T} SELECT s, p, o_value, o_kind, o_lang, o_datatype FROM t")
@@ -361,15 +376,18 @@ def all_triples(spark, d):
 
 @query(
     "gr25_one_path",
-    f"""WITH {GRAPH}, s AS (SELECT id, label FROM n WHERE type = 'Session' AND kind = 'talk' ORDER BY id LIMIT 1)
-SELECT s.label || ' is part of ' || ev.label || coalesce(', on ' || st.label, '') AS sentence FROM s JOIN e e1 ON e1.source = s.id AND e1.verb = 'part_of' JOIN n ev ON ev.id = e1.target LEFT JOIN e e2 ON e2.source = s.id AND e2.verb = 'on_stage' LEFT JOIN n st ON st.id = e2.target ORDER BY sentence LIMIT 1""",
+    f"""WITH {GRAPH}, s AS (SELECT id, label FROM n WHERE type = 'Session' AND url IS NOT NULL AND label IS NOT NULL ORDER BY id LIMIT 1),
+p AS (SELECT s.label || ' is part of ' || ev.label || coalesce(', on ' || st.label, '') AS sentence FROM s JOIN e e1 ON e1.source = s.id AND e1.verb = 'part_of' JOIN n ev ON ev.id = e1.target LEFT JOIN e e2 ON e2.source = s.id AND e2.verb = 'on_stage' LEFT JOIN n st ON st.id = e2.target)
+SELECT coalesce(min(sentence), 'No session has a page yet') AS sentence FROM p""",
 )
 def one_path(spark, d):
+    """The first session with a page, its event and its stage as a sentence; a fixed one where a leg is missing."""
     n, e = nodes(spark, d), edges(spark, d)
-    s = n.where("type = 'Session' AND kind = 'talk'").orderBy("id").limit(1).select("id", F.col("label").alias("s"))
+    s = n.where("type = 'Session' AND url IS NOT NULL AND label IS NOT NULL").orderBy("id").limit(1).select("id", F.col("label").alias("s"))
     hop = lambda verb, name: e.where(F.col("verb") == verb).select(F.col("source").alias("id"), F.col("target").alias("t")).join(n.select(F.col("id").alias("t"), F.col("label").alias(name)), "t").drop("t")
     rows = s.join(hop("part_of", "ev"), "id").join(hop("on_stage", "st"), "id", "left")
-    return rows.select(F.concat("s", F.lit(" is part of "), "ev", F.coalesce(F.concat(F.lit(", on "), "st"), F.lit(""))).alias("sentence")).orderBy("sentence").limit(1)
+    told = F.concat("s", F.lit(" is part of "), "ev", F.coalesce(F.concat(F.lit(", on "), "st"), F.lit("")))
+    return rows.agg(F.coalesce(F.min(told), F.lit("No session has a page yet")).alias("sentence"))
 
 
 @query("snk02_n_triples")

@@ -66,9 +66,10 @@ query("tx09_level")(lambda s, d: docs(s, d).select("doc_id", X.level(c("text")).
 @query("tx10_locate_excerpt")
 def locate(s, d):
     """The middle of every text looked up in the text itself (exact) and with its middle word gone (fragments)."""
-    x = docs(s, d).where("length(text) > 200").select("doc_id", X.level(c("text")).alias("text"))
-    whole = F.substring("text", 20, 150)
-    cut = F.concat(F.substring("text", 20, 60), F.substring("text", 90, 60))
+    x = docs(s, d).select("doc_id", X.level(c("text")).alias("text"))
+    n = F.length("text")
+    part = lambda a, b: F.substring("text", (n * a).cast("int") + 1, (n * b).cast("int"))
+    whole, cut = part(0.1, 0.8), F.concat(part(0.1, 0.35), part(0.55, 0.35))
     return x.select("doc_id", X.located(whole, c("text")).alias("a"), X.located(cut, c("text")).alias("b")).select("doc_id", c("a.kind").alias("whole"), c("b.kind").alias("cut"), c("b.pieces").alias("pieces"))
 
 
