@@ -15,6 +15,9 @@ FOUNDERS = "Founding or operating"
 GROUND_KINDS = ["Setor", "Tecnologia", "Ideia"]
 SERVICE = "Servico"
 HELPING = ["incubation", "mentoring", "due-diligence"]
+#: So many organisations with the longest lists give the bound of conn_talk; things of more than BLOCK organisations are cut into blocks.
+SEEDS = 200
+BLOCK = 4000
 
 
 @query("sql_speakers_by_class", f"WITH {N} SELECT role_class, count(*) AS speakers FROM n WHERE type = 'Person' GROUP BY role_class")
@@ -176,18 +179,42 @@ def best(counts, most: int):
     return counts.where(F.col("shared") >= (least or 0))
 
 
+def talk_bound(g, sizes, most: int) -> int:
+    """A number the best `most` pairs reach at least: that of the last of `most` pairs among SEEDS organisations with long lists."""
+    some = g.join(sizes.orderBy(F.desc("n"), "org").limit(SEEDS).select("org"), "org", "left_semi")
+    met = some.alias("a").join(some.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.org") < F.col("b.org")))
+    shared = met.groupBy("a.org", "b.org").agg(F.count("*").alias("shared")).where("shared >= 3")
+    least, n = shared.orderBy(F.desc("shared")).limit(most).agg(F.min("shared"), F.count("*")).first()
+    return least if n == most else 3
+
+
+def talk_pairs(lists, least: int):
+    """(org_a, org_b, ws) of all pairs with at least `least` things in common, of lists (org, ws) sorted alike.
+
+    The first thing two such lists share has least - 1 behind it in both, so
+    organisations need to meet only on the things in front of their last
+    least - 1, and a pair is taken at the first thing it shares. No pair is
+    shuffled. Things with more than BLOCK organisations meet in pairs of blocks.
+    """
+    front = lists.select("org", "ws", F.explode(F.slice("ws", F.lit(1), F.size("ws") - F.lit(least - 1))).alias("w"))
+    parts = front.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    rows = front.join(parts, "w").withColumn("b", F.pmod(F.xxhash64("org"), F.col("k")).cast("int"))
+    left = rows.select("w", F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), F.col("k") - 1)).alias("y"), F.col("org").alias("p"), F.col("ws").alias("ps"))
+    right = rows.select("w", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.col("org").alias("q"), F.col("ws").alias("qs"))
+    met = left.join(right, ["w", "x", "y"]).where("x < y OR p < q").select("w", "p", "q", F.array_intersect("ps", "qs").alias("ws"))
+    return met.where((F.size("ws") >= least) & (F.get("ws", F.lit(0)) == F.col("w"))).select(F.least("p", "q").alias("org_a"), F.greatest("p", "q").alias("org_b"), "ws")
+
+
 def conn_talk(spark, d):
-    """Pairs are counted on numbers; names and lists are joined to the candidates of the report only."""
-    g = as_table(ground(spark, d).where("what IS NOT NULL"), "ground")
-    org = numbered(g.groupBy("org").count().where("count >= 3"), "org", "o")  # fewer can't share three
-    text = F.concat("kind", F.lit(":"), "what").alias("t")
-    what = numbered(g.select(text), "t", "w")
-    rows = as_table(g.select("org", text).join(org, "org").join(what, "t").select("o", "w"), "ground")
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.o") < F.col("b.o")))
-    counts = as_table(pairs.groupBy(F.col("a.o").alias("x"), F.col("b.o").alias("y")).agg(F.count("*").alias("shared")).where("shared >= 3"), "talk")
-    named = best(counts, 40).join(org.select(F.col("o").alias("x"), F.col("org").alias("p")), "x").join(org.select(F.col("o").alias("y"), F.col("org").alias("q")), "y")
-    top = named.select("x", "y", F.least("p", "q").alias("org_a"), F.greatest("p", "q").alias("org_b"), "shared").orderBy(F.desc("shared"), "org_a", "org_b").limit(40)
-    both = top.join(rows.select(F.col("o").alias("x"), "w"), "x").join(rows.select(F.col("o").alias("y"), "w"), ["y", "w"]).join(what, "w")
+    """Pairs among the longest lists bound the report from below; only organisations whose lists reach that bound meet at all."""
+    g = as_table(ground(spark, d).where("what IS NOT NULL").select("org", F.concat("kind", F.lit(":"), "what").alias("t")), "ground")
+    sizes = g.groupBy("org").agg(F.count("*").alias("n"))
+    least = talk_bound(g, sizes, 40)
+    rows = as_table(g.join(sizes.where(F.col("n") >= least).select("org"), "org", "left_semi"), "talk-rows")
+    what = as_table(rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").orderBy("n", "t").select("t", F.monotonically_increasing_id().alias("w")), "numbers")  # rare things first
+    lists = as_table(rows.join(what, "t").groupBy("org").agg(F.sort_array(F.collect_list("w")).alias("ws")).where(F.size("ws") >= least), "talk-lists")
+    top = talk_pairs(lists, least).withColumn("shared", F.size("ws").cast("long")).orderBy(F.desc("shared"), "org_a", "org_b").limit(40)
+    both = top.select("org_a", "org_b", "shared", F.explode("ws").alias("w")).join(what, "w")
     return both.groupBy("org_a", "org_b", "shared").agg(_listed("t").alias("on_what")).orderBy(F.desc("shared"), "org_a", "org_b")
 
 
