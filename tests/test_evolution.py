@@ -161,6 +161,22 @@ def test_counts_after_each_increment(spark):
     assert last == {tuple(r) for r in O.counts(O.orphans(e, n, s, 1)).collect()} and {r.increment for r in over} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("name", ["p4_found", "p4_counts"])
+def test_the_queries_of_orphans_work_on_a_kept_state(spark, monkeypatch, name):
+    """Later increments meet references that wait and settled ones; the first meets none."""
+    from tidemark.plans import catalogue
+
+    met, step = [], O.step
+
+    def watched(state, *new):
+        met.append((state.pending.read().count(), state.settled.read().count()))
+        return step(state, *new)
+
+    monkeypatch.setattr(O, "step", watched)
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert met[0] == (0, 0) and len(met) > 1 and all(min(m) > 0 for m in met[1:])
+
+
 def test_kept_snapshots_merge_the_newest_pair(spark):
     rng = random.Random(4)
     rows = [(f"k{k}", o, rng.choice(["x", "y", None])) for o in range(5) for k in range(200) if rng.random() < 0.8]

@@ -67,7 +67,7 @@ def p4_found(spark, d):
 
 @query("p4_counts", f"WITH {ORPHANS} SELECT tbl, strftime(ts, '%Y-%m') AS month, reason, count(*) AS n FROM cases WHERE reason <> 'ok' GROUP BY ALL")
 def p4_counts(spark, d):
-    return O.counts(O.orphans(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "sources"), increments=1))
+    return O.counts(O.orphans(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "sources")))
 
 
 @query(
