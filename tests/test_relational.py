@@ -57,3 +57,21 @@ def test_pairs_that_cannot_be_among_the_best_are_not_written(spark, tmp_path, na
     before = set(session._written)
     assert check(spark, d, name) == 40
     assert max(spark.read.parquet(p).count() for p in set(session._written) - before) <= held + len(grounds)
+
+
+def shuffled(spark, work):
+    """Records that the stages of `work` write to shuffle files."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    ended = lambda: sc.listenerBus().waitUntilEmpty(30_000) or sc.statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for s in [ended()] for x in map(s.apply, range(s.size()))}
+    before = stages()
+    work()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("name", ["conn_talk", "sql_orgs_should_talk"])
+def test_pairs_are_not_shuffled(spark, tmp_path, name):
+    """1,200 organisations share three things, which is 719,400 pairs; 40 of them share more."""
+    grounds = {f"o{i:04}": ["1", "2", "3"] + [f"more{j}" for j in range(5)] * (i % 30 == 0) for i in range(1200)}
+    d, held = tables(spark, tmp_path, grounds), sum(map(len, grounds.values()))
+    assert shuffled(spark, lambda: check(spark, d, name)) <= 20 * held
