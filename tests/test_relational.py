@@ -75,3 +75,15 @@ def test_pairs_are_not_shuffled(spark, tmp_path, name):
     grounds = {f"o{i:04}": ["1", "2", "3"] + [f"more{j}" for j in range(5)] * (i % 30 == 0) for i in range(1200)}
     d, held = tables(spark, tmp_path, grounds), sum(map(len, grounds.values()))
     assert shuffled(spark, lambda: check(spark, d, name)) <= 20 * held
+
+
+@pytest.mark.parametrize("name", ["conn_talk", "sql_orgs_should_talk"])
+def test_longest_lists_that_share_nothing_do_not_let_all_meet(spark, tmp_path, monkeypatch, name):
+    """The 20 longest lists are of things nobody else has; of the other 400, 20 share twelve things more."""
+    rng, met, pairs = random.Random(7), [], relational.talk_pairs
+    grounds = {f"o{i:03}": [f"t{j}" for j in rng.sample(range(24), 12)] + [f"more{j}" for j in range(12)] * (i % 20 == 0) for i in range(400)}
+    grounds |= {f"alone{i}": [f"own{i}-{j}" for j in range(60)] for i in range(20)}
+    monkeypatch.setattr(relational, "SEEDS", 20)
+    monkeypatch.setattr(relational, "talk_pairs", lambda lists, least: met.extend(n - least + 1 for (n,) in lists.selectExpr("size(ws)").collect()) or pairs(lists, least))
+    assert check(spark, tables(spark, tmp_path, grounds), name) == 40
+    assert len(met) <= 40 and sum(met) <= 400  # organisations that meet, and rows they meet on

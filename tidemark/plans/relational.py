@@ -179,13 +179,24 @@ def best(counts, most: int):
     return counts.where(F.col("shared") >= (least or 0))
 
 
+def last_of(pairs, most: int) -> int:
+    """The least `shared` of the best `most` pairs; 3, as the report asks for, if there are fewer."""
+    least, n = pairs.where("shared >= 3").orderBy(F.desc("shared")).limit(most).agg(F.min("shared"), F.count("*")).first()
+    return least if n == most else 3
+
+
 def talk_bound(g, sizes, most: int) -> int:
     """A number the best `most` pairs reach at least: that of the last of `most` pairs among SEEDS organisations with long lists."""
     some = g.join(sizes.orderBy(F.desc("n"), "org").limit(SEEDS).select("org"), "org", "left_semi")
     met = some.alias("a").join(some.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.org") < F.col("b.org")))
-    shared = met.groupBy("a.org", "b.org").agg(F.count("*").alias("shared")).where("shared >= 3")
-    least, n = shared.orderBy(F.desc("shared")).limit(most).agg(F.min("shared"), F.count("*")).first()
-    return least if n == most else 3
+    return last_of(met.groupBy("a.org", "b.org").agg(F.count("*").alias("shared")), most)
+
+
+def closer_bound(lists, most: int) -> int:
+    """The same over all lists (org, ws), as the longest may share little: each meets those of about its length, SEEDS at a time."""
+    near = as_table(lists.orderBy(F.desc(F.size("ws")), "org").withColumn("near", F.floor(F.monotonically_increasing_id() / SEEDS)), "talk-near")
+    met = near.alias("a").join(near.alias("b"), (F.col("a.near") == F.col("b.near")) & (F.col("a.org") < F.col("b.org")))
+    return last_of(met.select(F.size(F.array_intersect("a.ws", "b.ws")).alias("shared")), most)
 
 
 def talk_pairs(lists, least: int):
@@ -206,13 +217,16 @@ def talk_pairs(lists, least: int):
 
 
 def conn_talk(spark, d):
-    """Pairs among the longest lists bound the report from below; only organisations whose lists reach that bound meet at all."""
+    """Pairs among the longest lists bound the report from below, and pairs of lists of about equal length if that leaves many; only organisations whose lists reach that bound meet at all."""
     g = as_table(ground(spark, d).where("what IS NOT NULL").select("org", F.concat("kind", F.lit(":"), "what").alias("t")), "ground")
     sizes = g.groupBy("org").agg(F.count("*").alias("n"))
     least = talk_bound(g, sizes, 40)
     rows = as_table(g.join(sizes.where(F.col("n") >= least).select("org"), "org", "left_semi"), "talk-rows")
     what = as_table(rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").orderBy("n", "t").select("t", F.monotonically_increasing_id().alias("w")), "numbers")  # rare things first
     lists = as_table(rows.join(what, "t").groupBy("org").agg(F.sort_array(F.collect_list("w")).alias("ws")).where(F.size("ws") >= least), "talk-lists")
+    if lists.count() > 10 * SEEDS:
+        least = max(least, closer_bound(lists, 40))
+        lists = lists.where(F.size("ws") >= least)
     top = talk_pairs(lists, least).withColumn("shared", F.size("ws").cast("long")).orderBy(F.desc("shared"), "org_a", "org_b").limit(40)
     both = top.select("org_a", "org_b", "shared", F.explode("ws").alias("w")).join(what, "w")
     return both.groupBy("org_a", "org_b", "shared").agg(_listed("t").alias("on_what")).orderBy(F.desc("shared"), "org_a", "org_b")
